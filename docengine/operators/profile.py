@@ -56,7 +56,7 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
         *[
             F.struct(
                 F.lit(name).alias("quartile"),
-                (F.col("count") - 1).cast("double").__mul__(share).alias("position"),
+                ((F.col("count") - 1) * F.lit(share)).alias("position"),
             )
             for name, share in QUARTILES.items()
         ]
