@@ -79,9 +79,12 @@ def file_extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(?s)^\.*[^.].*(\.[^.]*)\z", 1))
 
 
+TOKEN = r"[\p{L}\p{N}_]+"
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def windows(text: Column, width: int, step: int | None = None) -> Column:
