@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +67,8 @@ def current_rows(
     spark: SparkSession, target: str, schema: StructType, key: str = "uuid"
 ) -> DataFrame:
     """The latest row per key; a key rewritten often is combined on the map side."""
-    logged = spark.read.schema(schema.add("batch_id", "bigint")).parquet(target)
+    with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
+    logged = spark.read.schema(with_batch).parquet(target)
     columns = [name for name in logged.columns if name not in (key, "batch_id")]
     return (
         logged.groupBy(key)
