@@ -107,16 +107,13 @@ def _anchor(pattern: Column) -> Column:
 
 def _grams(word: Column) -> Column:
     """Distinct pieces of up to ``_ANCHOR`` characters, and the empty one."""
-    pieces = [
-        F.when(
-            F.length(word) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))),
-                lambda at, n=n: F.substring(word, at, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, _ANCHOR + 1)
-    ]
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda at: F.substring(word, at, F.lit(n)))
+        return F.when(F.length(word) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    pieces = [of_length(n) for n in range(1, _ANCHOR + 1)]
     return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
@@ -145,7 +142,9 @@ def lookup_batch(
         term, "_wanted", _anchor(F.col("_wanted")).alias("_gram")
     )
     pieces = (
-        known.select("_acronym").distinct().select("_acronym", F.explode(_grams(F.col("_acronym"))).alias("_gram"))
+        known.select("_acronym")
+        .distinct()
+        .select("_acronym", F.explode(_grams(F.col("_acronym"))).alias("_gram"))
     )
     matched = (
         pieces.join(patterns, "_gram")

@@ -195,7 +195,7 @@ def tool_messages(spark: SparkSession, folder: str) -> DataFrame:
     call = F.struct(
         call_id(F.col("turn")).alias("id"),
         F.lit("lookup_glossary").alias("name"),
-        F.create_map(F.lit("input_acronym"), F.upper(F.substring("text", 1, 3))).alias("arguments"),
+        F.create_map(F.lit("input_acronym"), F.substring("text", 1, 3)).alias("arguments"),
     )
     calls = (F.col("role") == "assistant") & (F.length("text") > 150)
     result = (F.col("role") == "user") & (F.col("turn") > 1)

@@ -252,11 +252,11 @@ def described(name: str) -> str:
 
 LABEL_QUESTIONS = """
 means AS (
-    SELECT label, at, avg(x::DOUBLE) AS x
-    FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS at FROM embeddings)
-    GROUP BY label, at
+    SELECT label, pos, avg(x::DOUBLE) AS x
+    FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+    GROUP BY label, pos
 ),
-questions AS (SELECT label AS question_id, list(x ORDER BY at) AS vector FROM means GROUP BY label)
+questions AS (SELECT label AS question_id, list(x ORDER BY pos) AS vector FROM means GROUP BY label)
 """
 
 
@@ -583,7 +583,7 @@ ORACLE: dict[str, str] = {
                  WHEN role = 'assistant' AND length(text) > 150 THEN
                      '<tool_call>{{' || {NL} || '  "id": "call_' || conv_id || '_' || turn || '",' || {NL}
                      || '  "name": "lookup_glossary",' || {NL} || '  "arguments": '
-                     || to_json('{{"input_acronym":' || to_json(upper(substr(text, 1, 3)))::VARCHAR || '}}')::VARCHAR
+                     || to_json('{{"input_acronym":' || to_json(substr(text, 1, 3))::VARCHAR || '}}')::VARCHAR
                      || {NL} || '}}</tool_call>'
                  ELSE text END || {NL} || {NL}, '' ORDER BY turn) AS transcript
         FROM conversations GROUP BY conv_id
