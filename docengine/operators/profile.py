@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.session import materialise
+
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
 BUCKETS = 4096
 
@@ -13,7 +15,7 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     """One row per integer column, with exact interpolated quartiles.
 
     The table is read once into a histogram (value, rows) per column, combined
-    before the shuffle. Quartiles are then looked up in two steps so that no
+    before the shuffle and written down. Quartiles are then looked up in two steps so that no
     task holds a whole column: rows per value range first (at most ``BUCKETS``
     ranges per column), then only the ranges a quartile falls into.
     """
@@ -30,7 +32,9 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
             )
         )
     ).filter(F.col("value").isNotNull())
-    histogram = values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    histogram = materialise(
+        values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "histogram"
+    )
 
     weight = F.col("n").cast("decimal(38,0)")
     value = F.col("value").cast("decimal(38,0)")

@@ -201,6 +201,43 @@ numbered AS (
 """
 
 
+# Lines that end in a full stop are prose, all others stand alone as tables.
+WITH_TABLES = f"""
+lines AS (
+    SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
+    FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM documents)
+),
+cut AS (
+    SELECT doc_id, i, 0 AS j, NULL::VARCHAR AS head, trim(line, {EDGES}) AS rest
+    FROM lines WHERE line LIKE '%.'
+    UNION ALL
+    SELECT doc_id, i, j + 1,
+           CASE WHEN length(rest) <= 1500 THEN rest
+                WHEN strpos(reverse(substr(rest, 1, 1501)), ' ') = 0 THEN substr(rest, 1, 1500)
+                ELSE trim(substr(rest, 1, 1501 - strpos(reverse(substr(rest, 1, 1501)), ' '))) END,
+           CASE WHEN length(rest) <= 1500 THEN ''
+                WHEN strpos(reverse(substr(rest, 1, 1501)), ' ') = 0 THEN substr(rest, 1501)
+                ELSE trim(substr(rest, 1503 - strpos(reverse(substr(rest, 1, 1501)), ' '))) END
+    FROM cut WHERE rest <> ''
+),
+pieces AS (
+    SELECT doc_id, i, j, head AS cur, false AS tab FROM cut WHERE head <> ''
+    UNION ALL
+    SELECT doc_id, i, 0, '<table>' || line || '</table>', true FROM lines WHERE line NOT LIKE '%.'
+),
+folded AS (
+    SELECT doc_id, list_reduce(
+        list({{'cur': cur, 'tab': tab, 'done': []::STRUCT(c VARCHAR, t BOOLEAN)[]}} ORDER BY i, j),
+        lambda a, x: CASE
+            WHEN a.tab OR x.tab OR length(a.cur) >= 1000 OR length(a.cur) + 2 + length(x.cur) > 1500
+            THEN {{'cur': x.cur, 'tab': x.tab, 'done': list_append(a.done, {{'c': a.cur, 't': a.tab}})}}
+            ELSE {{'cur': a.cur || {NL} || {NL} || x.cur, 'tab': a.tab, 'done': a.done}} END) AS r
+    FROM pieces GROUP BY doc_id
+),
+chunks AS (SELECT doc_id, list_append(r.done, {{'c': r.cur, 't': r.tab}}) AS l FROM folded)
+"""
+
+
 def folded_lines(merge: str, joint: int) -> str:
     """Lines combined up to 300 characters, as in the fold's definition."""
     return f"""
@@ -279,7 +316,7 @@ ranked AS (
 CELLS = """
 planes AS (
     SELECT p, i, CASE WHEN substr(md5(p || ':' || i), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
-    FROM range(8) a(p), range(64) b(i)
+    FROM range(6) a(p), range(64) b(i)
 ),
 vector_cells AS (
     SELECT vec_id, sum(CASE WHEN above THEN (1 << p) ELSE 0 END)::INT AS cell FROM (
@@ -432,6 +469,12 @@ ORACLE: dict[str, str] = {
         FROM numbered JOIN bronze USING (path)
     """,
     "chunk_sequential": f"WITH RECURSIVE {GOLD} SELECT * FROM gold",
+    "chunk_sequential_tables": f"""
+        WITH RECURSIVE {WITH_TABLES}
+        SELECT doc_id, c.c AS content, CASE WHEN c.t THEN 'Table' ELSE 'CompositeElement' END AS category,
+               length(c.c)::INT AS char_length, chunk_num
+        FROM (SELECT doc_id, unnest(l) AS c, (generate_subscripts(l, 1) - 1)::INT AS chunk_num FROM chunks)
+    """,
     "combine_elements": folded_lines(f"trim(x, {EDGES})", 1)
     + f"""
         SELECT doc_id, (generate_subscripts(g, 1) - 1)::INT AS element_num,
@@ -489,7 +532,7 @@ ORACLE: dict[str, str] = {
                    round(list_cosine_similarity(vector, embedding::DOUBLE[]), 8) AS score
             FROM questions q JOIN question_cells qc USING (question_id),
                  embeddings e JOIN vector_cells vc USING (vec_id)
-            WHERE bit_count(xor(qc.cell, vc.cell)) <= 3
+            WHERE bit_count(xor(qc.cell, vc.cell)) <= 2
         )
         SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id))::INT AS rank,
                vec_id, score, label

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import clean_text, extract_year, strip, windows
 from docengine.operators import changes, chat, chunking, evaluation, glossary, prompt
-from docengine.operators.embedding import DIMENSIONS, embed, with_cell
+from docengine.operators.embedding import DIMENSIONS, embed, with_cell, write_cells
 from docengine.operators.hybrid import hybrid_search
 from docengine.operators.ingest import batch_counters, ingest_documents, new_files
 from docengine.operators.profile import profile
@@ -23,7 +23,7 @@ from docengine.operators.retrieval import (
 from docengine.plans import inputs
 from docengine.plans.inputs import documents, table
 from docengine.schemas import BRONZE, GLOSSARY
-from docengine.session import work_folder
+from docengine.session import materialise, work_folder
 from docengine.sources import tables
 from docengine.sources.files import list_files, scan_files
 from docengine.streaming import ingest as streaming
@@ -31,7 +31,7 @@ from docengine.streaming import ingest as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-PLANES, RADIUS = 8, 3
+PLANES, RADIUS = 6, 2
 SYSTEM = "You answer questions about the documents."
 
 
@@ -106,12 +106,15 @@ def snapshot_diff(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def apply_changes(spark: SparkSession, folder: str) -> DataFrame:
     old, new = inputs.old_and_new(spark, folder)
-    return changes.apply_changes(old, changes.snapshot_diff(old, new))
+    feed = materialise(changes.snapshot_diff(old, new), "changes")
+    return changes.apply_changes(old, feed)
 
 
 def _weights(index: DataFrame, key: str) -> DataFrame:
+    # The outer form: for the inner one Spark infers filters on the vector and
+    # would compute it once more for them.
     return (
-        index.select(key, F.posexplode("embedding").alias("bucket", "weight"))
+        index.select(key, F.posexplode_outer("embedding").alias("bucket", "weight"))
         .filter("weight > 0")
         .select(key, "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
     )
@@ -120,8 +123,8 @@ def _weights(index: DataFrame, key: str) -> DataFrame:
 @query
 def index_sync(spark: SparkSession, folder: str) -> DataFrame:
     old, new = inputs.old_and_new(spark, folder)
-    index = changes.sync_index(embed(old), changes.snapshot_diff(old, new), embed)
-    return _weights(index, "uuid")
+    feed = materialise(changes.snapshot_diff(old, new), "changes")
+    return _weights(changes.sync_index(embed(old), feed, embed), "uuid")
 
 
 # ---- chunking
@@ -257,7 +260,10 @@ def topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
-    index = with_cell(table(spark, folder, "embeddings"), PLANES, DIMENSIONS)
+    place = work_folder(spark, "cells")
+    index = write_cells(
+        with_cell(table(spark, folder, "embeddings"), PLANES, DIMENSIONS), place
+    )
     return nearest_cells(
         inputs.label_questions(spark, folder), index, 10, planes=PLANES, radius=RADIUS,
         key="vec_id", columns=("label",),

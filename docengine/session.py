@@ -39,12 +39,24 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a result to the shared work folder and read it back.
+
+    For results that are used several times: they are computed once, and
+    losing an executor costs no recomputation.
+    """
+    folder = work_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Even out a scan that has fewer splits than the session has cores.
 
     Large tables already come in many splits and pass through without a
     shuffle; a few big files (or one) are hash-distributed on ``keys`` so that
-    per-row work such as chunking uses every core.
+    per-row work such as chunking uses every core. For scans only: asking a
+    plan with a shuffle for its partitions would run it.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
