@@ -19,11 +19,9 @@ MONTHS = (
 # two patterns is anchored to a line start and stops at the line's first
 # keyword: a later keyword can only succeed where the first one does, so this
 # finds the same year without rescanning the line from every keyword.
-_LABELLED = (
-    r"(?iUdm)^(?:(?!Publication date:).)*+Publication date:.*?(\d{4})"
-)
+_LABELLED = r"(?iUdm)^(?>.*?Publication date:).*?(\d{4})"
 _IN_MONTH = (
-    r"(?iUdm)^(?:(?!published|in|updated).)*+(?:published|in|updated)"
+    r"(?iUdm)^(?>.*?(?:published|in|updated))"
     rf"(?>.*?\b(?:{MONTHS})\b).*?(\d{{4}})"
 )
 _PLAIN_DATE = (

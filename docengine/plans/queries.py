@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import clean_text, extract_year, strip, windows
 from docengine.operators import changes, chat, chunking, evaluation, glossary, prompt
-from docengine.operators.embedding import DIMENSIONS, embed, with_cell, write_cells
+from docengine.operators.embedding import (
+    DIMENSIONS,
+    embed,
+    index_chunks,
+    with_cell,
+    write_cells,
+)
 from docengine.operators.hybrid import hybrid_search
 from docengine.operators.ingest import batch_counters, ingest_documents, new_files
 from docengine.operators.profile import profile
@@ -23,7 +29,7 @@ from docengine.operators.retrieval import (
 from docengine.plans import inputs
 from docengine.plans.inputs import documents, table
 from docengine.schemas import BRONZE, GLOSSARY
-from docengine.session import materialise, work_folder
+from docengine.session import materialise, spread, work_folder
 from docengine.sources import tables
 from docengine.sources.files import list_files, scan_files
 from docengine.streaming import ingest as streaming
@@ -288,7 +294,9 @@ def search_records(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hybrid(spark: SparkSession, folder: str) -> DataFrame:
-    return hybrid_search(inputs.topics(spark, folder), inputs.gold_sequential(spark, folder), 5)
+    gold = inputs.gold_sequential(spark, folder).select("uuid", "content")
+    index = materialise(index_chunks(gold).drop("content"), "index")
+    return hybrid_search(inputs.topics(spark, folder), index, 5)
 
 
 @query
@@ -446,7 +454,7 @@ def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def _as_bronze(batch: DataFrame) -> DataFrame:
     return ingest_documents(
-        batch.select(inputs.document_path(F.lit(".pdf")).alias("path"), inputs.lines().alias("pages"))
+        spread(batch, "doc_id").select(inputs.document_path(F.lit(".pdf")).alias("path"), inputs.lines().alias("pages"))
     )
 
 
