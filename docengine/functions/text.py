@@ -54,9 +54,12 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 
 def extract_year(text: Column) -> Column:
     """Publication year as text: labelled date, then "in <month>", then a date."""
-    by_date = _found(F.regexp_extract(text, _PLAIN_DATE, 0), r"(?U)\d{4}", 0)
-    year = F.coalesce(_found(text, _LABELLED, 1), _found(text, _IN_MONTH, 1), by_date)
-    return F.when(F.regexp_like(text, F.lit(r"(?U)\d{4}")), year)
+    def matched(given: Column) -> Column:
+        by_date = _found(F.regexp_extract(given, _PLAIN_DATE, 0), r"(?U)\d{4}", 0)
+        year = F.coalesce(_found(given, _LABELLED, 1), _found(given, _IN_MONTH, 1), by_date)
+        return F.when(F.regexp_like(given, F.lit(r"(?U)\d{4}")), year)
+
+    return let(text, matched)
 
 
 def join_parts(parts: Column, separator: str = "\n") -> Column:
@@ -82,7 +85,7 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN + "+"), F.lit(0))
 
 
 def windows(text: Column, width: int, step: int | None = None) -> Column:
