@@ -17,6 +17,16 @@ BRONZE = T.StructType(
     ]
 )
 
+# What a scan of binary files gives.
+FILES = T.StructType(
+    [
+        T.StructField("path", T.StringType(), False),
+        T.StructField("modificationTime", T.TimestampType(), False),
+        T.StructField("length", T.LongType(), False),
+        T.StructField("content", T.BinaryType(), True),
+    ]
+)
+
 RECURSIVE_CHUNK = T.StructType(
     [
         T.StructField("content", T.StringType(), True),

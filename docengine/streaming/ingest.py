@@ -14,10 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
+from docengine.schemas import FILES
+
 
 def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     """Unseen files of a folder as a stream of path, times, length and content."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return (
+        spark.readStream.format("binaryFile")
+        .schema(FILES)
+        .option("recursiveFileLookup", "true")
+        .load(folder)
+    )
 
 
 def stream_rows(spark: SparkSession, folder: str, schema: StructType, name_glob: str) -> DataFrame:
