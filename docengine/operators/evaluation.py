@@ -32,14 +32,24 @@ def retrieval_metrics(
     question: str = "question_id",
     key: str = "uuid",
 ) -> DataFrame:
-    """Recall@k, precision@k and reciprocal rank per question that has relevant keys."""
+    """Recall@k, precision@k and reciprocal rank per question that has relevant keys.
+
+    The results are the small side: an inner join lets Spark broadcast them when
+    they are, which a semi join against the relevant rows would not.
+    """
     hits = (
-        results.filter(F.col("rank") <= k)
-        .join(relevant.select(question, key), [question, key], "left_semi")
+        relevant.select(question, key)
+        .join(results.filter(F.col("rank") <= k).select(question, key, "rank"), [question, key])
+        .distinct()
         .groupBy(question)
         .agg(F.count(F.lit(1)).alias("hits"), F.min("rank").alias("first_hit"))
     )
-    totals = relevant.groupBy(question).agg(F.count(F.lit(1)).alias("relevant"))
+    totals = (
+        relevant.select(question, key)
+        .distinct()
+        .groupBy(question)
+        .agg(F.count(F.lit(1)).alias("relevant"))
+    )
     found = F.coalesce(F.col("hits"), F.lit(0))
     return totals.join(hits, question, "left").select(
         question,

@@ -539,6 +539,33 @@ ORACLE: dict[str, str] = {
         FROM scored QUALIFY rank <= 10
     """,
     "search": f"WITH RECURSIVE {FOUND} SELECT * FROM found",
+    "search_function": f"""
+        WITH RECURSIVE {GOLD},
+        texts AS (SELECT uuid AS id, content AS body FROM gold UNION ALL SELECT '?', 'The price of the plan'),
+        {weights("texts", "id", "body")},
+        norms AS (SELECT id, sqrt(sum(weight::DOUBLE * weight::DOUBLE)) AS norm FROM weights GROUP BY id),
+        scored AS (
+            SELECT n.id AS uuid, round(coalesce(sum(w.weight::DOUBLE * q.n), 0.0)
+                       / any_value(norm * (SELECT sqrt(sum(n * n)) FROM counts WHERE id = '?')), 8) AS score
+            FROM norms n JOIN weights w USING (id)
+            LEFT JOIN (SELECT * FROM counts WHERE id = '?') q ON q.bucket = w.bucket
+            WHERE n.id <> '?' GROUP BY n.id
+        )
+        SELECT uuid, content, category, char_length, chunk_num, file_name, file_extension,
+               num_pages, length, year, score
+        FROM scored JOIN gold USING (uuid) ORDER BY score DESC, uuid LIMIT 5
+    """,
+    "search_hybrid": f"""
+        WITH RECURSIVE {GOLD}, {SCORES}, {BM25},
+        best AS (
+            SELECT question_id, uuid, score,
+                   (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, uuid))::INT AS rank
+            FROM fused QUALIFY rank <= 5
+        )
+        SELECT question_id, rank, uuid, content, category, char_length, chunk_num, file_name,
+               file_extension, num_pages, length, year, score
+        FROM best JOIN gold USING (uuid)
+    """,
     "search_records": f"""
         WITH RECURSIVE {FOUND}
         SELECT to_json({{'question_id': question_id, 'rank': rank, 'uuid': uuid, 'char_length': char_length,

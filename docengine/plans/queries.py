@@ -17,11 +17,12 @@ from docengine.operators.embedding import (
     with_cell,
     write_cells,
 )
-from docengine.operators.hybrid import hybrid_search
+from docengine.operators.hybrid import hybrid_search, search_documentation_hybrid
 from docengine.operators.ingest import batch_counters, ingest_documents, new_files
 from docengine.operators.profile import profile
 from docengine.operators.retrieval import (
     as_records,
+    create_search_function,
     nearest,
     nearest_cells,
     search_documentation,
@@ -286,6 +287,20 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
     return _found(spark, folder)
 
 
+@query
+def search_function(spark: SparkSession, folder: str) -> DataFrame:
+    """The SQL table function, called with one topic."""
+    embed(inputs.gold_sequential(spark, folder)).createOrReplaceTempView("gold_index")
+    create_search_function(spark, "gold_index")
+    return spark.sql("SELECT * FROM search_documentation('The price of the plan')")
+
+
+@query
+def search_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    index = materialise(index_chunks(inputs.gold_sequential(spark, folder)), "index")
+    return search_documentation_hybrid(inputs.topics(spark, folder), index, 5)
+
+
 @query
 def search_records(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["question_id", "rank", "uuid", "char_length", "chunk_num", "file_name", "year"]

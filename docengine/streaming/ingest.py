@@ -11,25 +11,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from docengine.schemas import FILES
 
 
-def stream_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Unseen files of a folder as a stream of path, times, length and content."""
+def _bounded(reader: DataStreamReader, max_files: int | None) -> DataStreamReader:
+    return reader.option("maxFilesPerTrigger", max_files) if max_files else reader
+
+
+def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Unseen files of a folder as a stream of path, times, length and content.
+
+    ``max_files`` bounds a micro-batch, so that a first run over a large folder
+    is written (and can be resumed) in parts.
+    """
     return (
-        spark.readStream.format("binaryFile")
+        _bounded(spark.readStream.format("binaryFile"), max_files)
         .schema(FILES)
         .option("recursiveFileLookup", "true")
         .load(folder)
     )
 
 
-def stream_rows(spark: SparkSession, folder: str, schema: StructType, name_glob: str) -> DataFrame:
+def stream_rows(
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    name_glob: str,
+    max_files: int | None = None,
+) -> DataFrame:
     """Unseen parquet files of a folder as a stream of rows."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
+    reader = _bounded(spark.readStream, max_files)
+    return reader.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
 
 
 def ingest_stream(

@@ -28,6 +28,9 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(_plain(row[i]) for i in order) for row in rows), key=repr)
 
 
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def compare(df, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     """None when equal, else what differs first."""
     result = connection.execute(sql)
@@ -36,6 +39,10 @@ def compare(df, connection: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     got = rows_of(df.columns, df.collect())
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(names)}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    for name, kind in df.dtypes:
+        if types[name] != TYPES[kind]:
+            return f"type of {name}: {kind} != {types[name]}"
     if len(got) != len(expected):
         return f"{len(got)} rows != {len(expected)}"
     for g, e in zip(got, expected):
