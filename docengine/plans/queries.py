@@ -290,7 +290,8 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def search_function(spark: SparkSession, folder: str) -> DataFrame:
     """The SQL table function, called with one topic."""
-    embed(inputs.gold_sequential(spark, folder)).createOrReplaceTempView("gold_index")
+    index = materialise(embed(inputs.gold_sequential(spark, folder)), "index")
+    index.createOrReplaceTempView("gold_index")
     create_search_function(spark, "gold_index")
     return spark.sql("SELECT * FROM search_documentation('The price of the plan')")
 
