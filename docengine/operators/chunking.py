@@ -187,11 +187,11 @@ def _sized_pattern(max_characters: int, new_after: int) -> str:
     hard one; where there is none, the longest run below the soft limit.
     """
     soft = max(1, min(new_after, max_characters))
-    edge = rf"(?=[{_BREAK}{_WALL}]|\z)"
-    pattern = rf"[^{_WALL}]{{{soft},{max_characters}}}?{edge}"
+    edge = rf"(?={_BREAK}|\z)"
+    pattern = rf".{{{soft},{max_characters}}}?{edge}"
     if soft > 1:
-        pattern += rf"|[^{_WALL}]{{1,{soft - 1}}}{edge}"
-    return rf"(?![\s{_BREAK}{_WALL}])(?:{pattern})"
+        pattern += rf"|.{{1,{soft - 1}}}{edge}"
+    return rf"(?s)(?![\s{_BREAK}])(?:{pattern})"
 
 
 def _numbered(contents: Column, category: Column | None = None) -> Column:
@@ -253,7 +253,8 @@ def sequential_chunks_of(
     joined = F.array_join(marked, _BREAK + "\n")
     # A wall replaces the break beside it, so no chunk begins with an empty element.
     walled = F.regexp_replace(joined, rf"(?:{_BREAK}\n)?{_WALL}(?:{_BREAK}\n)?", _WALL)
-    chunks = _all(walled, _sized_pattern(max_characters, new_after))
+    pattern = _sized_pattern(max_characters, new_after)
+    chunks = F.flatten(F.transform(F.split(walled, _WALL), lambda run: _all(run, pattern)))
     return let(
         elements,
         lambda given: F.transform(
