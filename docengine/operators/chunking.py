@@ -44,7 +44,7 @@ def _tiles(text: Column, size: int) -> Column:
     """
     levels = [
         r"(?s).*?\n\n|.+\z",
-        r"[^\n]*\n+\z|[^\n]*\n|[^\n]+\z",
+        r"(?d).*+\n(?:\n+\z)?|.+\z",
         r"[^ ]* |[^ ]+\z",
         f"(?s).{{1,{size}}}",
     ]
