@@ -15,6 +15,7 @@ MONTHS = (
     "January|February|March|April|May|June|July|August|September|October|November|December"
 )
 
+# Fixed patterns: labelled year, "in <month> ... year", plain date.
 # (?iUd): ignore case, Unicode classes, only \n ends a line. Each of the first
 # two patterns is anchored to a line start and stops at the line's first
 # keyword: a later keyword can only succeed where the first one does, so this

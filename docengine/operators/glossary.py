@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions.text import fill_template, windows
 from docengine.schemas import GLOSSARY_ITEMS
 
+# Fixed value: definitions below this certainty are not looked up.
 MIN_CERTAINTY = 80
 
 EXTRACTION_PROMPT = (
@@ -67,11 +68,11 @@ def create_lookup_function(
     """
     spark.sql(
         f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION lookup_glossary(input_acronym STRING)
+        CREATE OR REPLACE TEMPORARY FUNCTION lookup_glossary(term STRING)
         RETURNS TABLE(definition STRING, certainty INT)
-        RETURN SELECT definition, certainty FROM {glossary}
-               WHERE acronym ILIKE TRIM(input_acronym) AND certainty >= {int(min_certainty)}
-               ORDER BY certainty DESC
+        RETURN SELECT g.definition, g.certainty FROM {glossary} AS g
+               WHERE g.certainty >= {int(min_certainty)} AND g.acronym ILIKE trim(term)
+               ORDER BY g.certainty DESC, g.definition
         """
     )
 

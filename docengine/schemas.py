@@ -53,12 +53,13 @@ GLOSSARY = T.StructType(
     ]
 )
 
+# The fields of model responses and recorded tool messages.
 GLOSSARY_ITEMS = "array<struct<acronym:string,definition:string,certainty:int>>"
 MODEL_CHUNKS = "array<struct<chunk_number:int,content:string>>"
 TOOL_CALL = "struct<id:string,name:string,arguments:string>"
 TOOL_RESULT = "struct<id:string,content:string>"
 
-# Column order of a search result; always selected by name, never by position.
+# Fixed value: the columns of a search result, selected by name, never by position.
 SEARCH_COLUMNS = [
     "uuid",
     "content",
