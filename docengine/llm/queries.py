@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
 from docengine.llm.packing import pack
+from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
 from docengine.llm.token_counts import empty_cache, token_counts
+from docengine.llm.token_output import read_token_files, write_token_files
 from docengine.llm.warc import checked_revisits, choose_records, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,3 +51,29 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
+
+
+@query
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    files = shared_folder(spark, "token-files")
+    tokenizer = public_tokenizers.path(BYTE_BPE)
+    write_token_files(table(spark, folder, "documents"), tokenizer, 2, files)
+    return read_token_files(spark, files)
+
+
+@query
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    versions = table(spark, folder, "documents").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("content")
+    )
+    found = scan_history(versions, new_ledger(spark))
+    kinds = {kind: F.col("n_found")[kind] for kind in ("assign", "access", "hex")}
+    return found.select(
+        "doc_id",
+        *[n.alias(f"n_{kind}") for kind, n in kinds.items()],
+        F.sha2(spelled(base_spans(F.col("spans"))).cast("binary"), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"),
+    )
+
+
+ORACLE["op7_secret_scan"] = SECRET_SQL

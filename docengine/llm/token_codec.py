@@ -1,21 +1,23 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are cut into blocks. A block starts from a reset model, so it can be decoded
-alone, and carries a checksum of its ids. Blocks of one size are coded side by
-side: every step codes one id in each of them with array operations.
+alone, and carries a checksum of its ids. Many blocks are coded side by side: every
+step codes one id in each of them with array operations.
 
 Model. Three predictions are made for an id: the last id that followed the same
-two ids (order 2), the same one id (order 1), and the block's most frequent id
-(order 0). The coded symbol says which prediction holds, the highest order
-first, or that none does. Each order has its own adaptive distribution of that
-symbol (orders 2 and 1 by how often the slot has been right); the three are mixed
-with weights that follow how probable each of them found the latest symbols. An
-id that nobody predicted is coded by the number of its bits, from an adaptive
-order-0 distribution, and by the bits below the highest one. All is integer
-arithmetic, so that every machine decodes the same.
-
-Coder. 64-bit range coder that puts out 32-bit words; a carry is added to the
-words already put out.
+two ids (order 2), the last that followed the same one id (order 1), and the most
+frequent id so far (order 0). The coded symbol says which prediction holds, the
+highest order first, or that none does. Each order has its own counts of that
+symbol: order 2 and order 1 by how often their slot has been right lately, order 0
+for all. The distribution used is the mix of the three, with weights that follow
+how well each has foretold the symbols so far. An id that nobody predicted is coded
+by the number of its bits, from adaptive order-0 counts, and by the bits below the
+highest one. Tables predict from step to step; counts and weights are brought up
+to date every ``ROUND`` steps. What is coded follows from integers and
+from plain double operations in a fixed order, so that every machine decodes the same.
+
+Coder. A range coder with 64-bit numbers that puts out 32-bit words; a carry is
+added to the words already put out. Frequencies have the fixed total 2 ** 16.
 """
 
 from __future__ import annotations
@@ -25,104 +27,149 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 2048
+LANES = 4096
+ROUND = 64
 MAX_ID = (1 << 30) - 1
 HIT2, HIT1, HIT0, MISS = range(4)
 SLOTS = 1 << 11
 SIZES = 18  # numbers of bits 0 to 16, and 17 for more
-SPEED = 4  # distributions move by 1/16
-ONE = 1 << 12
-LIMIT = np.uint64(1 << 32)
-SHIFT = np.uint64(32)
-LOW_HALF = np.uint64((1 << 32) - 1)
+TOTAL = 1 << 16
+HASH = np.int32(-1640531527)
+CONTEXTS = 16  # times right of order 2 (0 to 3) and of order 1 (0 to 3)
+ROOM = np.uint64(1 << 32)
+WORD = np.uint64(32)
+SCALE = np.uint64(16)
+HALF = np.uint64((1 << 32) - 1)
+FIELD = np.uint64(0xFFFF)
+
+
+def _summed(values: np.ndarray, axis: int) -> np.ndarray:
+    """Sum along an axis of four, always in the same order."""
+    a, b, c, d = np.moveaxis(values, axis, 0)
+    return a + b + c + d
 
 
 class _Model:
-    """Predictions and symbol statistics of ``lanes`` blocks."""
+    """Predictions and statistics of ``lanes`` blocks."""
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.after2 = np.zeros(lanes * SLOTS, np.int32)  # id << 2 | times right, 0: nothing
+        self.lanes = lanes
+        self.base = np.arange(lanes, dtype=np.int32) * SLOTS
+        self.context_base = np.arange(lanes, dtype=np.int32) * CONTEXTS
+        self.after2 = np.zeros(lanes * SLOTS, np.int32)  # id << 2 | times right; 0: nothing
         self.after1 = np.zeros(lanes * SLOTS, np.int32)
-        self.seen = np.zeros(lanes * SLOTS, np.uint16)
-        self.most = np.zeros(lanes, np.uint16)
+        self.seen = np.zeros(lanes * SLOTS, np.int32)
+        self.most = np.zeros(lanes, np.int32)
         self.frequent = np.full(lanes, -1, np.int32)
-        self.last = np.zeros(lanes, np.int64)
-        self.before_last = np.zeros(lanes, np.int64)
-        self.by2 = np.full((lanes * 8, 4), ONE // 4, np.int32)
-        self.by1 = np.full((lanes * 4, 4), ONE // 4, np.int32)
-        self.by0 = np.full((lanes, 4), ONE // 4, np.int32)
-        self.trust = np.full((3, lanes), 1 << 14, np.int32)
-        self.sizes = np.full((lanes, SIZES), 4, np.int32)
+        self.hash1 = np.zeros(lanes, np.int32)
+        self.slot1 = self.base.copy()
+        self.slot2 = self.base.copy()
+        self.counts = np.zeros((4, 4, 4, lanes))  # symbol, order 2, order 1
+        self.used = np.zeros(lanes * CONTEXTS * 4, np.int32)
+        self.trust = np.full((3, lanes), 0.5)
+        self.sizes = np.full((lanes, SIZES), 2, np.int32)
+        self.sized = np.zeros(lanes * SIZES, np.int32)
+        self._distributions()
 
     def predict(self, k: int) -> None:
-        """Predictions and the cumulated frequencies of the symbol, first ``k`` blocks."""
-        lane, last = self.lane[:k], self.last[:k]
-        base = lane * SLOTS
-        self.slot1 = base + (last * 0x9E3779B1 >> 16 & SLOTS - 1)
-        mixed = last * 0x85EBCA6B + self.before_last[:k] * 0xC2B2AE35
-        self.slot2 = base + (mixed >> 15 & SLOTS - 1)
-        kept2, kept1 = self.after2[self.slot2], self.after1[self.slot1]
+        """Predictions and symbol frequencies of the first ``k`` blocks."""
+        kept2, kept1 = self.after2[self.slot2[:k]], self.after1[self.slot1[:k]]
         self.right2, self.right1 = kept2 & 3, kept1 & 3
-        self.guess2 = np.where(self.right2 > 0, kept2 >> 2, -1)
-        self.guess1 = np.where(self.right1 > 0, kept1 >> 2, -1)
+        self.guess2 = (kept2 >> 2) - (kept2 == 0)
+        self.guess1 = (kept1 >> 2) - (kept1 == 0)
         self.guess0 = self.frequent[:k]
-        self.context2 = lane * 8 + self.right2 * 2 + (self.guess1 == self.guess2)
-        self.context1 = lane * 4 + self.right1
-        self.p2 = self.by2[self.context2]
-        self.p1 = self.by1[self.context1]
-        self.p0 = self.by0[:k]
-        w2, w1, w0 = self.trust[:, :k, None]
-        mix = ((self.p2 * w2 + self.p1 * w1 + self.p0 * w0) >> 14) + 1
-        self.frequency = mix.astype(np.uint64)
-        self.cumulated = np.empty((4, k), np.uint64)
-        self.cumulated[0] = self.frequency[:, 0]
-        for i in (1, 2, 3):
-            np.add(self.cumulated[i - 1], self.frequency[:, i], out=self.cumulated[i])
+        self.context = (self.right2 << 2) + self.right1 + self.context_base[:k]
+        self.starts = self.packed_starts[self.context]
+        self.widths = self.packed_widths[self.context]
 
     def update(self, k: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        lane = self.lane[:k]
-        # Each distribution's trust follows the share it gave to what came.
-        for order, (table, context, p) in enumerate(
-            ((self.by2, self.context2, self.p2), (self.by1, self.context1, self.p1))
-        ):
-            self._learn(order, k, p[lane, symbol])
-            moved = p - (p >> SPEED)
-            moved[lane, symbol] += ONE >> SPEED
-            table[context] = moved
-        self._learn(2, k, self.p0[lane, symbol])
-        self.p0 -= self.p0 >> SPEED
-        self.p0[lane, symbol] += ONE >> SPEED
         packed = ids << 2
-        hit2, hit1 = ids == self.guess2, ids == self.guess1
-        self.after2[self.slot2] = packed | np.where(hit2, np.minimum(self.right2 + 1, 3), 1)
-        self.after1[self.slot1] = packed | np.where(hit1, np.minimum(self.right1 + 1, 3), 1)
-        slot0 = lane * SLOTS + (ids.astype(np.int64) * 0x9E3779B1 >> 16 & SLOTS - 1)
-        times = self.seen[slot0] + np.uint16(1)
-        self.seen[slot0] = times
-        more = times > self.most[:k]
-        np.copyto(self.most[:k], times, where=more)
-        np.copyto(self.frequent[:k], ids, where=more)
-        self.before_last[:k] = self.last[:k]
-        self.last[:k] = ids
-
-    def _learn(self, order: int, k: int, given: np.ndarray) -> None:
-        trust = self.trust[order, :k]
-        trust += ((given << 4) - trust) >> SPEED
-        np.maximum(trust, 64, out=trust)
-
-    def size_frequencies(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = self.sizes[own]
-        return counts, np.cumsum(counts, axis=1)
-
-    def update_sizes(self, own: np.ndarray, size: np.ndarray) -> None:
-        self.sizes[own, size] += 32
-        full = own[self.sizes[own].sum(axis=1) > (1 << 15)]
-        self.sizes[full] = (self.sizes[full] >> 1) + 1
-
-
-def _bit_length(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)  # exact below 2**53
+        self.after2[self.slot2[:k]] = packed + np.where(
+            ids == self.guess2, np.minimum(self.right2 + 1, 3), 1
+        )
+        self.after1[self.slot1[:k]] = packed + np.where(
+            ids == self.guess1, np.minimum(self.right1 + 1, 3), 1
+        )
+        self.used[(self.context << 2) + symbol] += 1
+        mixed = ids * HASH  # wraps, as a hash may
+        base = self.base[:k]
+        self.slot1[:k] = (mixed >> 13 & SLOTS - 1) + base
+        self.slot2[:k] = ((mixed ^ self.hash1[:k]) >> 13 & SLOTS - 1) + base
+        self.hash1[:k] = mixed * np.int32(5)
+
+    def refresh(self, ids: np.ndarray) -> None:
+        """Statistics of a round; ``ids``: a row per step, a column per block."""
+        k = ids.shape[1]
+        for row in ids:
+            slot = (row * HASH >> 13 & SLOTS - 1) + self.base[:k]
+            times = self.seen[slot] + 1
+            self.seen[slot] = times
+            more = times > self.most[:k]
+            np.copyto(self.most[:k], times, where=more)
+            np.copyto(self.frequent[:k], row, where=more)
+        new = self.used.reshape(-1, 4, 4, 4).transpose(3, 1, 2, 0).astype(np.float64)
+        self.used[:] = 0
+        self._learn(new)
+        self.counts = np.floor((self.counts + new) * 0.875)
+        self.sizes += self.sized.reshape(-1, SIZES)
+        self.sized[:] = 0
+        self._distributions()
+
+    def _learn(self, new: np.ndarray) -> None:
+        """An order's weight follows the probability that it gave to the round's symbols."""
+        by2, by1 = _summed(new, 2), _summed(new, 1)
+        by0 = _summed(by1, 1)
+        n = np.maximum(_summed(by0, 0), 1)
+        for order, given in enumerate(
+            (_summed(by2 * self.by2, 1), _summed(by1 * self.by1, 1), by0 * self.by0)
+        ):
+            self.trust[order] += (_summed(given, 0) / n - self.trust[order]) * 0.25
+
+    def _distributions(self) -> None:
+        """Frequencies of the symbols by context, packed as four 16-bit fields, and of
+        the sizes. Sums, products and quotients of doubles are the same on every
+        machine; frequencies are rounded down to integers."""
+        by2, by1 = _summed(self.counts, 2), _summed(self.counts, 1)
+        by0 = _summed(by1, 1)
+        self.by2, self.by1, self.by0 = (
+            (p + 0.25) / (_summed(p, 0) + 1.0) for p in (by2, by1, by0)
+        )
+        weight = np.maximum(self.trust, 1 / 16) ** 2
+        weight = weight / (weight[0] + weight[1] + weight[2])
+        mix = self.by2[:, :, None] * weight[0] + self.by1[:, None] * weight[1]
+        mix += (self.by0 * weight[2])[:, None, None]
+        mix = np.floor(mix * (TOTAL - 128)).astype(np.uint64) + np.uint64(16)
+        mix = mix.transpose(0, 3, 1, 2).reshape(4, -1)
+        mix[MISS] = np.uint64(TOTAL) - mix[0] - mix[1] - mix[2]
+        first, second = mix[0], mix[0] + mix[1]
+        third = second + mix[2]
+        one, two, three = (np.uint64(16 * i) for i in (1, 2, 3))
+        self.packed_starts = first << one | second << two | third << three
+        self.packed_widths = mix[0] | mix[1] << one | mix[2] << two | mix[3] << three
+        part = self.sizes.astype(np.float64)
+        share = np.floor(part * ((TOTAL - 4 * SIZES) / part.sum(axis=1))[:, None]).astype(np.int64)
+        share += 4
+        share[:, 0] += TOTAL - share.sum(axis=1)
+        ends = np.cumsum(share, axis=1)
+        self.size_widths = share.ravel().astype(np.uint64)
+        self.size_starts = (ends - share).ravel().astype(np.uint64)
+        self.size_limits = ends[:, :-1].astype(np.uint64)
+
+    def size_bounds(self, own: np.ndarray, size: np.ndarray):
+        at = own * SIZES + size
+        self.sized[at] += 1
+        return self.size_starts[at], self.size_widths[at]
+
+
+def _size_of(ids: np.ndarray) -> np.ndarray:
+    bits = np.frexp(ids.astype(np.float64))[1]
+    return np.minimum(bits, SIZES - 1)
+
+
+def _plain_bits(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits coded plainly in the first and in the second part, by the size."""
+    large = size == SIZES - 1
+    return np.where(large, 15, np.maximum(size - 1, 0)), np.where(large, 15, 0)
 
 
 class _Writer:
@@ -132,43 +179,53 @@ class _Writer:
         self.words = np.zeros((lanes, BLOCK // 2 + 64), np.uint64)
         self.at = np.zeros(lanes, np.int64)
 
-    def put(self, own, start, frequency, total) -> None:
-        part = self.range[own] // total
-        low = self.low[own]
-        moved = low + start * part
-        wide = part * frequency
+    def put(self, k: int, start: np.ndarray, width: np.ndarray) -> None:
+        """A symbol in each of the first ``k`` blocks."""
+        low, wide = self.low[:k], self.range[:k]
+        part = wide >> SCALE
+        moved = start * part
+        moved += low
+        np.multiply(part, width, out=wide)
         carried = np.flatnonzero(moved < low)
+        low[:] = moved
+        self._settle(carried, np.flatnonzero(wide < ROOM))
+
+    def put_some(self, own: np.ndarray, start, width, value, bits) -> None:
+        """A size and the ``bits`` below the highest one, in the blocks ``own``."""
+        part = self.range[own] >> SCALE
+        low = self.low[own]
+        wide = part * width
+        shift = bits.astype(np.uint64)
+        inner = wide >> shift
+        moved = low + start * part + value.astype(np.uint64) * inner
+        self.low[own], self.range[own] = moved, inner
+        self._settle(own[moved < low], own[inner < ROOM])
+
+    def _settle(self, carried: np.ndarray, small: np.ndarray) -> None:
         if len(carried):
-            lanes = self.lanes_of(own, carried)
-            self.words[lanes, self.at[lanes] - 1] += np.uint64(1)
-        small = np.flatnonzero(wide < LIMIT)
+            self.words[carried, self.at[carried] - 1] += np.uint64(1)
         if len(small):
-            lanes = self.lanes_of(own, small)
-            self._emit(lanes, moved[small] >> SHIFT)
-            moved[small] <<= SHIFT
-            wide[small] <<= SHIFT
-        self.low[own] = moved
-        self.range[own] = wide
-
-    @staticmethod
-    def lanes_of(own, chosen: np.ndarray) -> np.ndarray:
-        return chosen if isinstance(own, slice) else own[chosen]
+            low = self.low[small]
+            self._emit(small, low >> WORD)
+            self.low[small] = low << WORD
+            self.range[small] <<= WORD
 
     def _emit(self, lanes: np.ndarray, words: np.ndarray) -> None:
-        if self.at[lanes].max() + 1 >= self.words.shape[1]:
+        at = self.at[lanes]
+        if at.max() + 1 >= self.words.shape[1]:
             self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[lanes, self.at[lanes]] = words
-        self.at[lanes] += 1
+        self.words[lanes, at] = words
+        self.at[lanes] = at + 1
 
     def finish(self) -> list[bytes]:
         every = np.arange(len(self.low))
-        self._emit(every, self.low >> SHIFT)
-        self._emit(every, self.low & LOW_HALF)
+        self._emit(every, self.low >> WORD)
+        self._emit(every, self.low & HALF)
         while True:
-            carry = self.words >> SHIFT
+            carry = self.words >> WORD
             if not carry.any():
                 break
-            self.words &= LOW_HALF
+            self.words &= HALF
             self.words[:, :-1] += carry[:, 1:]
         plain = self.words.astype("<u4")
         return [plain[i, : self.at[i]].tobytes() for i in every]
@@ -177,40 +234,46 @@ class _Writer:
 class _Reader:
     def __init__(self, payloads: list[bytes]):
         longest = max(len(p) // 4 for p in payloads) + 2
-        self.words = np.zeros((len(payloads), longest), np.uint64)
+        self.words = np.zeros((len(payloads), longest), np.uint32)
         for i, payload in enumerate(payloads):
             self.words[i, : len(payload) // 4] = np.frombuffer(payload, "<u4")
-        self.code = self.words[:, 0] << SHIFT | self.words[:, 1]
+        self.code = self.words[:, 0].astype(np.uint64) << WORD | self.words[:, 1]
         self.range = np.full(len(payloads), np.iinfo(np.uint64).max, np.uint64)
         self.at = np.full(len(payloads), 2, np.int64)
 
-    def value(self, own, total) -> tuple[np.ndarray, np.ndarray]:
-        part = self.range[own] // total
-        return np.minimum(self.code[own] // part, total - np.uint64(1)), part
-
-    def take(self, own, part, start, frequency) -> None:
-        code = self.code[own] - start * part
-        wide = part * frequency
-        small = np.flatnonzero(wide < LIMIT)
+    def take(self, k: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        """The symbols of the first ``k`` blocks, from packed frequencies."""
+        code, wide = self.code[:k], self.range[:k]
+        part = wide >> SCALE
+        symbol = np.zeros(k, np.int32)
+        for i in (1, 2, 3):
+            symbol += code >= (starts >> np.uint64(16 * i) & FIELD) * part
+        place = symbol.astype(np.uint64) << np.uint64(4)
+        code -= (starts >> place & FIELD) * part
+        np.multiply(part, widths >> place & FIELD, out=wide)
+        self._fill(np.flatnonzero(wide < ROOM))
+        return symbol
+
+    def size(self, own: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        self.part = self.range[own] >> SCALE
+        return (self.code[own][:, None] >= limits * self.part[:, None]).sum(axis=1)
+
+    def take_some(self, own: np.ndarray, start, width, bits) -> np.ndarray:
+        """The bits below the highest one, after ``size``."""
+        inner = self.part * width >> bits.astype(np.uint64)
+        code = self.code[own] - start * self.part
+        value = np.minimum(code // inner, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
+        self.code[own], self.range[own] = code - value * inner, inner
+        self._fill(own[inner < ROOM])
+        return value.astype(np.int64)
+
+    def _fill(self, small: np.ndarray) -> None:
         if len(small):
-            lanes = _Writer.lanes_of(own, small)
-            at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
-            code[small] = code[small] << SHIFT | self.words[lanes, at]
-            wide[small] <<= SHIFT
-            self.at[lanes] += 1
-        self.code[own] = code
-        self.range[own] = wide
-
-
-def _u64(values) -> np.ndarray:
-    return np.asarray(values).astype(np.uint64)
-
-
-def _raw_parts(size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(shift, number of bits) of what is coded plainly, by the class of the size."""
-    large = size >= SIZES - 1
-    low = np.where(large, 15, np.maximum(size - 1, 0))
-    return [(np.where(large, 15, 0), low), (np.zeros_like(size), np.where(large, 15, 0))]
+            at = self.at[small]
+            word = self.words[small, np.minimum(at, self.words.shape[1] - 1)]
+            self.code[small] = self.code[small] << WORD | word
+            self.range[small] <<= WORD
+            self.at[small] = at + 1
 
 
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -226,50 +289,51 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
 
 def _encode_lanes(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
     parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    lanes = len(parts)
-    columns = np.zeros((BLOCK, lanes), np.int32)
+    lanes, last = len(parts), len(parts[-1])
+    columns = np.zeros((len(parts[0]), lanes), np.int32)
     for i, part in enumerate(parts):
         columns[: len(part), i] = part
     model, out = _Model(lanes), _Writer(lanes)
-    for step in range(len(parts[0])):
-        k = lanes if step < len(parts[-1]) else lanes - 1
-        now = columns[step, :k]
+    for step, row in enumerate(columns):
+        k = lanes if step < last else lanes - 1
+        now = row[:k]
         model.predict(k)
-        symbol = np.where(
-            now == model.guess2,
-            HIT2,
-            np.where(now == model.guess1, HIT1, np.where(now == model.guess0, HIT0, MISS)),
-        )
-        lane = model.lane[:k]
-        frequency = model.frequency[lane, symbol]
-        out.put(slice(0, k), model.cumulated[symbol, lane] - frequency, frequency, model.cumulated[3])
+        symbol = np.where(now == model.guess0, np.int32(HIT0), np.int32(MISS))
+        symbol[now == model.guess1] = HIT1
+        symbol[now == model.guess2] = HIT2
+        place = symbol.astype(np.uint64) << np.uint64(4)
+        out.put(k, model.starts >> place & FIELD, model.widths >> place & FIELD)
         missed = np.flatnonzero(symbol == MISS)
         if len(missed):
-            _put_new(model, out, missed, now[missed].astype(np.int64))
+            _put_new(model, out, missed, now[missed])
         model.update(k, now, symbol)
+        _end_of_round(model, columns, step, last, lanes)
     return [
         (len(part), zlib.crc32(part.tobytes()), payload)
         for part, payload in zip(parts, out.finish())
     ]
 
 
+def _end_of_round(model: _Model, columns: np.ndarray, step: int, last: int, k: int) -> None:
+    """After a full round; blocks that have ended in it are left as they are."""
+    if (step + 1) % ROUND == 0:
+        model.refresh(columns[step + 1 - ROUND : step + 1, : k if step < last else k - 1])
+
+
 def _put_new(model: _Model, out: _Writer, own: np.ndarray, ids: np.ndarray) -> None:
-    size = np.minimum(_bit_length(ids), SIZES - 1)
-    counts, cumulated = model.size_frequencies(own)
-    each = np.arange(len(own))
-    frequency = _u64(counts[each, size])
-    out.put(own, _u64(cumulated[each, size]) - frequency, frequency, _u64(cumulated[:, -1]))
-    model.update_sizes(own, size)
-    for shift, bits in _raw_parts(size):
-        some = np.flatnonzero(bits)
-        if len(some):
-            value = ids[some] >> shift[some] & (1 << bits[some]) - 1
-            one = np.ones(len(some), np.uint64)
-            out.put(own[some], _u64(value), one, _u64(1 << bits[some]))
+    size = _size_of(ids)
+    first, second = _plain_bits(size)
+    start, width = model.size_bounds(own, size)
+    out.put_some(own, start, width, ids >> second & (1 << first) - 1, first)
+    large = np.flatnonzero(second)
+    if len(large):
+        nothing, whole = np.zeros(len(large), np.uint64), np.full(len(large), TOTAL, np.uint64)
+        out.put_some(own[large], nothing, whole, ids[large] & (1 << 15) - 1, second[large])
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    """The ids of blocks in order; raises where a checksum does not agree."""
+    """The ids of blocks in order, of which only the last may be short; raises where a
+    checksum does not agree."""
     made = []
     for start in range(0, len(blocks), LANES):
         made.append(_decode_lanes(blocks[start : start + LANES]))
@@ -277,49 +341,38 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
 
 
 def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    order = sorted(range(len(blocks)), key=lambda i: -blocks[i][0])
-    lengths = np.array([blocks[i][0] for i in order])
-    columns = np.zeros((int(lengths[0]), len(blocks)), np.int32)
-    model, source = _Model(len(blocks)), _Reader([blocks[i][2] for i in order])
-    for step in range(int(lengths[0])):
-        k = int(np.searchsorted(-lengths, -step))  # blocks with more than ``step`` ids
+    lanes, longest, last = len(blocks), blocks[0][0], blocks[-1][0]
+    columns = np.zeros((longest, lanes), np.int32)
+    model, source = _Model(lanes), _Reader([payload for _, _, payload in blocks])
+    for step, row in enumerate(columns):
+        k = lanes if step < last else lanes - 1
         model.predict(k)
-        lane, every = model.lane[:k], slice(0, k)
-        value, part = source.value(every, model.cumulated[3])
-        symbol = (value >= model.cumulated[:3]).sum(axis=0)
-        frequency = model.frequency[lane, symbol]
-        source.take(every, part, model.cumulated[symbol, lane] - frequency, frequency)
-        now = np.where(
-            symbol == HIT2, model.guess2, np.where(symbol == HIT1, model.guess1, model.guess0)
-        )
+        symbol = source.take(k, model.starts, model.widths)
+        now = np.where(symbol == HIT2, model.guess2, model.guess1)
+        np.copyto(now, model.guess0, where=symbol == HIT0)
         missed = np.flatnonzero(symbol == MISS)
         if len(missed):
             now[missed] = _take_new(model, source, missed)
         model.update(k, now, symbol)
-        columns[step, :k] = now
-    out: list = [None] * len(blocks)
-    for lane, i in enumerate(order):
-        ids = columns[: blocks[i][0], lane].astype("<u4")
-        if zlib.crc32(ids.tobytes()) != blocks[i][1]:
+        row[:k] = now
+        _end_of_round(model, columns, step, last, lanes)
+    ids = [columns[:n, i].astype("<u4") for i, (n, _, _) in enumerate(blocks)]
+    for own, (_, check, _) in zip(ids, blocks):
+        if zlib.crc32(own.tobytes()) != check:
             raise ValueError("a block's checksum does not agree with its ids")
-        out[i] = ids
-    return np.concatenate(out)
+    return np.concatenate(ids)
 
 
 def _take_new(model: _Model, source: _Reader, own: np.ndarray) -> np.ndarray:
-    counts, cumulated = model.size_frequencies(own)
-    value, part = source.value(own, _u64(cumulated[:, -1]))
-    size = (value[:, None] >= _u64(cumulated[:, :-1])).sum(axis=1)
-    each = np.arange(len(own))
-    frequency = _u64(counts[each, size])
-    source.take(own, part, _u64(cumulated[each, size]) - frequency, frequency)
-    model.update_sizes(own, size)
-    ids = np.where((size > 0) & (size < SIZES - 1), 1 << np.maximum(size - 1, 0), 0)
-    for shift, bits in _raw_parts(size):
-        some = np.flatnonzero(bits)
-        if len(some):
-            total = _u64(1 << bits[some])
-            value, part = source.value(own[some], total)
-            source.take(own[some], part, value, np.ones(len(some), np.uint64))
-            ids[some] |= value.astype(np.int64) << shift[some]
+    size = source.size(own, model.size_limits[own])
+    first, second = _plain_bits(size)
+    start, width = model.size_bounds(own, size)
+    low = source.take_some(own, start, width, first)
+    top = np.where((size > 0) & (second == 0), 1 << np.maximum(size - 1, 0), 0)
+    ids = top | low << second
+    large = np.flatnonzero(second)
+    if len(large):
+        source.size(own[large], np.zeros((len(large), 0), np.uint64))
+        nothing, whole = np.zeros(len(large), np.uint64), np.full(len(large), TOTAL, np.uint64)
+        ids[large] |= source.take_some(own[large], nothing, whole, second[large])
     return ids.astype(np.int32)
