@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
+from docengine.llm.mixing import mix
 from docengine.llm.packing import pack
 from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
 from docengine.llm.token_counts import empty_cache, token_counts
@@ -77,3 +78,9 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op7_secret_scan"] = SECRET_SQL
+
+
+@query
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed_rows = mix(table(spark, folder, "documents"))
+    return mixed_rows.select("doc_id", "size", "source_size", "target", "taken", "shards")
