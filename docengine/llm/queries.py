@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
 from docengine.llm.mixing import mix
+from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
 from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
 from docengine.llm.token_counts import empty_cache, token_counts
@@ -84,3 +85,10 @@ ORACLE["op7_secret_scan"] = SECRET_SQL
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed_rows = mix(table(spark, folder, "documents"))
     return mixed_rows.select("doc_id", "size", "source_size", "target", "taken", "shards")
+
+
+@query
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_documents(table(spark, folder, "documents")).select(
+        "doc_id", "class_id", "n_links", "component_id", "kept"
+    )
