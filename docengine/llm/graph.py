@@ -55,21 +55,18 @@ def groups(
 
 
 class Forest:
-    """Union-find over the rows of a tile, rooted at the first row."""
+    """Groups of the rows of a tile that links join; a group is named by its first row."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.name = np.arange(n)
+
+    def join(self, i: int, others: np.ndarray) -> None:
+        names = np.unique(np.append(self.name[others], self.name[i]))
+        if len(names) > 1:
+            self.name[np.isin(self.name, names)] = names[0]
 
     def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+        return int(self.name[i])
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

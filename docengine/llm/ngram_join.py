@@ -298,10 +298,10 @@ def _linked(sets, copies, earlier, block, across: bool, similarity: float):
         others = np.flatnonzero(good)
         if len(others) and earlier.shape[1]:
             others = others[~(earlier[others] == earlier[i]).any(axis=1)]
-        for j in others.tolist():
-            linked[i] += copies[j]
-            linked[j] += copies[i]
-            root.join(i, j)
+        if len(others):
+            linked[i] += copies[others].sum()
+            linked[others] += copies[i]
+            root.join(i, others)
     return linked, root
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
+from docengine.llm.embedding_dedup import linked_vectors
 from docengine.llm.mixing import mix
 from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
 from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
 from docengine.llm.token_counts import empty_cache, token_counts
 from docengine.llm.token_output import read_token_files, write_token_files
+from docengine.llm.topk import top_k
 from docengine.llm.warc import checked_revisits, choose_records, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +94,30 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return linked_documents(table(spark, folder, "documents")).select(
         "doc_id", "class_id", "n_links", "component_id", "kept"
     )
+
+
+@query
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linked_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLE["op3_top_k"] = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5"""
