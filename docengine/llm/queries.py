@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
 from docengine.llm.embedding_dedup import linked_vectors
+from docengine.llm.langid import held_out, learn, predict
 from docengine.llm.mixing import mix
 from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
@@ -25,6 +26,7 @@ ORACLE: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(fn: Query) -> Query:
@@ -121,3 +123,15 @@ WITH scaled AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5"""
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(
+        "doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out")
+    )
+    pieces = public_tokenizers.path(PIECE_BPE)
+    model = learn(rows, ~F.col("held_out"), pieces)
+    return predict(rows.drop("lang"), model, pieces).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
