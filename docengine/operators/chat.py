@@ -23,16 +23,12 @@ RECORDED_RESULT = r"(?s)<uc_function_result>(.*?)</uc_function_result>"
 
 
 def prepend_system(messages: DataFrame, prompt: str) -> DataFrame:
-    """Every conversation starts with a system message: where there is none,
-    one with ``prompt`` is added at turn -1."""
-    lacking = (
-        messages.groupBy("conv_id")
-        .agg(F.max(F.col("role") == "system").alias("has_system"))
-        .filter(~F.coalesce("has_system", F.lit(False)))
-    )
-    added = lacking.select(
+    """Every conversation starts with ``prompt`` as a system message, also one that has
+    a system message of its own: it is added before the first turn."""
+    first = messages.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    added = first.select(
         "conv_id",
-        F.lit(-1).cast("bigint").alias("turn"),
+        (F.least("first", F.lit(0)) - 1).cast("bigint").alias("turn"),
         F.lit("system").alias("role"),
         F.lit(prompt).alias("text"),
     )
@@ -42,9 +38,7 @@ def prepend_system(messages: DataFrame, prompt: str) -> DataFrame:
 def prepend_system_message(messages: Column, prompt: str) -> Column:
     """The same for a column ``array<struct<role, content>>``."""
     system = F.struct(F.lit("system").alias("role"), F.lit(prompt).alias("content"))
-    return F.when(
-        F.exists(messages, lambda message: message["role"] == "system"), messages
-    ).otherwise(F.array_prepend(messages, system))
+    return F.array_prepend(messages, system)
 
 
 def _object(**fields: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docengine.functions.text import fill_template, windows
@@ -59,33 +59,42 @@ def rejected_responses(responses: DataFrame, response: str = "glossary_json") ->
     return responses.filter(F.col(response).isNotNull() & _items(F.col(response)).isNull())
 
 
+# The name of the SQL function and the columns that it returns.
+LOOKUP_FUNCTION = "lookup_glossary"
+FOUND = ("definition", "certainty")
+
+
+def _answers(term: str, min_certainty: int) -> str:
+    """The one rule of all lookups, in SQL: an entry answers a term (an SQL expression)
+    when it is certain enough and its acronym fits the trimmed term as a pattern."""
+    return f"NOT certainty < {int(min_certainty)} AND acronym ILIKE trim({term})"
+
+
+def _in_order() -> list[Column]:
+    """Answers come most certain first, then by definition."""
+    return [F.col("certainty").desc(), F.col("definition")]
+
+
 def create_lookup_function(
     spark: SparkSession, glossary: str, min_certainty: int = MIN_CERTAINTY
 ) -> None:
-    """SQL table function ``lookup_glossary(term)`` over a table or view.
-
-    The trimmed term is an ILIKE pattern: ``%`` and ``_`` in it are wildcards.
-    """
+    """SQL table function ``lookup_glossary(term)`` over a table or view: ``lookup_term``
+    for SQL users. Its columns have the types that they have in the glossary."""
+    kinds = dict(spark.table(glossary).dtypes)
+    columns = ", ".join(f"{name} {kinds[name]}" for name in FOUND)
     spark.sql(
-        f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION lookup_glossary(term STRING)
-        RETURNS TABLE(definition STRING, certainty INT)
-        RETURN SELECT g.definition, g.certainty FROM {glossary} AS g
-               WHERE g.certainty >= {int(min_certainty)} AND g.acronym ILIKE trim(term)
-               ORDER BY g.certainty DESC, g.definition
-        """
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {LOOKUP_FUNCTION}(term STRING) "
+        f"RETURNS TABLE({columns}) RETURN FROM {glossary} "
+        f"|> WHERE {_answers('term', min_certainty)} "
+        f"|> SELECT {', '.join(FOUND)} |> ORDER BY certainty DESC, definition"
     )
 
 
 def lookup_term(glossary: DataFrame, term: str, min_certainty: int = MIN_CERTAINTY) -> DataFrame:
     """Definitions of one term, most certain first."""
-    return (
-        glossary.filter(
-            F.col("acronym").ilike(term.strip(" ")) & (F.col("certainty") >= min_certainty)
-        )
-        .orderBy(F.col("certainty").desc(), "definition")
-        .select("definition", "certainty")
-    )
+    asked = glossary.withColumn("_term", F.lit(term))
+    found = asked.filter(F.expr(_answers("_term", min_certainty)))
+    return found.orderBy(*_in_order()).select(*FOUND)
 
 
 # A pattern is found through one run of its literal characters.
@@ -124,7 +133,7 @@ def lookup_batch(
     term: str = "term",
     min_certainty: int = MIN_CERTAINTY,
 ) -> DataFrame:
-    """The lookup for a table of terms: term, ``rank``, definition, certainty.
+    """The lookup for a table of terms: term, definition, certainty, ``rank``.
 
     Plain terms meet acronyms by an equality join. Terms with wildcards are
     first resolved against the distinct acronyms: an equality join on a short
@@ -152,50 +161,54 @@ def lookup_batch(
         .filter(F.expr("_acronym ILIKE _wanted"))
         .select(term, "_acronym")
     )
-    return plain.unionByName(matched).join(known, "_acronym").select(term, "definition", "certainty")
+    found = plain.unionByName(matched).join(known, "_acronym").select(term, *FOUND)
+    return ranked_lookup(found, term)
 
 
 def ranked_lookup(found: DataFrame, term: str = "term") -> DataFrame:
     """Number each term's definitions, most certain first."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(term).orderBy(F.col("certainty").desc(), "definition")
+    order = Window.partitionBy(term).orderBy(*_in_order())
     return found.withColumn("rank", F.row_number().over(order))
 
 
-# Fixed pattern: up to ten words, then capitals in parentheses.
-_DEFINITION = (
-    r"(?<![\p{L}\p{N}'-])((?:[\p{L}\p{N}'-]++ ++){1,10})\(([A-Z]{2,10})\)"
-)
+# An acronym in parentheses: at least two capitals of any script, with digits,
+# hyphens and ampersands, and perhaps a small plural s.
+_ACRONYM = r"\((\p{Lu}[\p{N}&-]*+\p{Lu}[\p{Lu}\p{N}&-]*+s?)\)"
 
 
 def mine_acronyms(
     documents: DataFrame, text: str = "text", min_certainty: int = 1
 ) -> DataFrame:
-    """Acronyms defined in a text as ``Long Form (LF)``.
+    """Acronyms defined in a text as ``Long Form (LF)``, of any length.
 
-    The long form is the last words before the parenthesis, as many as the
-    acronym has letters; certainty is the share of letters that begin their word.
+    The long form is the last words before the parenthesis, back to the last
+    punctuation at most, as many as the acronym has capitals; certainty is the
+    share of capitals that begin their word.
     """
     kept = [name for name in documents.columns if name != text]
     found = F.arrays_zip(
-        F.regexp_extract_all(F.col(text), F.lit(_DEFINITION), F.lit(1)).alias("lead"),
-        F.regexp_extract_all(F.col(text), F.lit(_DEFINITION), F.lit(2)).alias("acronym"),
+        F.split(F.col(text), _ACRONYM, -1).alias("before"),
+        F.regexp_extract_all(F.col(text), F.lit(_ACRONYM), F.lit(1)).alias("acronym"),
     )
-    words = F.split(F.trim(F.col("lead")), " +")
-    taken = F.least(F.size(words), F.length("acronym"))
-    letters = F.reverse(F.split(F.col("acronym"), ""))
+    clause = F.element_at(F.split("before", r"[^\p{L}\p{N}' -]"), -1)
+    words = F.filter(F.split(clause, " "), lambda word: word != "")
+    capitals = F.split(F.regexp_replace("acronym", r"[^\p{Lu}]", ""), "")
+    letters = F.reverse(F.filter(capitals, lambda letter: letter != ""))
+    taken = F.least(F.size("all_words"), F.size(letters))
     initials = F.reverse(
         F.transform(F.col("words"), lambda word: F.upper(F.substring(word, 1, 1)))
     )
     hits = F.size(
         F.filter(F.zip_with(letters, initials, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda hit: hit)
     )
-    certainty = F.floor(hits * 100 / F.length("acronym")).cast("int")
+    certainty = F.floor(hits * 100 / F.size(letters)).cast("int")
     return (
         documents.filter(F.col(text).contains("("))
         .select(*kept, F.inline(found))
-        .withColumn("words", F.slice(words, -taken, taken))
+        .filter(F.col("acronym").isNotNull())
+        .filter(F.col("before").endswith(" "))
+        .withColumn("all_words", words)
+        .withColumn("words", F.slice("all_words", -taken, taken))
         .select(
             *kept,
             "acronym",

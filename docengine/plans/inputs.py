@@ -50,7 +50,7 @@ def dated_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as files of several types whose first page may hold a date.
 
     The date is that of the order with the document's number; the order's
-    priority decides how it is written. Long French files could not be read.
+    priority decides how it is written. French files of one source could not be read.
     """
     day = F.date_format("o_orderdate", "d MMMM yyyy")
     month = F.date_format("o_orderdate", "MMMM yyyy")
@@ -68,7 +68,7 @@ def dated_files(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("lang") == "de", ".tar.gz")
         .otherwise("")
     )
-    damaged = (F.col("lang") == "fr") & (F.col("n_chars") > 5000)
+    damaged = (F.col("lang") == "fr") & (F.col("source") == "src7")
     joined = documents(spark, folder).join(
         table(spark, folder, "orders").select(
             "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"

@@ -70,7 +70,7 @@ files AS (
                 WHEN priority = '5-LOW' THEN 'defining a may 12345'
                 WHEN state = 'F' THEN 'no date here'
                 ELSE 'Published on' || {NL} || month END, '') AS first_page,
-           lang = 'fr' AND n_chars > 5000 AS damaged
+           lang = 'fr' AND source = 'src7' AS damaged
     FROM dated
 )
 """
@@ -426,8 +426,8 @@ MESSAGE_OBJECT = "{'role': role, 'content': text}"
 
 ORACLE: dict[str, str] = {
     "file_scan": """
-        SELECT table_name || '.parquet' AS file_name, '.parquet' AS file_extension
-        FROM information_schema.tables WHERE table_schema = 'main'
+        SELECT doc_id, 'lang=' || lang || '/source=' || source AS folder, length(text)::INT AS length
+        FROM documents
     """,
     "file_listing": r"""
         SELECT lower(string_split(url, '/')[-1]) AS file_name, url AS full_path,
@@ -625,8 +625,9 @@ ORACLE: dict[str, str] = {
             UNION SELECT '_' || n_name[2] FROM nation
             UNION SELECT r_name FROM region
         )
-        SELECT term, definition, certainty FROM terms JOIN glossary ON acronym ILIKE trim(term)
-        WHERE certainty >= 80
+        SELECT term, definition, certainty,
+               row_number() OVER (PARTITION BY term ORDER BY certainty DESC, definition)::INT AS rank
+        FROM terms JOIN glossary ON acronym ILIKE trim(term) WHERE certainty >= 80
     """,
     "mine_acronyms": f"""
         WITH {PARTS},
@@ -642,8 +643,8 @@ ORACLE: dict[str, str] = {
     "system_prepend": """
         SELECT conv_id, turn, role, text FROM conversations
         UNION ALL
-        SELECT conv_id, -1, 'system', 'You answer questions about the documents.'
-        FROM conversations GROUP BY conv_id HAVING NOT bool_or(role = 'system')
+        SELECT conv_id, least(min(turn), 0) - 1, 'system', 'You answer questions about the documents.'
+        FROM conversations GROUP BY conv_id
     """,
     "render_messages": f"""
         SELECT conv_id, string_agg(

@@ -29,7 +29,7 @@ from docengine.operators.retrieval import (
 )
 from docengine.plans import inputs
 from docengine.plans.inputs import documents, table
-from docengine.schemas import BRONZE, GLOSSARY, GLOSSARY_ITEMS
+from docengine.schemas import BRONZE, GLOSSARY
 from docengine.session import materialise, spread, work_folder
 from docengine.sources import tables
 from docengine.sources.files import list_files, scan_files
@@ -52,7 +52,20 @@ def query(fn: Query) -> Query:
 
 @query
 def file_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return list_files(scan_files(spark, folder)).select("file_name", "file_extension")
+    """Documents as files in nested folders, found again and read on the executors."""
+    place = work_folder(spark, "files")
+    record = F.to_json(F.struct("doc_id", "text"))
+    table(spark, folder, "documents").select(
+        "lang", "source", record.alias("value")
+    ).write.partitionBy("lang", "source").text(place)
+    found = scan_files(spark, place).select(
+        F.regexp_extract("path", "(lang=[^/]*/source=[^/]*)/[^/]*$", 1).alias("folder"),
+        F.explode(F.split(F.rtrim(F.col("content").cast("string"), F.lit("\n")), "\n")).alias("line"),
+    )
+    read = F.from_json("line", "doc_id bigint, text string")
+    return found.withColumn("read", read).select(
+        "read.doc_id", "folder", F.length("read.text").alias("length")
+    )
 
 
 @query
@@ -368,22 +381,12 @@ def glossary_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def glossary_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Create the glossary table if absent (twice) and insert into it in SQL."""
+    """Create the glossary table if absent (twice) and insert the flattened responses."""
     name = f"glossary_{uuid.uuid4().hex}"
     place = work_folder(spark, "glossary")
     for _ in range(2):
         tables.create_table_if_absent(spark, name, GLOSSARY, place)
-    inputs.glossary_responses(spark, folder).createOrReplaceTempView("glossary_responses")
-    spark.sql(
-        f"""
-        INSERT INTO {name} (file_name, acronym, definition, certainty)
-        SELECT r.file_name, i.acronym, i.definition, i.certainty
-        FROM glossary_responses AS r
-        LATERAL VIEW inline(from_json(r.glossary_json, '{GLOSSARY_ITEMS}')) i
-            AS acronym, definition, certainty
-        """
-    )
-    return spark.table(name)
+    return tables.insert_rows(_glossary(spark, folder), name)
 
 
 @query
@@ -490,8 +493,10 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
     chunks = chunking.sequential_chunks(F.col("text"), element_regex=inputs.ELEMENT)
 
     def gold(batch: DataFrame) -> DataFrame:
-        return chunking.chunk_documents(_as_bronze(batch), chunks).select(
-            "uuid", "content", "char_length"
+        bronze = _as_bronze(batch)
+        rows = chunking.chunk_documents(bronze, chunks)
+        return streaming.with_tombstones(
+            rows.select("file_name", "uuid", "content", "char_length"), bronze, "file_name"
         )
 
     schema = gold(table(spark, folder, "documents")).schema
@@ -499,4 +504,4 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
         streaming.upsert_stream(
             _document_stream(spark, folder), gold, f"{place}/gold", f"{place}/checkpoint"
         ).awaitTermination()
-    return streaming.current_rows(spark, f"{place}/gold", schema)
+    return streaming.current_rows(spark, f"{place}/gold", schema, owner="file_name").drop("file_name")

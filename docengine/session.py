@@ -51,14 +51,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Even out a scan that has fewer splits than the session has cores.
+    """Even out a scan before per-row work such as chunking.
 
-    Large tables already come in many splits and pass through without a
-    shuffle; a few big files (or one) are hash-distributed on ``keys`` so that
-    per-row work such as chunking uses every core. For scans only: asking a
-    plan with a shuffle for its partitions would run it.
+    The rebalance hint leaves the number and the size of partitions to adaptive
+    execution, which also splits those that one key fills.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, *keys)
+    return df.hint("rebalance", *keys)

@@ -85,12 +85,32 @@ def upsert_stream(
     return ingest_stream(stream, transform, target, checkpoint)
 
 
+def with_tombstones(rows: DataFrame, brought: DataFrame, owner: str) -> DataFrame:
+    """Rows of a micro-batch, and for each owner that it brought (a file, say) a row
+    that holds nothing else: it ends the owner's earlier rows even where no new row
+    takes their place."""
+    return rows.unionByName(brought.select(owner).distinct(), allowMissingColumns=True)
+
+
 def current_rows(
-    spark: SparkSession, target: str, schema: StructType, key: str = "uuid"
+    spark: SparkSession,
+    target: str,
+    schema: StructType,
+    key: str = "uuid",
+    owner: str | None = None,
 ) -> DataFrame:
-    """The latest row per key; a key rewritten often is combined on the map side."""
+    """The rows that hold now.
+
+    With ``owner``, the rows of each owner's latest batch: what a file no longer has
+    goes with its earlier batches, and only owners and batch numbers are grouped.
+    Rows without a key are tombstones. Without it, the latest row per key.
+    """
     with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
     logged = spark.read.schema(with_batch).parquet(target)
+    if owner:
+        latest = logged.groupBy(owner).agg(F.max("batch_id").alias("batch_id"))
+        held = logged.filter(F.col(key).isNotNull()).join(latest, [owner, "batch_id"])
+        return held.select(*schema.fieldNames())
     columns = [name for name in logged.columns if name not in (key, "batch_id")]
     return (
         logged.groupBy(key)
@@ -99,6 +119,13 @@ def current_rows(
     )
 
 
-def compact(spark: SparkSession, target: str, schema: StructType, into: str, key: str = "uuid") -> None:
+def compact(
+    spark: SparkSession,
+    target: str,
+    schema: StructType,
+    into: str,
+    key: str = "uuid",
+    owner: str | None = None,
+) -> None:
     """Write the current rows as batch 0 of a new folder, to read from later on."""
-    current_rows(spark, target, schema, key).write.mode("overwrite").parquet(f"{into}/batch_id=0")
+    current_rows(spark, target, schema, key, owner).write.mode("overwrite").parquet(f"{into}/batch_id=0")

@@ -71,11 +71,17 @@ def test_requests_use_like_on_the_name(spark):
 
 def test_mined_acronyms(spark):
     text = ("The Distribution System Operation (DSO) and the Output Delivery Incentive (ODI), see "
-            "(above) or Annual Report (ARX) or x (Q) and nothing at all (ZZ).")
+            "(above) or Annual Report (ARX) or x (Q) and nothing at all (ZZ). Revenue Incentives Innovation "
+            "Outputs Electricity Distribution (RIIO-ED2), Distribution Network Operators (DNOs), "
+            "a b c d e f g h i j k l (ABCDEFGHIJKL), Ökologische Ämter (ÖÄ).")
     rows = spark.createDataFrame([(1, text), (2, None), (3, "plain")], "id int, text string")
     assert [tuple(r) for r in glossary.mine_acronyms(rows).collect()] == [
         (1, "DSO", "Distribution System Operation", 100),
         (1, "ODI", "Output Delivery Incentive", 100),
+        (1, "RIIO-ED2", "Revenue Incentives Innovation Outputs Electricity Distribution", 100),
+        (1, "DNOs", "Distribution Network Operators", 100),
+        (1, "ABCDEFGHIJKL", "a b c d e f g h i j k l", 100),
+        (1, "ÖÄ", "Ökologische Ämter", 100),
     ]
 
 
@@ -125,7 +131,9 @@ def test_system_message(spark):
     rows = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "u"), (2, 0, "user", "v")],
                                  "conv_id bigint, turn bigint, role string, text string")
     got = sorted(tuple(r) for r in chat.prepend_system(rows, "P").collect())
-    assert got == [(1, 0, "system", "s"), (1, 1, "user", "u"), (2, -1, "system", "P"), (2, 0, "user", "v")]
+    assert got == [
+        (1, -1, "system", "P"), (1, 0, "system", "s"), (1, 1, "user", "u"), (2, -1, "system", "P"), (2, 0, "user", "v")
+    ]
     column = F.from_json(F.lit('[{"role":"user","content":"v"}]'), "array<struct<role:string,content:string>>")
     made = spark.range(1).select(chat.prepend_system_message(column, "P").alias("m")).first()["m"]
     assert [tuple(m) for m in made] == [("system", "P"), ("user", "v")]

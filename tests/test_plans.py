@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from docengine.plans.queries import QUERIES
 from docengine.functions import text as tx
 from docengine.operators import chunking, embedding, ingest, retrieval
 
@@ -16,7 +17,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_no_cross_join_and_no_row_at_a_time_python(spark, name):
     found = plan(driver.queries()[name](spark, FOLDER))
     assert not re.search("CartesianProduct|BroadcastNestedLoopJoin|BatchEvalPython", found)

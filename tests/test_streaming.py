@@ -49,3 +49,19 @@ def test_upsert_keeps_the_latest_row_and_compacts(spark, tmp_path):
     st.compact(spark, target, chunk_schema, str(tmp_path / "compact"))
     kept = st.current_rows(spark, str(tmp_path / "compact"), chunk_schema)
     assert kept.count() == 3
+
+
+def test_rows_that_an_owner_no_longer_has_go(spark, tmp_path):
+    target = str(tmp_path / "log")
+    columns = "path string, uuid string, content string"
+    brought = [
+        [("/a/x", "x_0", "one"), ("/a/x", "x_1", "two"), ("/b/x", "x_0", "other"), ("/c", "c_0", "c")],
+        [("/a/x", "x_0", "short"), ("/c", None, None)],
+    ]
+    for number, rows in enumerate(brought):
+        made = spark.createDataFrame(rows, columns)
+        logged = st.with_tombstones(made.filter("uuid is not null"), made, "path")
+        logged.write.parquet(f"{target}/batch_id={number}")
+    schema = spark.createDataFrame([], columns).schema
+    now = st.current_rows(spark, target, schema, owner="path")
+    assert sorted(tuple(r) for r in now.collect()) == [("/a/x", "x_0", "short"), ("/b/x", "x_0", "other")]
