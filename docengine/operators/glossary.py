@@ -84,9 +84,8 @@ def create_lookup_function(
     columns = ", ".join(f"{name} {kinds[name]}" for name in FOUND)
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION {LOOKUP_FUNCTION}(term STRING) "
-        f"RETURNS TABLE({columns}) RETURN FROM {glossary} "
-        f"|> WHERE {_answers('term', min_certainty)} "
-        f"|> SELECT {', '.join(FOUND)} |> ORDER BY certainty DESC, definition"
+        f"RETURNS TABLE({columns}) RETURN SELECT {', '.join(FOUND)} FROM {glossary} "
+        f"WHERE {_answers('term', min_certainty)} ORDER BY certainty DESC, definition"
     )
 
 
