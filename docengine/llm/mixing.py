@@ -26,7 +26,6 @@ CYCLE = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 20_000
 MOST_BLOCKS = 4096  # per source; blocks of a larger source are larger
 SHARD_WORDS = 1_000_000
-CHUNK = 1 << 20
 
 
 def word_count(text: Column) -> Column:
