@@ -377,11 +377,12 @@ def suggested_chunks(responses: DataFrame, text: str = "text", response: str = "
     """Rows from model-suggested chunks given as JSON, possibly in single quotes.
 
     ``verbatim`` tells whether the chunk occurs unchanged in its source text.
-    Responses that are no JSON array give no rows.
+    Responses that are no JSON array, a lone object among them, give no rows.
     """
     from docengine.schemas import MODEL_CHUNKS
 
-    parsed = F.from_json(F.trim(F.col(response), F.lit("'")), MODEL_CHUNKS)
+    listed = F.trim(F.trim(F.col(response), F.lit("'")), F.lit(EDGES))
+    parsed = F.when(listed.startswith("["), F.from_json(listed, MODEL_CHUNKS))
     kept = [name for name in responses.columns if name not in (text, response)]
     return responses.select(*kept, text, F.inline(parsed)).select(
         *kept,

@@ -2,53 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from docengine.session import materialise
 
 QUARTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75}
-BUCKETS = 4096
+RANGES = 256
 
 
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per integer column, with exact interpolated quartiles.
+    """One row per numeric column, with exact interpolated quartiles.
 
-    The table is read once into a histogram (value, rows) per column, combined
-    before the shuffle and written down. Quartiles are then looked up in two steps so that no
-    task holds a whole column: rows per value range first (at most ``BUCKETS``
-    ranges per column), then only the ranges a quartile falls into.
+    Nulls and NaN are left out, as are columns without any value. Whole numbers are
+    summed as decimals; other types are taken as doubles.
     """
-    values = table.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column_name"),
-                        F.col(name).cast("bigint").alias("value"),
-                    )
-                    for name in columns
-                ]
-            )
-        )
-    ).filter(F.col("value").isNotNull())
+    whole = [c for c in columns if isinstance(table.schema[c].dataType, IntegralType)]
+    other = [c for c in columns if c not in whole]
+    kinds = [(whole, "bigint"), (other, "double")]
+    return reduce(
+        DataFrame.unionByName, [_described(table, names, kind) for names, kind in kinds if names]
+    )
+
+
+def _described(table: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """The profile of columns that are taken as one type.
+
+    The table is read once into a histogram (value, rows) per column, combined before
+    the shuffle and written down. Quartiles are then looked up in two steps, so that no
+    task holds a whole column: rows per value range first, then only the ranges that a
+    quartile falls into. The ranges hold about as many distinct values each, however
+    the values lie; which values bound them does not change the result.
+    """
+    pairs = [
+        F.struct(F.lit(name).alias("column_name"), F.col(name).cast(kind).alias("value"))
+        for name in columns
+    ]
+    values = table.select(F.inline(F.array(*pairs))).filter(F.col("value").isNotNull())
+    if kind == "double":
+        values = values.filter(~F.isnan("value"))
     histogram = materialise(
         values.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")), "histogram"
     )
 
-    weight = F.col("n").cast("decimal(38,0)")
-    value = F.col("value").cast("decimal(38,0)")
-    totals = histogram.groupBy("column_name").agg(
-        F.sum("n").alias("count"),
-        F.sum(value * weight).cast("double").alias("_sum"),
-        F.sum(value * value * weight).cast("double").alias("_squares"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    exact = "decimal(38,0)" if kind == "bigint" else "double"
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    totals = materialise(
+        histogram.groupBy("column_name").agg(
+            F.sum("n").alias("count"),
+            F.sum(F.col("value").cast(exact) * F.col("n").cast(exact)).cast("double").alias("_sum"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+            F.percentile_approx("value", shares, RANGES * 16).alias("_bounds"),
+        ).withColumn("mean", F.col("_sum") / F.col("count")),
+        "totals",
+    )
+    below = F.size(F.filter("_bounds", lambda bound: bound < F.col("value")))
+    # One row per column of the table, so the broadcast does not grow with its rows.
+    placed = histogram.join(F.broadcast(totals), "column_name").withColumn("bucket", below)
+    quartiles = _quartiles(placed)
+    away = F.col("value").cast("double") - F.col("mean")
+    deviations = placed.groupBy("column_name").agg(F.sum(away * away * F.col("n")).alias("_away"))
+    count = F.col("count")
+    return (
+        totals.join(F.broadcast(quartiles), "column_name")
+        .join(F.broadcast(deviations), "column_name")
+        .select(
+            "column_name",
+            "count",
+            "mean",
+            F.when(count > 1, F.sqrt(F.col("_away") / (count - 1))).alias("std"),
+            F.col("min").cast("double").alias("min"),
+            *QUARTILES,
+            F.col("max").cast("double").alias("max"),
+        )
     )
-    span = F.col("max") - F.col("min") + 1
-    bucket = F.floor((F.col("value") - F.col("min")) * BUCKETS / span).cast("int")
-    placed = histogram.join(F.broadcast(totals), "column_name").withColumn("bucket", bucket)
 
+
+def _quartiles(placed: DataFrame) -> DataFrame:
+    """``placed``: the histogram with each column's row count and each value's range."""
     in_order = Window.partitionBy("column_name").orderBy("bucket")
     ranges = (
         placed.groupBy("column_name", "bucket", "count")
@@ -81,38 +116,28 @@ def profile(table: DataFrame, columns: list[str]) -> DataFrame:
     ).select(
         "column_name",
         "bucket",
-        "value",
+        F.col("value").cast("double").alias("value"),
         (F.sum("n").over(within) - F.col("n")).alias("first"),
         F.sum("n").over(within).alias("next"),
     )
 
-    def at(rank):
+    def at(rank: Column) -> Column:
         inside = (rank >= F.col("below") + F.col("first")) & (
             rank < F.col("below") + F.col("next")
         )
         return F.max(F.when(inside, F.col("value")))
 
     fraction = F.col("position") - F.floor("position")
-    quartiles = (
+    between = F.col("low") + (F.col("high") - F.col("low")) * fraction
+    return (
         ranked.join(F.broadcast(targets), ["column_name", "bucket"])
         .groupBy("column_name", "quartile", "position")
         .agg(at(F.floor("position")).alias("low"), at(F.ceil("position")).alias("high"))
         .select(
             "column_name",
             "quartile",
-            (F.col("low") + (F.col("high") - F.col("low")) * fraction).alias("value"),
+            F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between).alias("value"),
         )
         .groupBy("column_name")
         .agg(*[F.max(F.when(F.col("quartile") == q, F.col("value"))).alias(q) for q in QUARTILES])
     )
-    count = F.col("count")
-    variance = (F.col("_squares") - F.col("_sum") * F.col("_sum") / count) / (count - 1)
-    return totals.join(F.broadcast(quartiles), "column_name").select(
-        "column_name",
-        "count",
-        (F.col("_sum") / count).alias("mean"),
-        F.when(count > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
-        F.col("min").cast("double").alias("min"),
-        *QUARTILES,
-        F.col("max").cast("double").alias("max"),
-    )

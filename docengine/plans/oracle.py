@@ -278,12 +278,12 @@ weights AS (
 """
 
 
-def described(name: str) -> str:
+def described(name: str, table: str = "gold", places: int = 6) -> str:
     q = lambda share: f"quantile_cont({name}, {share})::DOUBLE"
     return (
-        f"SELECT '{name}' AS column_name, count({name}) AS count, round(avg({name}), 6) AS mean, "
-        f"round(stddev_samp({name}), 6) AS std, min({name})::DOUBLE AS min, {q(0.25)} AS p25, "
-        f"{q(0.5)} AS p50, {q(0.75)} AS p75, max({name})::DOUBLE AS max FROM gold"
+        f"SELECT '{name}' AS column_name, count({name}) AS count, round(avg({name}), {places}) AS mean, "
+        f"round(stddev_samp({name}), {places}) AS std, min({name})::DOUBLE AS min, {q(0.25)} AS p25, "
+        f"{q(0.5)} AS p50, {q(0.75)} AS p75, max({name})::DOUBLE AS max FROM {table}"
     )
 
 
@@ -496,6 +496,11 @@ ORACLE: dict[str, str] = {
     """,
     "chunk_profile": f"WITH RECURSIVE {GOLD} "
     + " UNION ALL ".join(described(n) for n in ("num_pages", "length", "char_length", "chunk_num")),
+    "order_profile": """
+        SELECT column_name, count, round(mean, 3) AS mean, round(std, 3) AS std, min,
+               round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, max
+        FROM (
+    """ + " UNION ALL ".join(described(n, "orders", 9) for n in ("o_totalprice", "o_custkey")) + ")",
     "parse_chunk_response": f"""
         SELECT doc_id, generate_subscripts(l, 1)::INT AS chunk_number, unnest(l) AS content, true AS verbatim
         FROM (SELECT doc_id, string_split(text, {NL}) AS l FROM documents WHERE lang <> 'es')

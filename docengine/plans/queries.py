@@ -214,6 +214,14 @@ def chunk_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def order_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile of prices, which are doubles, and of whole numbers beside them."""
+    described = profile(table(spark, folder, "orders"), ["o_totalprice", "o_custkey"])
+    places = {"mean": 3, "std": 3, "p25": 6, "p50": 6, "p75": 6}
+    return described.withColumns({name: F.round(name, n) for name, n in places.items()})
+
+
 @query
 def parse_chunk_response(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.suggested_chunks(inputs.chunk_responses(spark, folder))

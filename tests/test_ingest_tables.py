@@ -146,6 +146,21 @@ def test_profile(spark, values):
     assert got["y"]["count"] == len(values) + 1
 
 
+def test_profile_of_fractions_and_wide_integers(spark):
+    prices = [0.5, 1.5, 2.9, 1e9, float("nan")]
+    wide = [-(2**63), 2**63 - 1, 0, 5, 5]
+    rows = spark.createDataFrame(list(zip(prices, wide)), "price double, wide bigint")
+    got = {r["column_name"]: r for r in profile(rows, ["price", "wide"]).collect()}
+    price = got["price"]
+    assert (price["count"], price["min"], price["max"]) == (4, 0.5, 1e9)
+    assert price["mean"] == pytest.approx(statistics.mean(prices[:4]))
+    assert price["std"] == pytest.approx(statistics.stdev(prices[:4]))
+    quartiles = [price["p25"], price["p50"], price["p75"]]
+    assert quartiles == pytest.approx(list(np.percentile(prices[:4], [25, 50, 75])))
+    assert (got["wide"]["count"], got["wide"]["p50"], got["wide"]["max"]) == (5, 5.0, 2.0**63)
+    assert got["wide"]["mean"] == pytest.approx(9 / 5)
+
+
 class Session:
     """As much of a session as ``work_folder`` reads."""
 
