@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 
 def evaluation_source(bronze: DataFrame, n: int = 20, key: str = "file_name") -> DataFrame:
-    """The first ``n`` documents by key, as ``doc_uri`` and ``content``."""
+    """The first ``n`` documents by key, as ``doc_uri`` and ``content``; equal keys by
+    path, where there is one."""
+    order = [key] + [name for name in ("path",) if name in bronze.columns]
     return (
-        bronze.orderBy(key)
+        bronze.orderBy(*order)
         .limit(n)
         .withColumnsRenamed({"text": "content", "file_name": "doc_uri"})
     )

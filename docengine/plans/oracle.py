@@ -687,7 +687,7 @@ ORACLE: dict[str, str] = {
     """,
     "evaluation_source": f"""
         WITH {BRONZE}
-        SELECT file_name AS doc_uri, text AS content, num_pages, length FROM bronze ORDER BY file_name LIMIT 20
+        SELECT file_name AS doc_uri, text AS content, num_pages, length FROM bronze ORDER BY file_name, path LIMIT 20
     """,
     "stream_ingest": f"WITH {BRONZE} SELECT * FROM bronze",
     "stream_sync": f"WITH RECURSIVE {GOLD} SELECT uuid, content, char_length FROM gold",

@@ -202,7 +202,8 @@ def test_documents_without_text_or_ok_status_give_no_chunks(spark):
 def test_suggested_chunks(spark):
     rows = spark.createDataFrame(
         [("d", "one two", "'[{\"chunk_number\": 1, \"content\": \"one\"}]'"),
-         ("e", "one", '[{"chunk_number": 1, "content": "uno"}]'), ("f", "x", "no json")],
+         ("e", "one", '[{"chunk_number": 1, "content": "uno"}]'), ("f", "x", "no json"),
+         ("g", "one", '{"chunk_number": 1, "content": "one"}'), ("h", "x", None)],
         "doc string, text string, response string",
     )
     got = sorted(tuple(r) for r in ch.suggested_chunks(rows).collect())

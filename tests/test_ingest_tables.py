@@ -126,6 +126,19 @@ def test_sync_embeds_only_changed_rows(spark):
     ]
 
 
+def test_changes_over_differing_columns(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "uuid string, gone int")
+    new = spark.createDataFrame([("a", "x"), ("c", None)], "uuid string, came string")
+    feed = changes.snapshot_diff(old, new)
+    got = sorted((r["uuid"], r["_change_type"], r["gone"], r["came"]) for r in feed.collect())
+    assert got == [
+        ("a", "update_postimage", None, "x"), ("a", "update_preimage", 1, None),
+        ("b", "delete", 2, None), ("c", "insert", None, None),
+    ]
+    applied = changes.apply_changes(old, feed)
+    assert sorted(r["uuid"] for r in applied.collect()) == ["a", "c"]
+
+
 def test_duplicate_keys(spark):
     rows = spark.createDataFrame([("a",), ("b",), ("a",)], "uuid string")
     assert [tuple(r) for r in changes.duplicate_keys(rows).collect()] == [("a", 2)]
