@@ -57,9 +57,9 @@ def retrieval_metrics(
         question,
         "relevant",
         found.alias("hits"),
-        F.round(found / F.col("relevant"), 6).alias("recall"),
-        F.round(found / F.lit(k), 6).alias("precision"),
-        F.round(F.coalesce(1 / F.col("first_hit"), F.lit(0.0)), 6).alias("reciprocal_rank"),
+        (found / F.col("relevant")).alias("recall"),
+        (found / F.lit(k)).alias("precision"),
+        F.coalesce(1 / F.col("first_hit"), F.lit(0.0)).alias("reciprocal_rank"),
     )
 
 

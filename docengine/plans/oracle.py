@@ -424,6 +424,19 @@ def filled(template: str, **values: str) -> str:
 
 MESSAGE_OBJECT = "{'role': role, 'content': text}"
 
+METRICS = f"""{nearest_vectors(10)},
+hits AS (
+    SELECT question_id, count(*) AS hits, min(rank) AS first_hit
+    FROM ranked WHERE label = question_id GROUP BY question_id
+),
+totals AS (SELECT label AS question_id, count(*) AS relevant FROM embeddings GROUP BY label),
+metrics AS (
+    SELECT question_id, relevant, coalesce(hits, 0) AS hits, coalesce(hits, 0) / relevant AS recall,
+           coalesce(hits, 0) / 10 AS precision, coalesce(1 / first_hit, 0) AS reciprocal_rank
+    FROM totals LEFT JOIN hits USING (question_id)
+)"""
+
+
 ORACLE: dict[str, str] = {
     "file_scan": """
         SELECT doc_id, 'lang=' || lang || '/source=' || source AS folder, length(text)::INT AS length
@@ -594,16 +607,16 @@ ORACLE: dict[str, str] = {
         FROM benchmark LEFT JOIN contexts ON item_id = question_id
     """,
     "retrieval_metrics": f"""
-        WITH {nearest_vectors(10)},
-        hits AS (
-            SELECT question_id, count(*) AS hits, min(rank) AS first_hit
-            FROM ranked WHERE label = question_id GROUP BY question_id
-        ),
-        totals AS (SELECT label AS question_id, count(*) AS relevant FROM embeddings GROUP BY label)
-        SELECT question_id, relevant, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / relevant, 6) AS recall,
-               round(coalesce(hits, 0) / 10, 6) AS precision,
-               round(coalesce(1 / first_hit, 0), 6) AS reciprocal_rank
-        FROM totals LEFT JOIN hits USING (question_id)
+        WITH {METRICS}
+        SELECT question_id, relevant, hits, round(recall, 6) AS recall, round(precision, 6) AS precision,
+               round(reciprocal_rank, 6) AS reciprocal_rank
+        FROM metrics
+    """,
+    "retrieval_summary": f"""
+        WITH {METRICS}
+        SELECT count(*) AS questions, round(avg(recall), 6) AS mean_recall,
+               round(avg(precision), 6) AS mean_precision, round(avg(reciprocal_rank), 6) AS mrr
+        FROM metrics
     """,
     "glossary_requests": f"""
         WITH {BRONZE},
@@ -692,10 +705,3 @@ ORACLE: dict[str, str] = {
     "stream_ingest": f"WITH {BRONZE} SELECT * FROM bronze",
     "stream_sync": f"WITH RECURSIVE {GOLD} SELECT uuid, content, char_length FROM gold",
 }
-
-ORACLE["retrieval_summary"] = f"""
-    WITH metrics AS ({ORACLE["retrieval_metrics"]})
-    SELECT count(*) AS questions, round(avg(recall), 6) AS mean_recall,
-           round(avg(precision), 6) AS mean_precision, round(avg(reciprocal_rank), 6) AS mrr
-    FROM metrics
-"""

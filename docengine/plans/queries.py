@@ -345,16 +345,21 @@ def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
     ).select("question_id", "context", "prompt")
 
 
-@query
-def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.retrieval_metrics(
         topk_similarity(spark, folder), _same_label(spark, folder), 10, key="vec_id"
     )
 
 
+@query
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    shares = ["recall", "precision", "reciprocal_rank"]
+    return _metrics(spark, folder).withColumns({name: F.round(name, 6) for name in shares})
+
+
 @query
 def retrieval_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.metric_summary(retrieval_metrics(spark, folder))
+    return evaluation.metric_summary(_metrics(spark, folder))
 
 
 def _same_label(spark: SparkSession, folder: str) -> DataFrame:
