@@ -127,8 +127,10 @@ def finished(messages: DataFrame) -> DataFrame:
 def chat_history(messages: DataFrame) -> DataFrame:
     """``messages``: all messages of the conversation up to and with each turn.
 
-    The prefixes within a block of turns come from a window over the block;
-    what precedes the block is collected once per block.
+    The prefixes within a block of turns come from a window over the block. What
+    precedes a block is put together once per block, from copies of the earlier blocks
+    sent there: the work of a long conversation is spread over (conversation, block),
+    and only block numbers are ordered by conversation.
     """
     said = F.struct("turn", "role", F.col("text").alias("content"))
     placed = messages.select(
@@ -141,16 +143,32 @@ def chat_history(messages: DataFrame) -> DataFrame:
         "block",
         F.collect_list("said").over(block.rowsBetween(Window.unboundedPreceding, 0)).alias("here"),
     )
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
+    conversation = Window.partitionBy("conv_id")
+    numbered = placed.select("conv_id", "block").distinct().select(
+        "conv_id",
+        "block",
+        F.row_number().over(conversation.orderBy("block")).alias("number"),
+        F.count(F.lit(1)).over(conversation).cast("int").alias("last"),
     )
-    blocks = (
+    sent = (
         placed.groupBy("conv_id", "block")
         .agg(_in_order(F.col("said")).alias("all_said"))
+        .join(numbered.filter("number < last"), ["conv_id", "block"])
         .select(
-            "conv_id", "block", F.flatten(F.collect_list("all_said").over(before)).alias("earlier")
+            "conv_id",
+            F.struct("block", "all_said").alias("part"),
+            F.explode(F.sequence(F.col("number") + 1, F.col("last"))).alias("number"),
+        )
+    )
+    blocks = (
+        sent.groupBy("conv_id", "number")
+        .agg(
+            F.flatten(F.transform(_in_order(F.col("part")), lambda part: part["all_said"])).alias(
+                "earlier"
+            )
         )
-        .filter(F.size("earlier") > 0)
+        .join(numbered.drop("last"), ["conv_id", "number"])
+        .drop("number")
     )
     history = F.concat(
         F.coalesce(F.col("earlier"), F.array().cast("array<struct<turn:bigint,role:string,content:string>>")),

@@ -3,8 +3,9 @@
 Everything here is a Spark expression over one row, so chunking is a narrow
 stage: scan, project, generate, with no shuffle and no Python worker. Folds
 carry numbers and a packed string of cut marks only, because Spark copies the
-fold state at every step; strings are cut out once, from arrays bound by
-``let``, which keeps the work linear in the text.
+fold state at every step, and they run in two levels, so that the string that is
+copied holds the marks of one run of items; strings are cut out once, from arrays
+bound by ``let``.
 """
 
 from __future__ import annotations
@@ -36,6 +37,29 @@ def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+# Items that an inner fold takes between two additions to all marks so far.
+RUN = 512
+
+
+def _fold_in_runs(items: Column, start: Column, step) -> Column:
+    """The last state of a fold whose state has ``marks``, text that only grows."""
+
+    def run_over(state: Column, run: Column) -> Column:
+        ended = F.aggregate(run, state.withField("marks", F.lit("")), step)
+        return let(
+            ended,
+            lambda new: new.withField("marks", F.concat(state["marks"], new["marks"])),
+        )
+
+    def runs(given: Column) -> Column:
+        last = F.floor((F.greatest(F.size(given), F.lit(1)) - 1) / RUN).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda at: F.slice(given, at * RUN + 1, F.lit(RUN))
+        )
+
+    return F.aggregate(let(items, runs), start, run_over)
+
+
 def _tiles(text: Column, size: int) -> Column:
     """Cut a text into tiles whose bodies fit ``size``; joined they are the text.
 
@@ -130,10 +154,8 @@ def recursive_chunks(text: Column, size: int = 1500, overlap: int = 500) -> Colu
                 _body_length(tile).alias("body"), F.length(tile).alias("whole")
             ),
         )
-        marks = F.aggregate(
-            measured,
-            start,
-            step,
+        marks = let(
+            _fold_in_runs(measured, start, step),
             lambda state: F.concat(
                 state["marks"],
                 state["first"].cast("string"),
@@ -284,7 +306,7 @@ def _packed(elements: Column, limit: int, joint: int) -> Column:
     ``joint`` is what each joining then adds to the length besides the element.
     The group open at the beginning is empty text and keeps a leading space.
     """
-    folded = F.aggregate(
+    ended = _fold_in_runs(
         F.transform(elements, lambda element: F.length(element)),
         F.struct(
             F.lit(0).alias("chars"), F.lit(0).alias("at"), F.lit("0").alias("marks")
@@ -303,7 +325,9 @@ def _packed(elements: Column, limit: int, joint: int) -> Column:
                 F.concat(state["marks"], F.lit(" "), state["at"].cast("string")).alias("marks"),
             )
         ),
-        lambda state: F.concat(state["marks"], F.lit(" "), state["at"].cast("string")),
+    )
+    folded = let(
+        ended, lambda state: F.concat(state["marks"], F.lit(" "), state["at"].cast("string"))
     )
 
     def group(members: Column, i: Column) -> Column:

@@ -96,8 +96,11 @@ def lookup_term(glossary: DataFrame, term: str, min_certainty: int = MIN_CERTAIN
     return found.orderBy(*_in_order()).select(*FOUND)
 
 
-# A pattern is found through one run of its literal characters.
+# A pattern is found through one run of its literal characters. Pieces shorter than
+# that are held by very many acronyms (the empty one by all), which are spread over
+# this many shares; a pattern with such a piece visits them all.
 _ANCHOR = 3
+_SHARES = 64
 
 
 def _is_pattern(term: Column) -> Column:
@@ -147,16 +150,22 @@ def lookup_batch(
     plain = asked.filter(~_is_pattern(F.col("_wanted"))).select(
         term, F.col("_wanted").alias("_acronym")
     )
-    patterns = asked.filter(_is_pattern(F.col("_wanted"))).select(
-        term, "_wanted", _anchor(F.col("_wanted")).alias("_gram")
+    short = F.length("_gram") < _ANCHOR
+    every = F.sequence(F.lit(0), F.lit(_SHARES - 1))
+    patterns = (
+        asked.filter(_is_pattern(F.col("_wanted")))
+        .select(term, "_wanted", _anchor(F.col("_wanted")).alias("_gram"))
+        .withColumn("_share", F.explode(F.when(short, every).otherwise(F.array(F.lit(0)))))
     )
+    share = F.pmod(F.hash("_acronym"), F.lit(_SHARES))
     pieces = (
         known.select("_acronym")
         .distinct()
         .select("_acronym", F.explode(_grams(F.col("_acronym"))).alias("_gram"))
+        .withColumn("_share", F.when(short, share).otherwise(0))
     )
     matched = (
-        pieces.join(patterns, "_gram")
+        pieces.join(patterns, ["_gram", "_share"])
         .filter(F.expr("_acronym ILIKE _wanted"))
         .select(term, "_acronym")
     )
