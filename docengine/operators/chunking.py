@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docengine.functions.text import let
+from docengine.functions.text import fill_template, let
 
 EDGES = " \n\t\r\f\v"
 CATEGORY = "CompositeElement"
@@ -51,13 +51,14 @@ def _fold_in_runs(items: Column, start: Column, step) -> Column:
             lambda new: new.withField("marks", F.concat(state["marks"], new["marks"])),
         )
 
-    def runs(given: Column) -> Column:
+    def over_runs(given: Column) -> Column:
         last = F.floor((F.greatest(F.size(given), F.lit(1)) - 1) / RUN).cast("int")
-        return F.transform(
+        runs = F.transform(
             F.sequence(F.lit(0), last), lambda at: F.slice(given, at * RUN + 1, F.lit(RUN))
         )
+        return F.aggregate(runs, start, run_over)
 
-    return F.aggregate(let(items, runs), start, run_over)
+    return let(items, over_runs)
 
 
 def _tiles(text: Column, size: int) -> Column:
@@ -397,6 +398,20 @@ def chunk_documents(documents: DataFrame, chunks: Column, only_ok: bool = True)
     )
 
 
+CHUNK_PROMPT = (
+    "Divide the document below into passages that each stay with one subject, cut at its own "
+    "paragraphs or sections and of any length. Keep the wording exactly. Answer only with a JSON "
+    'array of objects with the fields "chunk_number" (from 1) and "content".\n'
+    "The document:\n{document}"
+)
+
+
+def chunk_requests(documents: DataFrame, prompt: str = CHUNK_PROMPT) -> DataFrame:
+    """One request per document for model-suggested chunks, the whole text in it;
+    responses come back as a table and go to ``suggested_chunks``."""
+    return documents.select("file_name", fill_template(prompt, document=F.col("text")).alias("prompt"))
+
+
 def suggested_chunks(responses: DataFrame, text: str = "text", response: str = "response") -> DataFrame:
     """Rows from model-suggested chunks given as JSON, possibly in single quotes.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docengine.functions.text import MONTHS
+from docengine.operators.chunking import CHUNK_PROMPT
 from docengine.operators.glossary import EXTRACTION_PROMPT
 from docengine.operators.prompt import PROMPT
 
@@ -352,8 +353,10 @@ dense AS (
 )
 """
 
-FOUND = f"""
-{GOLD},
+def found(scope: str) -> str:
+    """The five best chunks per topic among the chunks of ``scope``."""
+    return f"""
+{scope},
 {SCORES},
 found AS (
     SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, uuid))::INT AS rank,
@@ -363,6 +366,11 @@ found AS (
 )
 """
 
+
+FOUND = found(GOLD)
+# Only first chunks; they are then called gold.
+FIRST_GOLD = f"{GOLD.replace('gold AS (', 'every_gold AS (')}, gold AS (SELECT * FROM every_gold WHERE chunk_num = 0)"
+
 BM25 = """
 chunk_words AS (SELECT id, word, count(*) AS tf FROM words WHERE id[1] = 'c' GROUP BY ALL),
 sizes AS (SELECT id, sum(tf) AS dl FROM chunk_words GROUP BY id),
@@ -456,6 +464,14 @@ ORACLE: dict[str, str] = {
         SELECT 'doc_' || doc_id || '.pdf' AS file_name, {PATH} || '.pdf' AS full_path, '.pdf' AS file_extension
         FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
     """,
+    "incremental_ingest": f"""
+        WITH {BRONZE.replace("SELECT path, file_name, '.pdf'", "SELECT path, doc_id, pages, file_name, '.pdf'").replace("SELECT " + PATH, "SELECT doc_id, " + PATH)}
+        SELECT path, file_name, file_extension, num_pages, length,
+               CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = bronze.doc_id) THEN year
+                    ELSE coalesce({year(strip("pages[1]"))}, {year(strip("text"))}) END AS year,
+               text, status
+        FROM bronze
+    """,
     "write_overwrite_append": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "schema_merge": """
         SELECT doc_id, text, source FROM documents WHERE lang = 'en'
@@ -475,6 +491,10 @@ ORACLE: dict[str, str] = {
         WITH {SNAPSHOTS}, {weights("new", "uuid", "content")}
         SELECT uuid, bucket, round(weight::DOUBLE, 6) AS weight FROM weights
     """,
+    "stored_index": f"""
+        WITH {SNAPSHOTS}, {weights("new", "uuid", "content")}
+        SELECT uuid, bucket, round(weight::DOUBLE, 6) AS weight FROM weights
+    """,
     "chunk_recursive": f"""
         WITH {RECURSIVE_CHUNKS}
         SELECT path, file_name, file_extension, num_pages, length, year, content,
@@ -509,6 +529,13 @@ ORACLE: dict[str, str] = {
     """,
     "chunk_profile": f"WITH RECURSIVE {GOLD} "
     + " UNION ALL ".join(described(n) for n in ("num_pages", "length", "char_length", "chunk_num")),
+    "recursive_profile": f"WITH {RECURSIVE_CHUNKS}, "
+    "gold AS (SELECT length(content)::INT AS char_length, chunk_num FROM numbered) "
+    + " UNION ALL ".join(described(n) for n in ("char_length", "chunk_num")),
+    "chunk_requests": f"""
+        WITH {BRONZE}
+        SELECT file_name, {filled(CHUNK_PROMPT, document="text")} AS prompt FROM bronze
+    """,
     "order_profile": """
         SELECT column_name, count, round(mean, 3) AS mean, round(std, 3) AS std, min,
                round(p25, 6) AS p25, round(p50, 6) AS p50, round(p75, 6) AS p75, max
@@ -557,6 +584,7 @@ ORACLE: dict[str, str] = {
         FROM scored QUALIFY rank <= 10
     """,
     "search": f"WITH RECURSIVE {FOUND} SELECT * FROM found",
+    "search_filtered": f"WITH RECURSIVE {found(FIRST_GOLD)} SELECT * FROM found",
     "search_function": f"""
         WITH RECURSIVE {GOLD},
         texts AS (SELECT uuid AS id, content AS body FROM gold UNION ALL SELECT '?', 'The price of the plan'),
@@ -596,6 +624,12 @@ ORACLE: dict[str, str] = {
                uuid, score, dense_rank, sparse_rank
         FROM fused QUALIFY rank <= 5
     """,
+    "hybrid_filtered": f"""
+        WITH RECURSIVE {FIRST_GOLD}, {SCORES}, {BM25}
+        SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, uuid))::INT AS rank,
+               uuid, score, dense_rank, sparse_rank
+        FROM fused QUALIFY rank <= 5
+    """,
     "prompt_context": f"""
         WITH RECURSIVE {FOUND},
         contexts AS (

@@ -98,6 +98,24 @@ def incremental_new(spark: SparkSession, folder: str) -> DataFrame:
     return new_files(listing, processed)
 
 
+@query
+def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """A bronze table that holds the labelled documents is brought up to date twice:
+    listing, anti join, ingest without cleaning, append. The second run finds nothing."""
+    place = work_folder(spark, "bronze")
+    pages = inputs.extracted_pages(spark, folder)
+    labels = table(spark, folder, "labels").select(F.concat(F.lit("doc_"), "doc_id", F.lit(".pdf")).alias("_name"))
+    labelled = pages.join(labels, F.substring_index("path", "/", -1) == F.col("_name"), "left_semi")
+    ingest_documents(labelled).write.parquet(place)
+    for _ in range(2):
+        stored = spark.read.schema(BRONZE).parquet(place)
+        fresh = new_files(list_files(pages.select("path")), stored).select(F.col("full_path").alias("path"))
+        ingest_documents(pages.join(fresh, "path", "left_semi"), clean=False).write.mode(
+            "append"
+        ).parquet(place)
+    return spark.read.schema(BRONZE).parquet(place)
+
+
 # ---- tables
 
 
@@ -115,7 +133,9 @@ def schema_merge(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     old = docs.filter("lang = 'en'").select("doc_id", "text", "source")
     new = docs.filter("lang <> 'en'").select("doc_id", "lang", "text", "n_chars")
-    return tables.append_merged(old, new)
+    place = work_folder(spark, "merged")
+    tables.append_merging(old, place)
+    return tables.append_merging(new, place)
 
 
 @query
@@ -147,6 +167,15 @@ def index_sync(spark: SparkSession, folder: str) -> DataFrame:
     return _weights(changes.sync_index(embed(old), feed, embed), "uuid")
 
 
+@query
+def stored_index(spark: SparkSession, folder: str) -> DataFrame:
+    """An index table created from the old snapshot, then brought in step with the new."""
+    name = f"index_{uuid.uuid4().hex}"
+    for rows in inputs.old_and_new(spark, folder):
+        index = changes.create_or_sync(rows, name, embed)
+    return _weights(index, "uuid")
+
+
 # ---- chunking
 
 
@@ -214,6 +243,12 @@ def chunk_profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def recursive_profile(spark: SparkSession, folder: str) -> DataFrame:
+    described = profile(chunk_recursive(spark, folder), ["char_length", "chunk_num"])
+    return described.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 @query
 def order_profile(spark: SparkSession, folder: str) -> DataFrame:
     """The profile of prices, which are doubles, and of whole numbers beside them."""
@@ -222,6 +257,11 @@ def order_profile(spark: SparkSession, folder: str) -> DataFrame:
     return described.withColumns({name: F.round(name, n) for name, n in places.items()})
 
 
+@query
+def chunk_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_requests(inputs.bronze(spark, folder))
+
+
 @query
 def parse_chunk_response(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.suggested_chunks(inputs.chunk_responses(spark, folder))
@@ -298,9 +338,15 @@ def topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _found(spark: SparkSession, folder: str) -> DataFrame:
-    index = embed(inputs.gold_sequential(spark, folder))
-    return search_documentation(inputs.topics(spark, folder), index, 5)
+# First chunks of PDF files.
+FIRST = '{"file_extension": ".pdf", "chunk_num": [0]}'
+
+
+def _found(spark: SparkSession, folder: str, filters_json: str | None = None) -> DataFrame:
+    index = materialise(embed(inputs.gold_sequential(spark, folder)), "index")
+    return search_documentation(
+        inputs.topics(spark, folder), index, 5, filters_json=filters_json
+    )
 
 
 @query
@@ -308,6 +354,11 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
     return _found(spark, folder)
 
 
+@query
+def search_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    return _found(spark, folder, FIRST)
+
+
 @query
 def search_function(spark: SparkSession, folder: str) -> DataFrame:
     """The SQL table function, called with one topic."""
@@ -336,6 +387,14 @@ def hybrid(spark: SparkSession, folder: str) -> DataFrame:
     return hybrid_search(inputs.topics(spark, folder), index, 5)
 
 
+@query
+def hybrid_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Both rankings, and the term statistics, are those of the filtered chunks."""
+    gold = inputs.gold_sequential(spark, folder).drop("path")
+    index = materialise(index_chunks(gold).drop("content"), "index")
+    return hybrid_search(inputs.topics(spark, folder), index, 5, filters_json=FIRST)
+
+
 @query
 def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
     asked = inputs.topics(spark, folder).withColumnRenamed("topic", "question")

@@ -38,6 +38,13 @@ def append_merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
+def append_merging(df: DataFrame, path: str) -> DataFrame:
+    """Append to stored parquet whose columns may differ; read in the merged schema,
+    where columns that a row was written without are null."""
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.option("mergeSchema", "true").parquet(path)
+
+
 def create_table_if_absent(
     spark: SparkSession, name: str, schema: StructType, path: str | None = None
 ) -> None:
