@@ -171,6 +171,18 @@ def test_combine(spark, limit):
         assert [(c["content"], c["char_length"]) for c in got[i]] == merge(text.split("\n"), limit)
 
 
+def test_folds_over_many_runs(spark):
+    rng = random.Random(5)
+    for n in (ch.RUN - 1, ch.RUN, ch.RUN + 1, 5 * ch.RUN + 3):
+        text = "\n".join("w" * rng.randint(0, 30) + " v" for _ in range(n))
+        lines = F.split("text", "\n")
+        assert run(spark, [text], ch.combine_elements(lines, 100)) == {0: combine(text.split("\n"), 100)}
+        got = run(spark, [text], ch.combine_small_chunks(lines, 100))[0]
+        assert [(c["content"], c["char_length"]) for c in got] == merge(text.split("\n"), 100)
+        got = run(spark, [text], ch.recursive_chunks(F.col("text"), 120, 40))[0]
+        assert [c["content"] for c in got] == recursive(text, 120, 40)
+
+
 def test_oversized_first_element_leaves_an_empty_group(spark):
     got = run(spark, ["abcdefgh"], ch.combine_elements(F.split("text", "\n"), 3))
     assert got == {0: ["", "abcdefgh"]}

@@ -96,6 +96,14 @@ def test_prompt(spark):
     assert made == "|{question}|Why?"
 
 
+def test_patterns_without_letters_meet_every_acronym(spark):
+    entries = [(f"A{i}", f"d{i}", 90) for i in range(200)] + [("B", "b", 90), ("", "none", 90)]
+    known = spark.createDataFrame(entries, "acronym string, definition string, certainty int")
+    asked = spark.createDataFrame([("%",), ("_",), ("a__",), (None,)], "term string")
+    found = glossary.lookup_batch(asked, known).groupBy("term").count().collect()
+    assert {r["term"]: r["count"] for r in found} == {"%": 202, "_": 1, "a__": 90}
+
+
 def long_conversation():
     return [(7, t, "user" if t % 2 else "assistant", f"m{t}") for t in range(600)] + [(8, 3, "user", "x")]
 

@@ -126,6 +126,34 @@ def test_sync_embeds_only_changed_rows(spark):
     ]
 
 
+def test_stored_index_is_created_then_synced(spark):
+    schema = "uuid string, content string"
+    name = f"index_{uuid.uuid4().hex}"
+    mark = lambda label: lambda df: df.withColumn("v", F.lit(label))
+
+    def synced(rows, label):
+        index = changes.create_or_sync(spark.createDataFrame(rows, schema), name, mark(label))
+        return sorted(((r["uuid"], r["content"], r["v"]) for r in index.collect()), key=str)
+
+    assert synced([("a", "one"), ("b", ""), ("c", None)], "1") == [
+        ("a", "one", "1"), ("b", "", "1"), ("c", None, "1")
+    ]
+    # An empty text and none at all differ; what is the same keeps its vector.
+    assert synced([("a", "one"), ("b", None), ("d", "four")], "2") == [
+        ("a", "one", "1"), ("b", None, "2"), ("d", "four", "2")
+    ]
+    assert synced([("a", "one"), ("b", None), ("d", "four")], "3")[1] == ("b", None, "2")
+    assert synced([], "4") == []
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_merging_append(spark, tmp_path):
+    place = str(tmp_path / "merged")
+    tables.append_merging(spark.createDataFrame([(1, "x")], "a int, b string"), place)
+    merged = tables.append_merging(spark.createDataFrame([(2, 0.5)], "a int, c double"), place)
+    assert sorted((r["a"], r["b"], r["c"]) for r in merged.collect()) == [(1, "x", None), (2, None, 0.5)]
+
+
 def test_changes_over_differing_columns(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "uuid string, gone int")
     new = spark.createDataFrame([("a", "x"), ("c", None)], "uuid string, came string")

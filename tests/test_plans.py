@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from docengine import session
 from docengine.plans.queries import QUERIES
 from docengine.functions import text as tx
 from docengine.operators import chunking, embedding, ingest, retrieval
@@ -66,6 +67,16 @@ def test_probed_cells_prune_folders(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[cell#\d+ (IN|INSET)", found)
 
 
+def test_texts_do_not_pass_through_the_scoring(spark):
+    gold = documents(spark).select(
+        F.concat(F.lit("d"), "doc_id").alias("uuid"), F.col("text").alias("content")
+    )
+    index = session.materialise(embedding.embed(gold), "index")
+    asked = embedding.embed(documents(spark).limit(2).select(F.col("doc_id").alias("question_id"), "text"), "text")
+    found = plan(retrieval.nearest(asked, index, 2))
+    assert "MapInArrow" in found and "content" not in found
+
+
 def test_new_files_is_an_anti_join(spark):
     left = spark.createDataFrame([("a",)], "file_name string")
     assert "LeftAnti" in plan(ingest.new_files(left, left))
