@@ -19,6 +19,7 @@ CELL_VECTORS = 512  # wanted per cell
 MOST_CELLS = 4096
 PROBES = 6  # cells that a vector is compared in, at most
 REACH = 0.35  # further cells count while their cosine is this near to the best one's
+CLOSE = 0.8  # centres with this cosine or more belong to one cell
 TILE_ROWS = 1024
 ROUNDS = 8
 SEED = 11
@@ -59,14 +60,31 @@ def fit_centres(sample: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
     return centres
 
 
+def merged_centres(centres: np.ndarray, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray]:
+    """Centres ordered so that those of one cell are neighbours, and where each cell
+    starts. Centres that a chain of ``close`` cosines joins are one cell: a dense group
+    gets centres in proportion to its rows, more than its members could be probed in."""
+    cells = Forest(len(centres))
+    for start in range(0, len(centres), 256):
+        near = centres[start : start + 256] @ centres.T >= close
+        for i, row in enumerate(near, start):
+            cells.join(i, np.flatnonzero(row))
+    order = np.argsort(cells.name, kind="stable")
+    return centres[order], np.unique(cells.name[order], return_index=True)[1]
+
+
 def linked_vectors(
-    embeddings: DataFrame, similarity: float = SIMILARITY, probes: int = PROBES
+    embeddings: DataFrame,
+    similarity: float = SIMILARITY,
+    probes: int = PROBES,
+    cell_vectors: int = CELL_VECTORS,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Vectors with a cosine of ``similarity`` or more, in double precision, are linked.
-    Centres are fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id);
-    then every vector is put into its nearest cells: the best one, and up to
+    Centres are fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id), one
+    for ``cell_vectors`` vectors, and those that lie close together are one cell, so
+    that a dense group is compared whole; then every vector is put into its nearest cells: the best one, and up to
     ``probes`` whose centre is nearly as near, because a pair may lie on both sides of
     a border. Within a cell, cosines are matrix products of tiles; pairs are counted,
     not put out, in the first cell that both share. No wrong link is possible;
@@ -112,7 +130,7 @@ def linked_vectors(
         ),
         "vector-classes",
     )
-    links = written(_links(classes, similarity, probes), "vector-links")
+    links = written(_links(classes, similarity, probes, cell_vectors), "vector-links")
     edges = links.filter(F.col("digest") != F.col("root")).select("digest", "root")
     found = components(edges, "vectors").withColumnRenamed("node", "digest")
     smallest = (
@@ -145,7 +163,7 @@ def linked_vectors(
     )
 
 
-def _links(classes: DataFrame, similarity: float, probes: int) -> DataFrame:
+def _links(classes: DataFrame, similarity: float, probes: int, cell_vectors: int) -> DataFrame:
     """Per tile and class: ``digest, n_links, root``."""
     spark = classes.sparkSession
     counts = {row["size"]: row["n"] for row in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -158,10 +176,11 @@ def _links(classes: DataFrame, similarity: float, probes: int) -> DataFrame:
     centres, base = {}, 0
     for size, n in sorted(counts.items()):
         own = [np.frombuffer(row["vector"], "<f8") for row in sample if row["size"] == size]
-        k = min(MOST_CELLS, max(1, n // CELL_VECTORS))
+        k = min(MOST_CELLS, max(1, n // cell_vectors))
         fitted = fit_centres(np.array(own), k) if own else np.zeros((1, size))
-        centres[size] = (base, fitted)
-        base += len(fitted)
+        fitted, starts = merged_centres(fitted)
+        centres[size] = (base, fitted, starts)
+        base += len(starts)
     shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS vectors per size
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,15 +189,17 @@ def _links(classes: DataFrame, similarity: float, probes: int) -> DataFrame:
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             vectors = batch.column("vector").to_pylist()
             for size in np.unique(sizes).tolist():
-                first, fitted = shared.value[size]
-                at = np.flatnonzero(sizes == size)
-                near = np.array([np.frombuffer(vectors[i], "<f8") for i in at]) @ fitted.T
-                many = min(probes, near.shape[1])
-                best = np.argsort(-near, axis=1, kind="stable")[:, :many]
-                value = np.take_along_axis(near, best, axis=1)
-                close = value >= value[:, :1] - REACH
-                for i, row, fits in zip(at.tolist(), best, close):
-                    cells[i] = (np.sort(row[fits]) + first).tolist()
+                first, fitted, starts = shared.value[size]
+                own = np.flatnonzero(sizes == size)
+                for at in np.array_split(own, len(own) // 1024 + 1):
+                    near = np.array([np.frombuffer(vectors[i], "<f8") for i in at]) @ fitted.T
+                    near = np.maximum.reduceat(near, starts, axis=1)
+                    many = min(probes, near.shape[1])
+                    best = np.argsort(-near, axis=1, kind="stable")[:, :many]
+                    value = np.take_along_axis(near, best, axis=1)
+                    close = value >= value[:, :1] - REACH
+                    for i, row, fits in zip(at.tolist(), best, close):
+                        cells[i] = (np.sort(row[fits]) + first).tolist()
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, pa.list_(pa.int32()))],
                 names=[*batch.schema.names, "cells"],

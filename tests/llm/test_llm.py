@@ -245,6 +245,33 @@ def test_vectors(spark):
     assert linked_vectors(frame.limit(0)).count() == 0
 
 
+def unit_near(rng, base, cosine):
+    """A vector of length one for each row of ``base``, at that cosine to it."""
+    away = rng.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return cosine * base + np.sqrt(1 - cosine**2) * away
+
+
+def link_recall(spark, matrix, **options):
+    """Links found of those that brute force finds; no vector may have more."""
+    rows = [(i, v) for i, v in enumerate(matrix.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = (matrix @ matrix.T >= 0.9).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in linked_vectors(frame, **options).collect()}
+    assert len(got) == len(rows) and all(got[i] <= near[i] for i in got)
+    return sum(got.values()) / near.sum()
+
+
+def test_dense_group_over_many_cells(spark):
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(4800, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix[:1600] = unit_near(rng, np.tile(matrix[0], (1600, 1)), 0.965)
+    rng.shuffle(matrix)
+    assert link_recall(spark, matrix, cell_vectors=12) >= 0.999  # 400 centres
+
+
 def test_language(spark, nothing):
     rng = random.Random(4)
     words = {"en": ["the", "house", "green", "with"], "de": ["das", "haus", "grün", "mit"], "fr": ["la", "maison", "verte", "avec"]}
