@@ -272,6 +272,17 @@ def test_dense_group_over_many_cells(spark):
     assert link_recall(spark, matrix, cell_vectors=12) >= 0.999  # 400 centres
 
 
+def test_links_over_borders_of_cells(spark):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(4200, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix[1400:2800] = unit_near(rng, matrix[2800:], rng.uniform(0.9, 0.93, (1400, 1)))
+    sparse = link_recall(spark, matrix, cell_vectors=35)  # 120 centres
+    matrix[:1400] = unit_near(rng, np.tile(matrix[0], (1400, 1)), 0.965)
+    rng.shuffle(matrix)
+    assert sparse >= 0.99 and link_recall(spark, matrix, cell_vectors=35) >= 0.999
+
+
 def test_language(spark, nothing):
     rng = random.Random(4)
     words = {"en": ["the", "house", "green", "with"], "de": ["das", "haus", "grün", "mit"], "fr": ["la", "maison", "verte", "avec"]}
