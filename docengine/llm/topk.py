@@ -19,8 +19,7 @@ LEAF_ROWS = 64
 SHARDS_PER_GROUP = 16
 QUERIES_PER_BLOCK = 2048
 BLOCKS_AT_ONCE = 64
-LARGEST = 1 << 26  # of a scaled component; inner products then fit in 64 bits
-LEAST = -(1 << 62)
+LEAST = -(1 << 63)  # stands for a floor that is not known
 
 
 def build_tree(points: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> dict:
@@ -68,7 +67,8 @@ class Best:
     __slots__ = ("k", "floor", "heap")
 
     def __init__(self, k: int, floor: int = LEAST):
-        self.k, self.floor, self.heap = k, floor, []
+        self.k, self.heap = k, []
+        self.floor = floor if floor > LEAST else float("-inf")
 
     def offer(self, score: int, vec_id: int, copies: int) -> None:
         item = (score, -vec_id)
@@ -88,16 +88,30 @@ def search_tree(tree: dict, queries: np.ndarray, ids: np.ndarray, best: list[Bes
 
     A node's bound is the largest inner product that a point in its box could have.
     Nodes are visited by falling bound until it is below what k candidates reach; equal
-    bounds are visited, because a smaller id wins a tie.
+    bounds are visited, because a smaller id wins a tie. A query is searched in doubles,
+    in 64-bit or in Python integers, whichever holds all its sums exactly.
     """
-    points, dtype = tree["points"], np.float64
-    most = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0))
-    if most * points.shape[1] >= 2.0**53:
-        dtype = np.int64  # exact where doubles are not
-    points, queries = points.astype(dtype), queries.astype(dtype)
-    low, high = tree["low"].astype(dtype), tree["high"].astype(dtype)
+    largest = np.abs(tree["points"].astype(np.float64)).max(initial=0)
+    most = np.abs(queries.astype(np.float64)).sum(axis=1) * largest
+    scored = 0
+    for dtype, least, below in (
+        (np.float64, -1, 2.0**52), (np.int64, 2.0**52, 2.0**62), (object, 2.0**62, np.inf),
+    ):
+        own = np.flatnonzero((most >= least) & (most < below))
+        if len(own):
+            scored += _search(tree, queries[own], ids[own], [best[i] for i in own], dtype)
+    return scored
+
+
+def _search(tree: dict, queries: np.ndarray, ids: np.ndarray, best: list[Best], dtype) -> int:
+    kind = np.float64 if dtype is object else dtype
+    low, high = tree["low"].astype(kind), tree["high"].astype(kind)
+    asked = queries.astype(kind)
+    bounds = np.maximum(asked, 0) @ high.T + np.minimum(asked, 0) @ low.T
+    if dtype is object:  # rounded bounds must not be too low
+        bounds += 1e-9 * (np.abs(asked) @ np.maximum(np.abs(low), np.abs(high)).T)
+    points, queries = tree["points"].astype(dtype), queries.astype(dtype)
     left, right, start, end = tree["left"], tree["right"], tree["start"], tree["end"]
-    bounds = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
     scored = 0
     for q, (own, found) in enumerate(zip(ids.tolist(), best)):
         bound, query = bounds[q].tolist(), queries[q]
@@ -119,8 +133,15 @@ def search_tree(tree: dict, queries: np.ndarray, ids: np.ndarray, best: list[Bes
     return scored
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """As 32-bit integers where all fit, else as 64-bit ones."""
+    fits = values.min(initial=0) >= -(1 << 31) and values.max(initial=0) < 1 << 31
+    return values.astype("<i4" if fits else "<i8")
+
+
 def _scaled(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, size, vector`` (32-bit integers), ``copies`` of usable vectors."""
+    """``vec_id, size, vector`` (32-bit integers, or 64-bit ones for a vector that needs
+    them), ``copies`` of usable vectors."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,13 +151,16 @@ def _scaled(embeddings: DataFrame) -> DataFrame:
             ):
                 if vec_id is None or not raw or any(x is None for x in raw):
                     continue
-                with np.errstate(over="ignore"):
-                    row = np.floor(np.asarray(raw, np.float64) * SCALE)
-                if not np.isfinite(row).all() or np.abs(row).max() > LARGEST:
+                row = np.asarray(raw, np.float64)
+                if not np.isfinite(row).all():
                     continue
+                with np.errstate(over="ignore"):
+                    row = np.floor(row * SCALE)
+                if row.min() < -(2.0**63) or row.max() >= 2.0**63:
+                    raise ValueError(f"vector {vec_id}: a scaled component is no 64-bit integer")
                 ids.append(vec_id)
                 sizes.append(len(row))
-                vectors.append(row.astype("<i4").tobytes())
+                vectors.append(_narrow(row.astype(np.int64)).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(vectors, pa.binary())],
                 names=["vec_id", "size", "vector"],
@@ -154,9 +178,9 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """The k best other vectors of every query: ``query_id, rank, vec_id, score``.
 
     Components become ``floor(256 * x)``; the score is the integer inner product, ties
-    go to the smaller id. Vectors that are null, empty, hold null or non-finite
-    components, or a scaled component beyond 2 ** 26, take no part, nor do rows
-    without an id. Vectors of another size are no candidates. Rows of the query's own
+    go to the smaller id. Vectors that are null, empty, or hold null or non-finite
+    components take no part, nor do rows without an id. A scaled component that is no
+    64-bit integer is an error, and so is such a score among the k best of a task. Vectors of another size are no candidates. Rows of the query's own
     id are not candidates; other rows that repeat fill as many ranks. A query id with
     several vectors is searched with each, its ranks are over all of them. No
     candidates, no rows.
@@ -252,19 +276,19 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     )
 
 
-def _points(table: pa.Table) -> np.ndarray:
-    rows = [np.frombuffer(v, "<i4") for v in table.column("vector").to_pylist()]
-    return np.array(rows, np.int64)
+def _points(table: pa.Table, size: int) -> np.ndarray:
+    raw = table.column("vector").to_pylist()
+    return np.array([np.frombuffer(v, f"<i{len(v) // size}") for v in raw], np.int64)
 
 
 def _shard_tree(key: tuple, table: pa.Table) -> pa.Table:
     tree = build_tree(
-        _points(table),
+        _points(table, key[0].as_py()),
         table.column("vec_id").to_numpy(),
         table.column("copies").to_numpy(),
     )
     for name in ("points", "low", "high"):
-        tree[name] = tree[name].astype(np.int32)
+        tree[name] = _narrow(tree[name])
     return pa.table(
         {
             "size": pa.array([key[0].as_py()], pa.int32()),
@@ -275,7 +299,7 @@ def _shard_tree(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _query_block(key: tuple, table: pa.Table) -> pa.Table:
-    asked = (table.column("vec_id").to_numpy(), _points(table).astype(np.int32))
+    asked = (table.column("vec_id").to_numpy(), _narrow(_points(table, key[0].as_py())))
     return pa.table(
         {
             "size": pa.array([key[0].as_py()], pa.int32()),
@@ -316,6 +340,8 @@ def _results(state: dict) -> Iterator[pa.RecordBatch]:
             for score, negative in found.heap
         ]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+        if any(not LEAST <= row[2] < -LEAST for row in rows):
+            raise ValueError("a score is no 64-bit integer")
         columns = list(zip(*rows)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, kinds)],

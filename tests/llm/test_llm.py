@@ -25,6 +25,7 @@ from docengine.llm.secret_scan import find_spans, new_ledger, redacted, scan_his
 from docengine.llm.token_counts import empty_cache, token_counts  # noqa: E402
 from docengine.llm.token_output import read_token_files, segment, segments, write_token_files  # noqa: E402
 from docengine.llm.tokenization import Encoder  # noqa: E402
+from docengine.llm.topk import Best, build_tree, search_tree, top_k  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -283,6 +284,36 @@ def test_links_over_borders_of_cells(spark):
     assert sparse >= 0.99 and link_recall(spark, matrix, cell_vectors=35) >= 0.999
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** (i % 7)).tolist()) for i in range(140)]
+    rows += [(200, [1e6] * 64), (201, [1e6] * 63 + [-9e5]), (202, [0.5] * 64), (203, [float("inf")] * 64)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if np.isfinite(v).all()}
+    expected = []
+    for q, v in whole.items():
+        scores = [
+            (-sum(a * b for a, b in zip(v, w)), i) for i, w in whole.items() if i != q and len(w) == len(v)
+        ]
+        expected += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:5], 1)]
+    assert sorted(tuple(r) for r in top_k(frame, F.lit(True)).collect()) == sorted(expected)
+    assert max(s for *_, s in expected) > 1 << 61
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        top_k(spark.createDataFrame([(1, [1e8]), (2, [1e8])], frame.schema), F.lit(True)).collect()
+
+
+def test_search_beyond_64_bits():
+    rng = np.random.default_rng(2)
+    points = rng.integers(-(1 << 60), 1 << 60, size=(300, 3))
+    points[::3] //= 1 << 45
+    asked = np.array([[1 << 60, 5, -7], [3, -(1 << 40), 1], [1, 2, 3]])
+    best = [Best(4) for _ in asked]
+    search_tree(build_tree(points, np.arange(300), np.ones(300, np.int64)), asked, np.array([-1] * 3), best)
+    for query, found in zip(asked.tolist(), best):
+        scores = sorted((sum(a * b for a, b in zip(query, p)), -i) for i, p in enumerate(points.tolist()))
+        assert sorted(found.heap) == scores[-4:]
+
+
 def test_language(spark, nothing):
     rng = random.Random(4)
     words = {"en": ["the", "house", "green", "with"], "de": ["das", "haus", "grün", "mit"], "fr": ["la", "maison", "verte", "avec"]}
