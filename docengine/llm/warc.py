@@ -34,7 +34,6 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DICTIONARY_BYTES = 32 * 1024
 SAMPLE_BYTES = 2 * 1024 * 1024
 ROW_BYTES = 1024 * 1024
-LARGEST_HEADER = 64 * 1024
 RECORD_SCHEMA = (
     "page_id long, url string, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long, payload binary"
@@ -214,7 +213,7 @@ def frames(archive: bytes) -> Iterator[bytes]:
 def parse_record(data: bytes) -> dict:
     """Fields and payload of a record; raises where header and lengths disagree."""
     head, found, rest = data.partition(b"\r\n\r\n")
-    if not found or len(head) > LARGEST_HEADER:
+    if not found:
         raise ValueError("a record without the end of its header")
     lines = head.decode("utf-8").split("\r\n")
     if lines[0].encode("ascii") != VERSION:
@@ -300,7 +299,7 @@ def checked_revisits(records: DataFrame) -> DataFrame:
     """Records with ``resolved``: whether a revisit's length and digest are those of the
     response that it names (true for responses)."""
     answers = (
-        records.filter(F.col("record_type") == "response")
+        records.filter((F.col("record_type") == "response") & F.col("page_id").isNotNull())
         .groupBy("page_id")
         .agg(
             F.collect_set(F.struct("payload_bytes", "payload_digest")).alias("_answers"),

@@ -405,6 +405,18 @@ def test_warc(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_long_url_and_pages_without_id(spark, tmp_path):
+    url = "http://a/" + "x" * 100_000
+    rows = [(1, url, "<p>one</p>"), (2, "http://b", "<p>one</p>" * 9), (3, url, "<p>one</p>" * 9)]
+    rows += [(None, "http://c", f"<p>{i}</p>") for i in range(20)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = str(tmp_path / "warc")
+    warc.write_archives(warc.choose_records(frame, min_bytes=20), folder)
+    got = warc.checked_revisits(warc.read_archives(spark, folder)).collect()
+    assert sorted((r["page_id"] or 0, r["url"]) for r in got) == sorted((i or 0, u) for i, u, _ in rows)
+    assert all(r["resolved"] for r in got) and [r["refers_to"] for r in got if r["refers_to"]] == [2]
+
+
 def test_warc_damage():
     records = [warc.record(i, "http://a", b"payload " * 200 + str(i).encode(), "response", None) for i in range(400)]
     archive = b"".join(part + b"\n" for part in warc.archive_rows(iter(records)))
