@@ -22,6 +22,7 @@ from docengine.llm.common import running_before, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_PASSES = 3
+SEED = 17
 CYCLE = (5.0, 2.0, 1.0)
 BLOCK_WORDS = 20_000
 MOST_BLOCKS = 4096  # per source; blocks of a larger source are larger
@@ -120,7 +121,7 @@ def mix(
     documents: DataFrame,
     weights: dict[str, float] | None = None,
     most: int = MOST_PASSES,
-    seed: int = 17,
+    seed: int = SEED,
 ) -> DataFrame:
     """How often each document is drawn, and into which shards.
 
@@ -319,16 +320,21 @@ def _cut(placed: DataFrame, partial: DataFrame) -> DataFrame:
     )
 
 
+def shuffle_key(shard: str | Column, number: str | Column, seed: int = SEED) -> Column:
+    """A shard orders its draws by this; ``number`` is the draw's place among those of
+    its document (in ``shards``)."""
+    return F.xxhash64(F.lit(seed + 1), shard, number, "doc_id", "text")
+
+
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each document once per draw, with its shard, locally
     shuffled. Only for writing; the order lives in the files."""
-    seed = options.get("seed", 17)
     drawn = mix(documents, **options)
     rows = drawn.select(
         *[c for c in documents.columns if c in drawn.columns],
         F.posexplode("shards").alias("_pass", "_shard"),
     )
-    order = F.xxhash64(F.lit(seed + 1), "_shard", "_pass", "doc_id", "text")
+    order = shuffle_key("_shard", "_pass", options.get("seed", SEED))
     return (
         rows.withColumn("_order", order)
         .repartition("_shard")

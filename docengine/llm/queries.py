@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docengine.llm.common import shared_folder, written
 from docengine.llm.embedding_dedup import linked_vectors
 from docengine.llm.langid import held_out, learn, predict
-from docengine.llm.mixing import mix
+from docengine.llm.mixing import mix, shuffle_key
 from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
 from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
@@ -88,7 +88,11 @@ ORACLE["op7_secret_scan"] = SECRET_SQL
 @query
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed_rows = mix(table(spark, folder, "documents"))
-    return mixed_rows.select("doc_id", "size", "source_size", "target", "taken", "shards")
+    # Where each draw stands in its shard: by these keys.
+    keys = F.transform("shards", lambda shard, number: shuffle_key(shard, number))
+    return mixed_rows.select(
+        "doc_id", "size", "source_size", "target", "taken", "shards", keys.alias("shuffle_keys")
+    )
 
 
 @query

@@ -16,7 +16,7 @@ from docengine.llm import queries, token_codec, warc  # noqa: E402
 from docengine.llm.embedding_dedup import linked_vectors  # noqa: E402
 from docengine.llm.graph import components  # noqa: E402
 from docengine.llm.langid import held_out, learn, predict  # noqa: E402
-from docengine.llm.mixing import mix, share_out, split_quotas  # noqa: E402
+from docengine.llm.mixing import mix, mixed, share_out, split_quotas  # noqa: E402
 from docengine.llm.ngram_join import (  # noqa: E402
     choose_bands, gram_set, linked_documents, without_near_duplicates,
 )
@@ -360,6 +360,26 @@ def test_mixing(spark, edge, nothing):
     assert mix(edge).count() == len(EDGE) and mix(nothing).count() == 0
 
 
+def test_mixed_rows_are_shuffled_in_their_shards(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select("doc_id", "source", "text")
+    drawn = [r for r in queries.QUERIES["op2_mixing"](spark, SMALL).collect()]
+    expected = sorted(
+        (shard, key, r["doc_id"]) for r in drawn for shard, key in zip(r["shards"], r["shuffle_keys"])
+    )
+    got = [(r["_shard"], r["_order"], r["doc_id"]) for r in mixed(rows).collect()]
+    assert sorted(got) == expected and len(expected) == sum(len(r["shards"]) for r in drawn)
+    for shard in {s for s, *_ in got}:
+        own = [key for s, key, _ in got if s == shard]
+        assert own == sorted(own)
+    stage = corpus_pipeline.mixing(spark, docs, SMALL)
+    assert stage.columns == docs.columns
+    # One shard here: the stage's rows come in its order, not copy beside copy.
+    assert len({s for s, *_ in got}) > 1 or [r["doc_id"] for r in stage.collect()] == [i for *_, i in expected]
+
+
 def test_secrets(spark, edge, nothing):
     texts = {
         "token: token: abcdefgh": "", "PassWord='hunter22'": "assign:0:18",
