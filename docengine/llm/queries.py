@@ -14,6 +14,7 @@ from docengine.llm.langid import held_out, learn, predict
 from docengine.llm.mixing import mix, shuffle_key
 from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
+from docengine.llm.periodic_runs import periodic_runs
 from docengine.llm.secret_scan import SECRET_SQL, base_spans, new_ledger, scan_history, spelled
 from docengine.llm.token_counts import empty_cache, token_counts
 from docengine.llm.token_output import read_token_files, write_token_files
@@ -139,3 +140,112 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict(rows.drop("lang"), model, pieces).select(
         "doc_id", "held_out", "lang_pred", "score"
     )
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """The contract's texts of op12: every tenth document continues periodically.
+
+    Documents without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def periodic(words):
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        word = lambda w, i: F.when(i < a, w).otherwise(words[a + (i - a) % p])
+        return F.concat_ws(" ", F.transform(words, word))
+
+    # A lambda variable holds the words, so that they are split once.
+    split = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    changed = F.transform(
+        split, lambda words: F.when(F.size(words) > 0, periodic(words)).otherwise("")
+    )[0]
+    return documents.withColumn("text", F.when(h % 10 == 0, changed).otherwise(F.col("text")))
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = periodic_runs(with_planted_periods(documents))
+    runs = F.col("runs")
+    # Runs are by start, then period, so the first of equal powers is the one to keep.
+    best = F.aggregate(
+        F.slice(runs, 2, F.greatest(F.size(runs), F.lit(1))),
+        runs[0],
+        lambda most, run: F.when(
+            run["length"] * most["period"] > most["length"] * run["period"], run
+        ).otherwise(most),
+    )
+    lines = F.transform(
+        runs, lambda run: F.concat_ws(",", run["start"], run["length"], run["period"])
+    )
+    listed = F.when(F.size(runs) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("best", F.when(F.size(runs) > 0, best)).select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+# Runs from pairs of equal five-word strings: every run has five words that come again one
+# period on, and an island of such pairs at one distance is a run at that distance.
+ORACLE["op12_periodic_runs"] = r"""
+WITH source AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+               list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+               lambda d, z: CASE WHEN d & 1 = 1 THEN xor(d >> 1, CAST(3988292384 AS BIGINT)) ELSE d >> 1 END)),
+             CAST(4294967295 AS BIGINT)) AS h
+  FROM documents
+), numbers AS (
+  SELECT *, len(words) AS n, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM source
+), periods AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM numbers
+), texts AS (
+  SELECT row_no, doc_id, n,
+         CASE WHEN h % 10 = 0 AND n > 0
+              THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END])
+              ELSE words END AS words
+  FROM periods
+), grams AS (
+  SELECT row_no, i, words[i + 1:i + 5] AS gram
+  FROM (SELECT row_no, words, unnest(range(n - 4)) AS i FROM texts WHERE n > 4)
+), pairs AS (
+  SELECT x.row_no, x.i, y.i - x.i AS q
+  FROM grams x JOIN grams y ON x.row_no = y.row_no AND x.gram = y.gram AND x.i < y.i
+), islands AS (
+  SELECT row_no, q, i, i - row_number() OVER (PARTITION BY row_no, q ORDER BY i) AS island FROM pairs
+), periodic AS (
+  SELECT row_no, q, min(i) AS start, max(i) + 5 + q - min(i) AS length
+  FROM islands GROUP BY row_no, q, island
+), runs AS (
+  SELECT row_no, start, length, min(q) AS period FROM periodic
+  WHERE length >= greatest(6, 4 * q) GROUP BY row_no, start, length
+), listed AS (
+  SELECT row_no, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS spelled
+  FROM runs GROUP BY row_no
+), best AS (
+  SELECT DISTINCT ON (row_no) row_no, start, length, period FROM runs
+  ORDER BY row_no, CAST(length AS DOUBLE) / period DESC, start, period
+), dropped AS (
+  SELECT DISTINCT row_no, unnest(range(start + period, start + length)) AS i FROM runs
+), placed AS (
+  SELECT row_no, unnest(words) AS word, unnest(range(n)) AS i FROM texts
+), kept AS (
+  SELECT row_no, string_agg(word, ' ' ORDER BY i) AS body
+  FROM placed ANTI JOIN dropped USING (row_no, i) GROUP BY row_no
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       (1000 * length) // period AS exponent_milli,
+       sha256(coalesce(spelled, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (row_no) LEFT JOIN best USING (row_no) LEFT JOIN kept USING (row_no)"""
