@@ -70,3 +70,25 @@ def text_key(text: Column) -> Column:
 def salted(key: Column, parts: int) -> Column:
     """A number below ``parts`` from a row's own values, the same in every run."""
     return F.pmod(F.xxhash64(key, F.lit(7919)), F.lit(parts)).cast("int")
+
+
+def join_by_hot_key(
+    rows: DataFrame, entries: DataFrame, key: str, count: str, most: int = 4096
+) -> DataFrame:
+    """Inner join of ``rows`` to ``entries``, which has each key once and how many rows have it.
+
+    Keys of one in ``most`` rows or more, of which there can be no more than ``most``, are
+    broadcast; the others are joined by a shuffle, where each fills a partition by no more
+    than that share of all rows. ``entries`` should be a written table; no key is null.
+    """
+    total = entries.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * most >= total
+    hot = entries.filter(is_hot)
+    return (
+        rows.join(F.broadcast(hot), key)
+        .unionByName(
+            rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(
+                entries.filter(~is_hot), key
+            )
+        )
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import shared_folder, written
+from docengine.llm.cuckoo_dedup import exact_duplicates
 from docengine.llm.embedding_dedup import linked_vectors
 from docengine.llm.langid import held_out, learn, predict
 from docengine.llm.mixing import mix, shuffle_key
@@ -249,3 +250,24 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
        (1000 * length) // period AS exponent_milli,
        sha256(coalesce(spelled, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
 FROM texts LEFT JOIN listed USING (row_no) LEFT JOIN best USING (row_no) LEFT JOIN kept USING (row_no)"""
+
+
+@query
+def op13_cuckoo_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept",
+        F.lower(F.hex("digest")).alias("text_sha256"),
+    )
+
+
+ORACLE["op13_cuckoo_dedup"] = r"""
+WITH named AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+       count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       row_number() OVER best = 1 AS kept, text_sha256
+FROM named
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST)"""
