@@ -12,6 +12,7 @@ from docengine.llm.common import shared_folder, written
 from docengine.llm.cuckoo_dedup import exact_duplicates
 from docengine.llm.embedding_dedup import linked_vectors
 from docengine.llm.langid import held_out, learn, predict
+from docengine.llm.lexical_search import index_documents, search
 from docengine.llm.mixing import mix, shuffle_key
 from docengine.llm.ngram_join import linked_documents
 from docengine.llm.packing import pack
@@ -271,3 +272,43 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
        row_number() OVER best = 1 AS kept, text_sha256
 FROM named
 WINDOW best AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST)"""
+
+
+@query
+def op11_dual_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    shards = index_documents(table(spark, folder, "documents"))
+    return search(table(spark, folder, "benchmark"), shards, k=10)
+
+
+ORACLE["op11_dual_tree_search"] = r"""
+WITH documents_terms AS (
+  SELECT row_number() OVER () AS row_no, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), totals AS (
+  SELECT count(*) AS big_n, CAST(sum(len(terms)) AS BIGINT) AS big_l FROM documents_terms WHERE len(terms) > 0
+), item_terms AS (
+  SELECT DISTINCT item_id,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), postings AS (
+  SELECT row_no, doc_id, n, term, count(*) AS tf
+  FROM (SELECT row_no, doc_id, len(terms) AS n, unnest(terms) AS term FROM documents_terms)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM postings, totals GROUP BY term
+), parts AS (
+  SELECT row_no, doc_id, term,
+         w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS part
+  FROM postings JOIN weights USING (term), totals
+), scores AS (
+  SELECT item_id, row_no, doc_id, CAST(sum(part) AS BIGINT) AS score
+  FROM item_terms JOIN parts USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
