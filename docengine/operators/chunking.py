@@ -429,3 +429,91 @@ def suggested_chunks(responses: DataFrame, text: str = "text", response: str = "
         "content",
         F.contains(F.col(text), F.col("content")).alias("verbatim"),
     )
+
+
+PLACES = "array<struct<start:int,end:int,gap:int>>"
+
+
+def place_chunks(text: Column, contents: Column) -> Column:
+    """Where chunks lie in their text, in their order: an array of ``PLACES``.
+
+    A chunk is looked for behind the end of the one before, and if it is not there, behind
+    its start (it then overlaps); one that is in neither place, or empty, has nulls and the
+    next one starts from where this one did. ``start`` is 1-based, ``end`` is the place
+    after the last character, ``gap`` the characters since the furthest end so far (negative:
+    an overlap). Every chunk is searched from its place on in the text.
+    """
+    state = F.struct(
+        F.lit(0).alias("start"), F.lit(1).alias("end"), F.lit(1).alias("reach"), F.lit("").alias("marks")
+    )
+
+    def step(done: Column, content: Column) -> Column:
+        behind = F.call_function("locate", content, text, done["end"])
+        found = F.when(F.length(content) == 0, 0).otherwise(
+            F.coalesce(
+                F.nullif(behind, F.lit(0)), F.call_function("locate", content, text, done["start"] + 1)
+            )
+        )
+
+        def after(start: Column) -> Column:
+            end = start + F.length(content)
+            put = F.concat_ws(",", start.cast("string"), end.cast("string"), (start - done["reach"]).cast("string"))
+            return F.when(
+                F.coalesce(start, F.lit(0)) > 0,
+                F.struct(
+                    start.alias("start"), end.alias("end"), F.greatest(done["reach"], end).alias("reach"),
+                    F.concat(done["marks"], put, F.lit(";")).alias("marks"),
+                ),
+            ).otherwise(done.withField("marks", F.concat(done["marks"], F.lit(";"))))
+
+        return let(found, after)
+
+    def place(mark: Column) -> Column:
+        numbers = F.split(mark, ",")
+        at = lambda i: F.when(mark != "", F.get(numbers, F.lit(i)).cast("int"))
+        return F.struct(at(0).alias("start"), at(1).alias("end"), at(2).alias("gap"))
+
+    marks = F.split(_fold_in_runs(contents, state, step)["marks"], ";")
+    # Behind the last semicolon there is nothing.
+    return F.transform(F.slice(marks, 1, F.size(marks) - 1), place).cast(PLACES)
+
+
+def placed_chunks(responses: DataFrame, text: str = "text", response: str = "response") -> DataFrame:
+    """Model-suggested chunks with their place: ``chunk_number, content, start, end, gap``.
+
+    Chunks are taken in the order of the response. Unplaced ones have nulls.
+    """
+    from docengine.schemas import MODEL_CHUNKS
+
+    listed = F.trim(F.trim(F.col(response), F.lit("'")), F.lit(EDGES))
+    parsed = F.when(listed.startswith("["), F.from_json(listed, MODEL_CHUNKS))
+    kept = [name for name in responses.columns if name not in (text, response)]
+    places = place_chunks(F.col(text), F.transform("_parsed", lambda chunk: F.coalesce(chunk["content"], F.lit(""))))
+    fields = [F.col(f"_chunk._parsed.{name}").alias(name) for name in ("chunk_number", "content")]
+    fields += [F.col(f"_chunk._places.{name}").alias(name) for name in ("start", "end", "gap")]
+    return (
+        responses.select(*kept, text, parsed.alias("_parsed"))
+        .filter(F.col("_parsed").isNotNull())
+        .select(*kept, F.length(text).alias("text_length"), "_parsed", places.alias("_places"))
+        .select(*kept, "text_length", F.explode(F.arrays_zip("_parsed", "_places")).alias("_chunk"))
+        .select(*kept, "text_length", *fields)
+    )
+
+
+def chunk_coverage(placed: DataFrame, key: str) -> DataFrame:
+    """Per document: chunks, those that are placed, characters covered and their share, and
+    characters in gaps before chunks and in overlaps."""
+    covered = F.when(F.col("start").isNotNull(), F.col("end") - F.col("start") + F.least("gap", F.lit(0)))
+    return (
+        placed.groupBy(key)
+        .agg(
+            F.count(F.lit(1)).alias("chunks"),
+            F.count("start").alias("placed"),
+            F.coalesce(F.sum(F.greatest(covered, F.lit(0))), F.lit(0)).alias("covered"),
+            F.coalesce(F.sum(F.greatest("gap", F.lit(0))), F.lit(0)).alias("in_gaps"),
+            F.coalesce(F.sum(F.greatest(-F.col("gap"), F.lit(0))), F.lit(0)).alias("in_overlaps"),
+            F.max("text_length").alias("_length"),
+        )
+        .withColumn("share", F.round(F.col("covered") / F.col("_length"), 6))
+        .drop("_length")
+    )

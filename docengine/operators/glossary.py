@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions.text import fill_template, windows
 from docengine.schemas import GLOSSARY_ITEMS
+from docengine.session import materialise
 
 # Fixed value: definitions below this certainty are not looked up.
 MIN_CERTAINTY = 80
@@ -202,7 +203,7 @@ def mine_acronyms(
     words = F.filter(F.split(clause, " "), lambda word: word != "")
     capitals = F.split(F.regexp_replace("acronym", r"[^\p{Lu}]", ""), "")
     letters = F.reverse(F.filter(capitals, lambda letter: letter != ""))
-    taken = F.least(F.size("all_words"), F.size(letters))
+    taken = F.greatest(F.least(F.size("all_words"), F.size(letters)), F.lit(1))
     initials = F.reverse(
         F.transform(F.col("words"), lambda word: F.upper(F.substring(word, 1, 1)))
     )
@@ -225,3 +226,85 @@ def mine_acronyms(
         )
         .filter(F.col("certainty") >= min_certainty)
     )
+
+
+def align_acronyms(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Acronyms with long forms whose letters may lie inside words: ``Long Form (LF)``.
+
+    The letters and digits of the acronym are matched from right to left, each at its last
+    place before the one matched before it; the first must begin a word, where the long
+    form starts. It lies in the words before the parenthesis, back to the last sign other
+    than a hyphen or an apostrophe: at most min(n + 5, 2n) of them for n letters. Forms that are no
+    longer than the acronym, or hold it as a word, are none. One pass per acronym, in the JVM.
+    """
+    kept = [name for name in documents.columns if name != text]
+    found = F.arrays_zip(
+        F.split(F.col(text), _ACRONYM, -1).alias("before"),
+        F.regexp_extract_all(F.col(text), F.lit(_ACRONYM), F.lit(1)).alias("acronym"),
+    )
+    letters = F.reverse(F.regexp_extract_all(F.lower("acronym"), F.lit(r"[\p{L}\p{N}]"), F.lit(0)))
+    clause = F.element_at(F.split("before", r"[^\p{L}\p{N}' -]"), -1)
+    words = F.filter(F.split(clause, " "), lambda word: word != "")
+    most = F.greatest(F.least(F.size("letters") + 5, F.size("letters") * 2, F.size("words")), F.lit(1))
+    # Two views of the window, place for place: all letters, and those that begin words.
+    whole = F.lower("window")
+    begins = F.regexp_replace(whole, r"(?<=[\p{L}\p{N}])[\p{L}\p{N}]", " ")
+
+    def last_place(view: Column, letter: Column, before: Column) -> Column:
+        """1-based, 0 if the letter is not there."""
+        behind = F.call_function("locate", letter, F.reverse(F.substring(view, F.lit(1), before - 1)))
+        return F.when((before > 1) & (behind > 0), before - behind).otherwise(0)
+
+    inner = F.slice("letters", 1, F.size("letters") - 1)
+    before = F.aggregate(
+        inner, F.length("window") + 1, lambda at, letter: last_place(F.col("whole"), letter, at)
+    )
+    start = last_place(F.col("begins"), F.element_at("letters", -1), F.col("at"))
+    as_word = F.array_contains(F.split("definition", "[ -]"), F.col("acronym"))
+    return (
+        documents.filter(F.col(text).contains("("))
+        .select(*kept, F.inline(found))
+        .filter(F.col("acronym").isNotNull() & F.col("before").endswith(" "))
+        .withColumn("letters", letters)
+        .withColumn("words", words)
+        .withColumn("window", F.array_join(F.slice("words", -most, most), " "))
+        .withColumn("whole", whole)
+        .withColumn("begins", begins)
+        .withColumn("at", before)
+        .withColumn("start", start)
+        .filter(F.col("start") > 0)
+        .withColumn("definition", F.substring("window", F.col("start"), F.length("window")))
+        .filter((F.length("definition") > F.length("acronym")) & ~as_word)
+        .select(*kept, "acronym", "definition")
+    )
+
+
+# Fixed value: the name of the SQL function that is asked once per row.
+LATERAL_FUNCTION = "lookup_glossary_of"
+
+
+def create_lateral_lookup(
+    spark: SparkSession, glossary: DataFrame, min_certainty: int = MIN_CERTAINTY
+) -> None:
+    """SQL table function for ``LEFT JOIN LATERAL lookup_glossary_of(t.term)``.
+
+    The rule is that of ``lookup_glossary``. The glossary is stored by the pieces of its
+    acronyms, and a term asks for one of its literal pieces, so that Spark turns the
+    lateral join into an equality join with the pattern as a further condition.
+    """
+    pieces = materialise(
+        glossary.filter(F.col("acronym").isNotNull()).select(
+            F.explode(_grams(F.lower("acronym"))).alias("piece"), "acronym", *FOUND
+        ),
+        "pieces",
+    )
+    pieces.createOrReplaceTempView("glossary_pieces")
+    kinds = dict(glossary.dtypes)
+    columns = ", ".join(f"{name} {kinds[name]}" for name in FOUND)
+    runs = r"split(lower(trim(term)), r'\\.|%|_')"
+    longest = f"element_at(array_sort(transform({runs}, run -> struct(length(run) AS n, run AS run))), -1).run"
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {LATERAL_FUNCTION}(term STRING) RETURNS TABLE({columns}) "
+        f"RETURN SELECT {', '.join(FOUND)} FROM glossary_pieces "
+        f"WHERE piece = substring({longest}, 1, {_ANCHOR}) AND {_answers('term', min_certainty)}"
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,39 @@ def extract_pages(files: DataFrame, extractor) -> DataFrame:
     return read.select("path", "read.pages", "read.text", "read.error")
 
 
+EXTRACTED = "path string, pages array<string>, text string, error string"
+
+
+def extract_files(files: DataFrame, extractor: Callable[[str, bytes], Iterable[dict]]) -> DataFrame:
+    """Rows of ``EXTRACTED`` from files (``path, content``), on the executors, batch or stream.
+
+    ``extractor`` takes a path and the bytes of one file and gives one dictionary per
+    document in it: ``path`` (default that of the file), ``pages``, ``text``, ``error``. What it
+    raises becomes an error row of that file, behind the documents that it gave before;
+    the other files are not touched by it. Rows leave as they are made: a container of
+    very many documents is never held whole as rows.
+    """
+    names = [field.split(" ")[0] for field in EXTRACTED.split(", ")]
+    kinds = pa.schema([("path", pa.string()), ("pages", pa.list_(pa.string())), ("text", pa.string()), ("error", pa.string())])
+
+    def documents_of(path: str, content: bytes) -> Iterator[dict]:
+        try:
+            for found in extractor(path, content):
+                yield {"path": path, **found}
+        except Exception as failure:  # a damaged file is a row, not a failed job
+            yield {"path": path, "error": f"{type(failure).__name__}: {failure}"}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = documents_of(batch.column("path")[i].as_py(), batch.column("content")[i].as_py())
+                while some := list(islice(found, 512)):
+                    rows = [{name: each.get(name) for name in names} for each in some]
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    return files.select("path", "content").mapInArrow(task, EXTRACTED)
+
+
 def ingest_documents(
     extracted: DataFrame, clean: bool = True, supported: tuple[str, ...] = SUPPORTED
 ) -> DataFrame:

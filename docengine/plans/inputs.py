@@ -188,6 +188,22 @@ def chunk_responses(spark: SparkSession, folder: str) -> DataFrame:
     return documents(spark, folder).select("doc_id", "text", response.alias("response"))
 
 
+def partial_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Model-suggested chunks, in German without the first line, in French with the last
+    one twice and a line that is nowhere."""
+    of = (
+        F.when(F.col("lang") == "de", F.slice("lines", 2, F.size("lines")))
+        .when(F.col("lang") == "fr", F.concat("lines", F.slice("lines", -1, 1), F.array(F.lit("Nulle part; \u2620"))))
+        .otherwise(F.col("lines"))
+    )
+    numbered = F.transform(
+        of, lambda line, i: F.struct((i + 1).alias("chunk_number"), line.alias("content"))
+    )
+    return documents(spark, folder).withColumn("lines", lines()).select(
+        "doc_id", "text", F.to_json(numbered).alias("response")
+    )
+
+
 def tool_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations in which long answers are tool calls and later user turns
     hold the results."""

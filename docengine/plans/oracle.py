@@ -445,6 +445,41 @@ metrics AS (
 )"""
 
 
+PLACED = f"""
+responses AS (
+    SELECT doc_id, text, CASE lang WHEN 'de' THEN l[2:] WHEN 'fr' THEN list_concat(l, [l[-1], 'Nulle part; ☠']) ELSE l END AS l
+    FROM (SELECT doc_id, text, lang, string_split(text, {NL}) AS l FROM documents WHERE text IS NOT NULL)
+),
+steps AS (
+    SELECT doc_id, 0 AS chunk_number, 0 AS begun, 1 AS ended, 1 AS reach, NULL::INT AS start, NULL::INT AS stop, NULL::INT AS gap
+    FROM responses
+    UNION ALL
+    SELECT doc_id, chunk_number + 1, coalesce(here, begun), coalesce(here + n, ended), greatest(reach, coalesce(here + n, 0)),
+           here, here + n, here - reach
+    FROM (
+        SELECT doc_id, chunk_number, begun, ended, reach, length(l[chunk_number + 1])::INT AS n,
+               CASE WHEN l[chunk_number + 1] <> '' THEN coalesce(
+                   ended - 1 + nullif(instr(substr(text, ended), l[chunk_number + 1]), 0),
+                   begun + nullif(instr(substr(text, begun + 1), l[chunk_number + 1]), 0)) END::INT AS here
+        FROM steps JOIN responses USING (doc_id) WHERE chunk_number < len(l)
+    )
+),
+placed AS (
+    SELECT doc_id, length(text) AS text_length, chunk_number, l[chunk_number] AS content, start, stop, gap
+    FROM steps JOIN responses USING (doc_id) WHERE chunk_number > 0
+)
+"""
+
+DIFFERENCE = f"""
+        WITH {SNAPSHOTS}
+        SELECT uuid, content, 'insert' AS _change_type FROM new ANTI JOIN old USING (uuid)
+        UNION ALL SELECT uuid, content, 'delete' FROM old ANTI JOIN new USING (uuid)
+        UNION ALL SELECT uuid, o.content, 'update_preimage' FROM old o JOIN new n USING (uuid)
+                  WHERE o.content IS DISTINCT FROM n.content
+        UNION ALL SELECT uuid, n.content, 'update_postimage' FROM old o JOIN new n USING (uuid)
+                  WHERE o.content IS DISTINCT FROM n.content
+    """
+
 ORACLE: dict[str, str] = {
     "file_scan": """
         SELECT doc_id, 'lang=' || lang || '/source=' || source AS folder, length(text)::INT AS length
@@ -474,19 +509,26 @@ ORACLE: dict[str, str] = {
     """,
     "write_overwrite_append": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "schema_merge": """
-        SELECT doc_id, text, source FROM documents WHERE lang = 'en'
-        UNION ALL BY NAME SELECT doc_id, lang, text, n_chars FROM documents WHERE lang <> 'en'
+        SELECT doc_id, text, source FROM documents WHERE lang IS NOT DISTINCT FROM 'en'
+        UNION ALL BY NAME SELECT doc_id, lang, text, n_chars FROM documents WHERE lang IS DISTINCT FROM 'en'
     """,
-    "snapshot_diff": f"""
+    "snapshot_diff": DIFFERENCE,
+    "apply_changes": f"WITH {SNAPSHOTS} SELECT uuid, content FROM new",
+    "change_feed": DIFFERENCE,
+    "change_log": f"""
         WITH {SNAPSHOTS}
-        SELECT uuid, content, 'insert' AS _change_type FROM new ANTI JOIN old USING (uuid)
-        UNION ALL SELECT uuid, content, 'delete' FROM old ANTI JOIN new USING (uuid)
-        UNION ALL SELECT uuid, o.content, 'update_preimage' FROM old o JOIN new n USING (uuid)
-                  WHERE o.content IS DISTINCT FROM n.content
-        UNION ALL SELECT uuid, n.content, 'update_postimage' FROM old o JOIN new n USING (uuid)
-                  WHERE o.content IS DISTINCT FROM n.content
+        SELECT uuid, sha256(o.content) AS content_sha256, 'update_preimage' AS _change_type, 1::INT AS _commit_version
+        FROM old o JOIN new n USING (uuid) WHERE o.content <> n.content
+        UNION ALL SELECT uuid, sha256(n.content), 'update_postimage', 1 FROM old o JOIN new n USING (uuid)
+                  WHERE o.content <> n.content
+        UNION ALL SELECT uuid, sha256(content), 'insert', 1 FROM new ANTI JOIN old USING (uuid)
+                  WHERE starts_with(content, 'Version deux. ')
+        UNION ALL SELECT uuid, sha256(content), 'delete', 2 FROM old ANTI JOIN new USING (uuid)
+    """,
+    "table_versions": f"""
+        WITH {SNAPSHOTS}
+        SELECT uuid, content, 0::INT AS version FROM old UNION ALL SELECT uuid, content, 3 FROM new
     """,
-    "apply_changes": f"WITH {SNAPSHOTS} SELECT uuid, content FROM new",
     "index_sync": f"""
         WITH {SNAPSHOTS}, {weights("new", "uuid", "content")}
         SELECT uuid, bucket, round(weight::DOUBLE, 6) AS weight FROM weights
@@ -630,6 +672,12 @@ ORACLE: dict[str, str] = {
                uuid, score, dense_rank, sparse_rank
         FROM fused QUALIFY rank <= 5
     """,
+    "hybrid_synced": f"""
+        WITH RECURSIVE {SNAPSHOTS}, gold AS (SELECT uuid, content FROM new), {SCORES}, {BM25}
+        SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY score DESC, uuid))::INT AS rank,
+               uuid, score, dense_rank, sparse_rank
+        FROM fused QUALIFY rank <= 5
+    """,
     "prompt_context": f"""
         WITH RECURSIVE {FOUND},
         contexts AS (
@@ -738,4 +786,88 @@ ORACLE: dict[str, str] = {
     """,
     "stream_ingest": f"WITH {BRONZE} SELECT * FROM bronze",
     "stream_sync": f"WITH RECURSIVE {GOLD} SELECT uuid, content, char_length FROM gold",
+    "stream_containers": f"WITH {BRONZE} SELECT * FROM bronze",
+    "align_acronyms": f"""
+        WITH RECURSIVE {PARTS},
+        asked AS (
+            SELECT p_partkey, 1 AS nth, short_form AS acronym, 'We list the ' || long_form AS before FROM items
+            UNION ALL
+            SELECT p_partkey, 2, upper(p_name[1] || p_type[3]), 'then the ' || p_name || ' ' || lower(p_type) FROM items
+        ),
+        cut AS (
+            SELECT p_partkey, nth, acronym, list_filter(string_split(before, ' '), lambda w: w <> '') AS words FROM asked
+        ),
+        candidates AS (
+            SELECT p_partkey, nth, acronym,
+                   array_to_string(words[-least(length(acronym) + 5, 2 * length(acronym), len(words)):], ' ') AS form
+            FROM cut
+        ),
+        -- From the last letter to the first: the last place before the one matched before.
+        steps AS (
+            SELECT p_partkey, nth, length(acronym) AS letter, length(form) + 1 AS place FROM candidates
+            UNION ALL
+            SELECT p_partkey, nth, letter - 1, coalesce((
+                       SELECT max(i) FROM range(1, place) t(i)
+                       WHERE lower(form[i]) = lower(acronym[letter])
+                         AND (letter > 1 OR i = 1 OR NOT regexp_matches(form[i - 1], '[\\p{{L}}\\p{{N}}]'))), 0)
+            FROM steps JOIN candidates USING (p_partkey, nth) WHERE letter > 0 AND place > 0
+        )
+        SELECT p_partkey, acronym, substr(form, place) AS definition
+        FROM steps JOIN candidates USING (p_partkey, nth)
+        WHERE letter = 0 AND place > 0 AND length(form) - place + 1 > length(acronym)
+          AND NOT list_contains(string_split_regex(substr(form, place), '[ -]'), acronym)
+    """,
+    "stream_changes": f"""
+        WITH lines AS (SELECT doc_id, lang, string_split(text, {NL}) AS l FROM documents),
+        later AS (
+            SELECT doc_id, CASE lang WHEN 'fr' THEN list_concat(['Version deux. ' || l[1]], l[2:])
+                                     WHEN 'de' THEN l[1:len(l) - 1] ELSE l END AS l
+            FROM lines
+        ),
+        old AS (SELECT doc_id || '_' || (i - 1) AS uuid, l[i] AS content
+                FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines)),
+        new AS (SELECT doc_id || '_' || (i - 1) AS uuid, l[i] AS content
+                FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM later))
+        SELECT uuid, n.content AS content, 'update' AS _change_type
+        FROM old o JOIN new n USING (uuid) WHERE o.content <> n.content
+        UNION ALL SELECT uuid, NULL, 'delete' FROM old ANTI JOIN new USING (uuid)
+    """,
+    "chunk_places": f"""
+        WITH RECURSIVE {PLACED}
+        SELECT doc_id, chunk_number, content, start, stop AS "end", gap FROM placed
+    """,
+    "chunk_coverage": f"""
+        WITH RECURSIVE {PLACED}
+        SELECT doc_id, count(*) AS chunks, count(start) AS placed,
+               coalesce(sum(greatest(stop - start + least(gap, 0), 0)), 0)::BIGINT AS covered,
+               coalesce(sum(greatest(gap, 0)), 0)::BIGINT AS in_gaps,
+               coalesce(sum(greatest(-gap, 0)), 0)::BIGINT AS in_overlaps,
+               round(coalesce(sum(greatest(stop - start + least(gap, 0), 0)), 0) / any_value(nullif(text_length, 0)), 6) AS share
+        FROM placed GROUP BY doc_id
+    """,
+    "letter_embedding": """
+        SELECT doc_id, bucket, n::DOUBLE AS weight
+        FROM (SELECT doc_id, b::INT AS bucket,
+                     length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), chr(97 + b::INT), '')) AS n
+              FROM documents, range(26) t(b))
+        WHERE n > 0
+    """,
+    "glossary_requests_of_some": f"""
+        WITH windows AS (
+            SELECT 'doc_' || doc_id || '.pdf' AS file_name, unnest(range(1, length(text) + 1, 5000)) AS start FROM documents
+        )
+        SELECT file_name, ((start - 1) // 5000)::INT AS window_num, start::INT AS start
+        FROM windows WHERE file_name LIKE 'doc_1_%.pdf'
+    """,
+    "lookup_lateral": f"""
+        WITH {PARTS},
+        terms AS (
+            SELECT ' ' || lower(short_form) || ' ' AS term FROM items
+            UNION SELECT n_name[1] || '%' FROM nation
+            UNION SELECT '_' || n_name[2] FROM nation
+            UNION SELECT r_name FROM region
+        )
+        SELECT term, definition, certainty
+        FROM terms LEFT JOIN (SELECT * FROM glossary WHERE certainty >= 80) ON acronym ILIKE trim(term)
+    """,
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,9 @@ from docengine.operators.embedding import (
     write_cells,
 )
 from docengine.operators.hybrid import hybrid_search, search_documentation_hybrid
-from docengine.operators.ingest import batch_counters, ingest_documents, new_files
+from docengine.operators.postings import Postings
+from docengine.operators.ivf import InvertedFile
+from docengine.operators.ingest import batch_counters, extract_files, ingest_documents, new_files
 from docengine.operators.profile import profile
 from docengine.operators.retrieval import (
     as_records,
@@ -33,6 +39,8 @@ from docengine.schemas import BRONZE, GLOSSARY
 from docengine.session import materialise, spread, work_folder
 from docengine.sources import tables
 from docengine.sources.files import list_files, scan_files
+from docengine.sources.versioned import VersionedTable
+from docengine.streaming import changes as stream_feeds
 from docengine.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,15 +132,15 @@ def write_overwrite_append(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     name = f"bronze_{uuid.uuid4().hex}"
     place = work_folder(spark, "bronze")
-    tables.overwrite_table(docs.filter("lang = 'en'"), name, place)
-    return tables.append_table(docs.filter("lang <> 'en'"), name, place)
+    tables.overwrite_table(docs.filter("lang <=> 'en'"), name, place)
+    return tables.append_table(docs.filter("NOT lang <=> 'en'"), name, place)
 
 
 @query
 def schema_merge(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    old = docs.filter("lang = 'en'").select("doc_id", "text", "source")
-    new = docs.filter("lang <> 'en'").select("doc_id", "lang", "text", "n_chars")
+    old = docs.filter("lang <=> 'en'").select("doc_id", "text", "source")
+    new = docs.filter("NOT lang <=> 'en'").select("doc_id", "lang", "text", "n_chars")
     place = work_folder(spark, "merged")
     tables.append_merging(old, place)
     return tables.append_merging(new, place)
@@ -150,6 +158,38 @@ def apply_changes(spark: SparkSession, folder: str) -> DataFrame:
     return changes.apply_changes(old, feed)
 
 
+def _versions(spark: SparkSession, folder: str) -> VersionedTable:
+    """The old snapshot, then the new one in three commits: edits, deletions, the rest."""
+    old, new = inputs.old_and_new(spark, folder)
+    table = VersionedTable.create(old)
+    table.merge(new.filter(F.col("content").startswith("Version deux. ")))
+    table.merge(deletes=old.join(new, "uuid", "left_anti"))
+    table.replace(new)
+    return table
+
+
+@query
+def change_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """What three recorded commits come to, read from their change rows alone."""
+    return _versions(spark, folder).net_changes(0)
+
+
+@query
+def change_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Change rows of the commits after the first, by version and kind."""
+    feed = _versions(spark, folder).changes_between(0, 2)
+    return feed.select("uuid", F.sha2("content", 256).alias("content_sha256"), "_change_type", "_commit_version")
+
+
+@query
+def table_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """The table at its first and its last version, the last read over a base."""
+    table = _versions(spark, folder)
+    table.compact()
+    at = lambda v: table.as_of(v).withColumn("version", F.lit(v))
+    return at(0).unionByName(at(table.version))
+
+
 def _weights(index: DataFrame, key: str) -> DataFrame:
     # The outer form: for the inner one Spark infers filters on the vector and
     # would compute it once more for them.
@@ -237,7 +277,7 @@ def chunk_key_check(spark: SparkSession, folder: str) -> DataFrame:
 def chunk_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Documents to gold chunks to their profile, end to end."""
     numbers = ["num_pages", "length", "char_length", "chunk_num"]
-    described = profile(inputs.gold_sequential(spark, folder), numbers)
+    described = profile(inputs.gold_sequential(spark, folder), numbers, derived=True)
     return described.withColumns(
         {"mean": F.round("mean", 6), "std": F.round("std", 6)}
     )
@@ -245,7 +285,7 @@ def chunk_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def recursive_profile(spark: SparkSession, folder: str) -> DataFrame:
-    described = profile(chunk_recursive(spark, folder), ["char_length", "chunk_num"])
+    described = profile(chunk_recursive(spark, folder), ["char_length", "chunk_num"], derived=True)
     return described.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
@@ -267,6 +307,19 @@ def parse_chunk_response(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.suggested_chunks(inputs.chunk_responses(spark, folder))
 
 
+@query
+def chunk_places(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the suggested chunks lie; German responses leave out the first line."""
+    return chunking.placed_chunks(inputs.partial_responses(spark, folder)).drop("text_length")
+
+
+@query
+def chunk_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_coverage(
+        chunking.placed_chunks(inputs.partial_responses(spark, folder)), "doc_id"
+    )
+
+
 # ---- text
 
 
@@ -310,6 +363,19 @@ def hashed_embedding(spark: SparkSession, folder: str) -> DataFrame:
     return _weights(embed(documents(spark, folder), "text"), "doc_id")
 
 
+@query
+def letter_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors by the caller's own function, here a pandas UDF that counts letters."""
+
+    @F.pandas_udf("array<float>")
+    def letters(texts: pd.Series) -> pd.Series:
+        lowered = texts.fillna("").str.lower()
+        counts = [lowered.str.count(letter) for letter in "abcdefghijklmnopqrstuvwxyz"]
+        return pd.Series(list(np.stack(counts, axis=1).astype("float32")), index=texts.index)
+
+    return _weights(embed(documents(spark, folder), "text", fn=letters), "doc_id")
+
+
 @query
 def topk_similarity(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(
@@ -338,6 +404,15 @@ def topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """What the inverted file finds of the ten nearest of every twentieth vector, which are
+    the questions, and the share of the table that it looks at."""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), "embedding")
+    return InvertedFile.build(vectors, "vec_id").recall(asked, 10)
+
+
 # First chunks of PDF files.
 FIRST = '{"file_extension": ".pdf", "chunk_num": [0]}'
 
@@ -395,6 +470,19 @@ def hybrid_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return hybrid_search(inputs.topics(spark, folder), index, 5, filters_json=FIRST)
 
 
+@query
+def hybrid_synced(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search over postings that were stored for the old snapshot and brought in
+    step with the new one by the recorded changes."""
+    table = VersionedTable.create(inputs.old_and_new(spark, folder)[0])
+    words = lambda rows: index_chunks(rows).drop("content")
+    stored = Postings.build(words(table.as_of()), "uuid")
+    table.replace(inputs.old_and_new(spark, folder)[1])
+    index = materialise(words(table.as_of()), "index")
+    stored.sync(index, table.changes_between(0))
+    return hybrid_search(inputs.topics(spark, folder), index, 5, postings=stored)
+
+
 @query
 def prompt_context(spark: SparkSession, folder: str) -> DataFrame:
     asked = inputs.topics(spark, folder).withColumnRenamed("topic", "question")
@@ -437,6 +525,14 @@ def glossary_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def glossary_requests_of_some(spark: SparkSession, folder: str) -> DataFrame:
+    """The pattern on the name decides: numbers that begin with 1 and have two digits or more."""
+    return glossary.glossary_requests(
+        inputs.bronze(spark, folder), 5000, name_like="doc_1_%.pdf"
+    ).select("file_name", "window_num", "start")
+
+
 def _glossary(spark: SparkSession, folder: str) -> DataFrame:
     return glossary.flatten_responses(inputs.glossary_responses(spark, folder))
 
@@ -473,6 +569,31 @@ def lookup_batch(spark: SparkSession, folder: str) -> DataFrame:
     return glossary.lookup_batch(inputs.terms(spark, folder), _glossary(spark, folder))
 
 
+@query
+def lookup_lateral(spark: SparkSession, folder: str) -> DataFrame:
+    """The lookup asked once per row of a table of terms, by SQL."""
+    glossary.create_lateral_lookup(spark, _glossary(spark, folder))
+    inputs.terms(spark, folder).createOrReplaceTempView("asked_terms")
+    return spark.sql(
+        "SELECT t.term, g.definition, g.certainty FROM asked_terms t "
+        "LEFT JOIN LATERAL lookup_glossary_of(t.term) g"
+    )
+
+
+@query
+def align_acronyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Acronyms of two letters from inside the words before them."""
+    inside = F.concat(F.substring("p_name", 1, 1), F.substring("p_type", 3, 1))
+    sentence = F.concat(
+        F.lit("We list the "), inputs.long_form(), F.lit(" ("), inputs.short_form(),
+        F.lit("), then the "), F.col("p_name"), F.lit(" "), F.lower("p_type"),
+        F.lit(" ("), F.upper(inside), F.lit(")."),
+    )
+    return glossary.align_acronyms(
+        table(spark, folder, "part").select("p_partkey", sentence.alias("text"))
+    )
+
+
 @query
 def mine_acronyms(spark: SparkSession, folder: str) -> DataFrame:
     sentence = F.concat(
@@ -577,3 +698,61 @@ def stream_sync(spark: SparkSession, folder: str) -> DataFrame:
             _document_stream(spark, folder), gold, f"{place}/gold", f"{place}/checkpoint"
         ).awaitTermination()
     return streaming.current_rows(spark, f"{place}/gold", schema, owner="file_name").drop("file_name")
+
+
+def _container(path: str, content: bytes) -> Iterator[dict]:
+    """Documents of a compressed file with one JSON record per line."""
+    for line in gzip.decompress(content).split(b"\n"):
+        if line:
+            yield json.loads(line)
+
+
+@query
+def stream_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files of pages, streamed in a few files at a time as bytes and
+    taken apart by an extractor on the executors."""
+    place = work_folder(spark, "containers")
+    page_lists = F.struct(inputs.document_path(F.lit(".pdf")).alias("path"), inputs.lines().alias("pages"))
+    record = F.to_json(page_lists, {"ignoreNullFields": "false"})
+    documents(spark, folder).repartition(6, "doc_id").select(record.alias("value")).write.option(
+        "compression", "gzip"
+    ).text(f"{place}/files")
+    streaming.ingest_stream(
+        streaming.stream_files(spark, f"{place}/files", max_files=2),
+        lambda batch: ingest_documents(extract_files(batch, _container)),
+        f"{place}/bronze", f"{place}/checkpoint",
+    ).awaitTermination()
+    return streaming.read_ingested(spark, f"{place}/bronze", BRONZE)
+
+
+@query
+def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents stream in over several micro-batches, then their next versions after a
+    restart: the feed of the second run has only the lines that changed."""
+    place = work_folder(spark, "stream")
+    docs = documents(spark, folder).select("doc_id", "lang", inputs.lines().alias("lines"))
+    first = F.concat(F.lit("Version deux. "), F.col("lines")[0])
+    later = (
+        F.when(F.col("lang") == "fr", F.concat(F.array(first), F.slice("lines", 2, F.size("lines"))))
+        .when(F.col("lang") == "de", F.slice("lines", 1, F.size("lines") - 1))
+        .otherwise(F.col("lines"))
+    )
+    schema = "doc_id long, version long, lines array<string>"
+
+    def chunks(rows: DataFrame) -> DataFrame:
+        each = rows.select("doc_id", "version", F.posexplode_outer("lines").alias("at", "content"))
+        number = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"))
+        return each.withColumn("uuid", number)
+
+    for version, lines in enumerate((F.col("lines"), later)):
+        docs.select("doc_id", F.lit(version).cast("long").alias("version"), lines.alias("lines")).repartition(
+            3, "doc_id"
+        ).write.mode("append").parquet(f"{place}/in")
+        stream = streaming.stream_rows(spark, f"{place}/in", schema, "*.parquet", max_files=2)
+        stream_feeds.changes_stream(
+            stream, chunks, "doc_id", "version", f"{place}/feed", f"{place}/checkpoint"
+        ).awaitTermination()
+        if version == 0:
+            done = stream_feeds.read_changes(spark, f"{place}/feed").agg(F.max("batch_id")).first()[0]
+    feed = stream_feeds.read_changes(spark, f"{place}/feed").filter(F.col("batch_id") > (-1 if done is None else done))
+    return feed.drop("batch_id")
