@@ -32,7 +32,7 @@ WORD = re.compile(rf" ?[{LATIN}]+\Z")
 UNUSUAL = re.compile(
     r"[\x0b-\x0d\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
 )
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
 CACHED_LENGTH = 64
 
 
