@@ -8,21 +8,23 @@ probabilities come from expectation maximisation over the same segmentations.
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.common import strings, worker_state, written
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")  # words: letters with their marks
 START = "▁"  # the vocabulary's sign for the start of a word
-LONGEST = 30  # longer runs of letters are scored in parts of this length
+BATCHED = 30  # words of up to so many letters are scored side by side, longer ones one by one
+TAUGHT = 60  # longer words are scored, but piece probabilities are not learned from them
 SAMPLE_PER_LANGUAGE = 1000  # labelled documents that a language is learned from, on average
 ROUNDS = 2
 SMOOTHING = 0.05
@@ -45,22 +47,45 @@ class Vocabulary:
         self.size = len(self.ids)
         self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
 
+    def edges_from(self, word: str, start: int) -> Iterator[tuple[int, int]]:
+        """(end, piece) of the pieces that begin at a place of ``word`` (with its sign)."""
+        if word[start] not in self.ids:
+            yield start + 1, self.size
+        end = start + 1
+        while end <= len(word) and (part := word[start:end]) in self.beginnings:
+            if part in self.ids:
+                yield end, self.ids[part]
+            end += 1
+
+    def long_word(self, word: str, weight: np.ndarray) -> np.ndarray:
+        """Log of the sum over all segmentations of one word of any length, per language.
+
+        Prefix sums are kept for as many places as the longest piece reaches, and scaled
+        down place by place, so that they neither vanish nor need the whole word. An upper
+        bound of the memory is the longest piece, of the work the word times it.
+        """
+        word = START + word
+        ahead: dict[int, np.ndarray] = {0: np.ones(weight.shape[1])}
+        scale = np.zeros(weight.shape[1])
+        for start in range(len(word)):
+            here = ahead.pop(start)
+            # A place is reached by single characters at least, so ``here`` is never 0.
+            scale += np.log(here)
+            for at in ahead:
+                ahead[at] = ahead[at] / here
+            for end, piece in self.edges_from(word, start):
+                ahead[end] = ahead.get(end, 0.0) + weight[piece]
+        return scale + np.log(ahead[len(word)])
+
     def lattice(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of every piece in every word, and for characters
         without a piece of their own the unknown one (``size``)."""
-        ids, beginnings, unknown = self.ids, self.beginnings, self.size
         edges: list[int] = []
         for w, word in enumerate(words):
             word = START + word
-            n = len(word)
-            for start in range(n):
-                end = start + 1
-                if word[start] not in ids:
-                    edges += (w, start, end, unknown)
-                while end <= n and (part := word[start:end]) in beginnings:
-                    if part in ids:
-                        edges += (w, start, end, ids[part])
-                    end += 1
+            for start in range(len(word)):
+                for end, piece in self.edges_from(word, start):
+                    edges += (w, start, end, piece)
         return tuple(np.array(edges, np.int64).reshape(-1, 4).T)
 
 
@@ -81,9 +106,10 @@ def forward(words: list[str], edges: tuple, weight: np.ndarray) -> np.ndarray:
     """Sums over the segmentations of every prefix; ``weight`` has the edges'
     probabilities, in one column per language."""
     w, start, end, _ = edges
-    total = np.zeros((len(words), LONGEST + 2, weight.shape[1]))
+    longest = max(map(len, words))
+    total = np.zeros((len(words), longest + 2, weight.shape[1]))
     total[:, 0] = 1
-    for i, own in enumerate(_by(end, LONGEST + 1)):
+    for i, own in enumerate(_by(end, longest + 1)):
         if len(own):
             np.add.at(total[:, i], w[own], total[w[own], start[own]] * weight[own])
     return total
@@ -91,24 +117,18 @@ def forward(words: list[str], edges: tuple, weight: np.ndarray) -> np.ndarray:
 
 def backward(words: list[str], edges: tuple, weight: np.ndarray) -> np.ndarray:
     w, start, end, _ = edges
-    total = np.zeros((len(words), LONGEST + 2, weight.shape[1]))
+    longest = max(map(len, words))
+    total = np.zeros((len(words), longest + 2, weight.shape[1]))
     total[np.arange(len(words)), [len(word) + 1 for word in words]] = 1
-    for i, own in reversed(list(enumerate(_by(start, LONGEST + 1)))):
+    for i, own in reversed(list(enumerate(_by(start, longest + 1)))):
         if len(own):
             np.add.at(total[:, i], w[own], total[w[own], end[own]] * weight[own])
     return total
 
 
-def parts_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased; very long ones in parts, so that nothing is cut off."""
-    words = LETTERS.findall(text.lower())
-    if max(map(len, words), default=0) <= LONGEST:
-        return words
-    return list(
-        chain.from_iterable(
-            [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)] for word in words
-        )
-    )
+def words_of(text: str) -> list[str]:
+    """Words of letters, lower-cased. A sign that is no letter (numbers among them) ends one."""
+    return LETTERS.findall(text.lower())
 
 
 def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict:
@@ -130,19 +150,14 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
     if not languages:
         return {"languages": [], "prior": np.zeros(0), "pieces": np.zeros((0, 0))}
     number = {lang: i for i, lang in enumerate(languages)}
-    rate = F.create_map(
-        *chain.from_iterable(
-            (F.lit(lang), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))) for lang, n in shares.items()
-        )
-    )
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, Counter] = {}
         for batch in batches:
             for text, lang in zip(strings(batch.column("text")), batch.column("lang").to_pylist()):
-                seen.setdefault(number[lang], Counter()).update(parts_of(text))
+                seen.setdefault(number[lang], Counter()).update(words_of(text))
         for lang, words in seen.items():
+            words = {word: n for word, n in words.items() if len(word) <= TAUGHT}
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * len(words), pa.int32()),
@@ -153,7 +168,7 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
             )
 
     words = written(
-        labelled.filter(chance < rate[F.col("lang")])
+        labelled.filter(_sampled(shares))
         .mapInArrow(count, "lang int, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n")),
@@ -167,10 +182,40 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
     return {
         "languages": languages,
         "prior": np.log([shares[lang] / total for lang in languages]),
+        "shares": shares,
         "pieces": pieces,
     }
 
 
+def _sampled(shares: dict[str, int]) -> Column:
+    """Rows of the sample: about ``SAMPLE_PER_LANGUAGE`` of each language, by hash of the text."""
+    rate = F.create_map(
+        *chain.from_iterable(
+            (F.lit(lang), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))) for lang, n in shares.items()
+        )
+    )
+    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return chance < rate[F.col("lang")]
+
+
+def least_fit(documents: DataFrame, model: dict, vocabulary_path: str) -> float:
+    """A bound on ``fit`` below which a text is in none of the learned languages.
+
+    From the sample of labelled documents that the model is learned from: of each language
+    the median, less three times its distance to the lowest hundredth; the lowest of these.
+    Minus infinity where nothing was learned.
+    """
+    if not model["languages"]:
+        return float("-inf")
+    sample = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(
+        _sampled(model["shares"])
+    )
+    found = predict(sample.select("text", "lang"), model, vocabulary_path, fit=True)
+    shares = F.percentile_approx("fit", F.array(F.lit(0.01), F.lit(0.5)))
+    rows = found.filter("fit IS NOT NULL").groupBy("lang").agg(shares.alias("at")).collect()
+    return min((row["at"][1] - 3 * (row["at"][1] - row["at"][0]) for row in rows), default=float("-inf"))
+
+
 def _round(words: DataFrame, pieces: np.ndarray, path: str) -> np.ndarray:
     """One step of expectation maximisation: expected numbers of pieces, normalised."""
     given = pieces.copy()
@@ -218,73 +263,92 @@ def _round(words: DataFrame, pieces: np.ndarray, path: str) -> np.ndarray:
     return made
 
 
-def predict(documents: DataFrame, model: dict, vocabulary_path: str) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (its posterior) to the rows, all columns kept.
+def predict(
+    documents: DataFrame, model: dict, vocabulary_path: str, fit: bool = False
+) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (its posterior) to the rows, all columns kept; with
+    ``fit`` also ``fit``, the mean log probability of a letter in that language, which says
+    whether the text looks like the language at all (null for ``und``), and ``letters``.
 
-    Every word of a text counts. ``und`` with score 0 for null texts, texts without a
+    Every word of a text counts, and all segmentations of a word, however long it is. ``und`` with score 0 for null texts, texts without a
     letter, and where no language was learned. Equal posteriors go to the language
     that comes first. Columns of these names are replaced.
     """
     spark = documents.sparkSession
-    rows = documents.drop("lang_pred", "score")
+    columns = ["lang_pred", "score"] + ["fit", "letters"] * fit
+    rows = documents.drop(*columns)
     shared = spark.sparkContext.broadcast(model)
-    schema = rows.select(
-        "*", F.lit("").alias("lang_pred"), F.lit(0.0).cast("double").alias("score")
-    ).schema
+    kinds = [F.lit("").cast("string"), *[F.lit(None).cast("double")] * (len(columns) - 1)]
+    schema = rows.select("*", *[kind.alias(name) for kind, name in zip(kinds, columns)]).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = vocabulary(vocabulary_path)
         languages, prior = shared.value["languages"], shared.value["prior"]
         pieces = shared.value["pieces"].T
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(languages)))
+        seen = _Words(found, pieces)
         for batch in batches:
-            if len(known) > KNOWN_WORDS:
-                known, table = {}, np.zeros((0, len(languages)))
-            names, values = [], []
+            if len(seen.known) > KNOWN_WORDS:
+                seen = _Words(found, pieces)
+            names, values, fits, letters = [], [], [], []
             texts = batch.column(batch.schema.get_field_index("text"))
             for at in range(0, batch.num_rows, 1000):
                 words = [
-                    parts_of(text) if languages else []
+                    words_of(text) if languages else []
                     for text in strings(texts.slice(at, 1000))
                 ]
-                table = _extended(found, known, table, words, pieces)
+                seen.add(words)
                 for own in words:
                     if not own:
                         names.append(UNDETERMINED)
                         values.append(0.0)
+                        fits.append(None)
+                        letters.append(0.0)
                         continue
-                    rows_of = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                    total = table[rows_of].sum(axis=0) + prior
+                    said = seen.of(own).sum(axis=0)
+                    total = said + prior
                     best = int(total.argmax())
                     names.append(languages[best])
                     values.append(float(1.0 / np.exp(total - total[best]).sum()))
+                    letters.append(float(sum(map(len, own))))
+                    fits.append(float(said[best]) / letters[-1])
+            made = [pa.array(names, pa.string()), pa.array(values, pa.float64())]
+            if fit:
+                made += [pa.array(fits, pa.float64()), pa.array(letters, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(names, pa.string()), pa.array(values, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
+                [*batch.columns, *made], names=[*batch.schema.names, *columns]
             )
 
     return rows.mapInArrow(score, schema)
 
 
-def _extended(found, known: dict, table: np.ndarray, words: list[list[str]], pieces: np.ndarray):
-    """The table of log probabilities with the words that are new."""
-    new = list(set(chain.from_iterable(words)).difference(known))
-    made = [table]
-    for at in range(0, len(new), 4000):
-        part = new[at : at + 4000]
-        edges = found.lattice(part)
-        total = forward(part, edges, pieces[edges[3]])
-        last = total[np.arange(len(part)), [len(word) + 1 for word in part]]
-        made.append(np.log(last))
-    for word in new:
-        known[word] = len(known)
-    return np.concatenate(made)
-
-
-def identify(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> DataFrame:
-    """Learn from the labelled rows that ``may_learn`` allows, predict for all rows."""
-    return predict(documents, learn(documents, may_learn, vocabulary_path), vocabulary_path)
+class _Words:
+    """Log probabilities of words per language, in a table that grows by doubling."""
+
+    def __init__(self, found: Vocabulary, pieces: np.ndarray):
+        self.found, self.pieces = found, pieces
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, pieces.shape[1]))
+
+    def add(self, words: list[list[str]]) -> None:
+        new = sorted(set(chain.from_iterable(words)).difference(self.known), key=len)
+        first, n = len(self.known), len(self.known) + len(new)
+        if n > len(self.table):
+            larger = np.zeros((max(n, 2 * len(self.table)), self.table.shape[1]))
+            larger[:first] = self.table[:first]
+            self.table = larger
+        short = bisect_right(new, BATCHED, key=len)
+        for at in range(0, short, 4000):
+            part = new[at : min(short, at + 4000)]
+            edges = self.found.lattice(part)
+            total = forward(part, edges, self.pieces[edges[3]])
+            last = total[np.arange(len(part)), [len(word) + 1 for word in part]]
+            self.table[first + at : first + at + len(part)] = np.log(last)
+        for i in range(short, len(new)):
+            self.table[first + i] = self.found.long_word(new[i], self.pieces)
+        self.known.update(zip(new, range(first, n)))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
 def held_out(doc_id: Column) -> Column:
