@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import running_before, written
+from docengine.llm.common import fresh, running_before, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_PASSES = 3
@@ -77,24 +77,44 @@ def split_quotas(quotas: np.ndarray, shards: int, shard: int, seed: int):
 
 
 def _hypergeometric(random: np.random.Generator, colors: np.ndarray, taken: int) -> np.ndarray:
-    """Source by source, as numpy's own function has a limit on the sum."""
+    """Source by source: how many of ``taken`` draws without replacement are of each."""
     out, rest = np.zeros_like(colors), int(colors.sum())
     for i, good in enumerate(colors.tolist()):
         rest -= good
         if taken and good:
-            if good + rest < 1_000_000_000:
-                got = int(random.hypergeometric(good, rest, taken)) if rest else taken
-            else:  # beyond numpy's limit: the normal law, inside the possible range
-                n = good + rest
-                mean = taken * good / n
-                spread = (mean * (rest / n) * ((n - taken) / max(n - 1, 1))) ** 0.5
-                got = int(round(random.normal(mean, spread)))
-            got = min(max(got, taken - rest, 0), good, taken)
+            got = _draw(random, good, rest, taken)
             out[i] = got
             taken -= got
     return out
 
 
+# numpy draws from populations below this size.
+LIMIT = 1_000_000_000
+
+
+def _draw(random: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """One hypergeometric number, of the same law at every size: numpy's below its limit,
+    beyond it by inversion."""
+    if not taken or not good:
+        return 0
+    if not bad:
+        return taken
+    if good + bad < LIMIT:
+        return int(random.hypergeometric(good, bad, taken))
+    # Probabilities relative to that of the mode, by the ratios of neighbours, as far as
+    # twelve standard deviations: what lies beyond is below the precision of doubles.
+    n = good + bad
+    low, high = max(0, taken - bad), min(good, taken)
+    mode = min(max((taken + 1) * (good + 1) // (n + 2), low), high)
+    width = 50 + int(12 * (taken * (good / n) * (bad / n) * ((n - taken) / (n - 1))) ** 0.5)
+    up = np.arange(mode, min(high, mode + width), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - width), -1, dtype=np.float64)
+    rising = np.cumprod((good - up) / (up + 1) * ((taken - up) / (bad - taken + up + 1)))
+    falling = np.cumprod(down / (good - down + 1) * ((bad - taken + down) / (taken - down + 1)))
+    chances = np.concatenate([falling[::-1], [1.0], rising]).cumsum()
+    return mode - len(falling) + int(np.searchsorted(chances, random.random() * chances[-1], "right"))
+
+
 def _place(seed: int, *values: Column) -> Column:
     """A number in [0, 1) from a row's own values."""
     return F.pmod(F.xxhash64(F.lit(seed), *values), F.lit(1 << 52)) / F.lit(float(1 << 52))
@@ -193,17 +213,19 @@ def mix(
         )
     )
     keys = ("doc_id", "source", "text_hash")
+    # No input has a column of these names.
+    left, right = {c: fresh(c) for c in keys}, {c: fresh(c) for c in keys}
     result = drawn.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys],
+        *[F.col(c).alias(right[c]) for c in keys],
         "size", "source_size", "target", "shards",
         (F.col("size") * F.size("shards")).alias("taken"),
-    ).dropDuplicates([f"_k_{c}" for c in keys])
-    same = [F.col(f"_l_{c}").eqNullSafe(F.col(f"_k_{c}")) for c in keys]
+    ).dropDuplicates([right[c] for c in keys])
+    same = [F.col(left[c]).eqNullSafe(F.col(right[c])) for c in keys]
     rows = documents.select(
         *kept,
-        F.col("doc_id").alias("_l_doc_id"),
-        F.col("source").alias("_l_source"),
-        _hash("text").alias("_l_text_hash"),
+        F.col("doc_id").alias(left["doc_id"]),
+        F.col("source").alias(left["source"]),
+        _hash("text").alias(left["text_hash"]),
     )
     return rows.join(result, same, "inner").select(*kept, *own)
 
@@ -328,7 +350,9 @@ def shuffle_key(shard: str | Column, number: str | Column, seed: int = SEED) ->
 
 def mixed(documents: DataFrame, **options) -> DataFrame:
     """The mixed rows themselves: each document once per draw, with its shard, locally
-    shuffled. Only for writing; the order lives in the files."""
+    shuffled. Only for writing; the order lives in the files. Columns named ``_pass``,
+    ``_shard`` or ``_order`` are replaced."""
+    documents = documents.drop("_pass", "_shard", "_order")
     drawn = mix(documents, **options)
     rows = drawn.select(
         *[c for c in documents.columns if c in drawn.columns],
