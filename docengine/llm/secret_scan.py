@@ -2,12 +2,13 @@
 
 DataFrame functions only. A version's content is named by its SHA-256; the ledger
 says which (blob, rule version) pairs have been scanned and what was found in them.
-A run scans the distinct blobs whose pair is not there yet, appends them, and joins
-the findings back to all paths that ever held the blob.
+A run applies to each distinct blob the rules whose pair with it is not there yet, appends
+what it finds, and joins the findings back to all paths that ever held the blob.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from docengine.llm.common import shared_folder
 
 SPAN = "struct<start:long,rank:int,kind:string,end:long>"
-LEDGER_SCHEMA = f"blob binary, rule string, spans array<{SPAN}>"
+LEDGER_SCHEMA = f"blob binary, rules array<string>, spans array<{SPAN}>"
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,13 @@ BASE = (
 )
 # What the method adds: forms of keys that name themselves.
 ADDED = (
-    Rule("pem", 1, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, "PRIVATE KEY-----"),
+    # To the END line; without one, as far as lines of base64 go.
+    Rule(
+        "pem", 2,
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+        r"(?:[A-Za-z0-9+/=:,\x20\x09-\x0D-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----|[A-Za-z0-9+/=\x09-\x0D]*)",
+        0, 1, "PRIVATE KEY-----",
+    ),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40, "gh[pousr]_[A-Za-z0-9]{36}"),
     Rule("url", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@]+:([^\x00-\x20/:@]+)@", 1, 3, "://[^\\x00-\\x20/:@]+:"),
@@ -54,9 +61,10 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
-    """Names a set of rules: any change of it is a new version."""
-    return ";".join(f"{r.kind}.{r.version}" for r in rules)
+def rule_version(rule: Rule) -> str:
+    """Names a rule as it is: any change of its number, pattern or limits is a new version."""
+    made = hashlib.sha256(repr((rule.pattern, rule.group, rule.least, rule.hint)).encode())
+    return f"{rule.kind}.{rule.version}.{made.hexdigest()[:12]}"
 
 
 def new_ledger(spark: SparkSession) -> str:
@@ -105,10 +113,16 @@ def _rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.hint), spans).otherwise(empty)
 
 
-def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of a text, by start, then in the order of the rules. Null: none."""
+def find_spans(
+    text: Column, rules: tuple[Rule, ...] = RULES, due: list[Column] | None = None
+) -> Column:
+    """All spans of a text, by start, then in the order of the rules. Null: none. ``due``
+    says of each rule whether it is applied to the text."""
     text = F.coalesce(text, F.lit(""))
     every = [_rule_spans(text, rule, rank) for rank, rule in enumerate(rules)]
+    if due is not None:
+        none = F.lit([]).cast(f"array<{SPAN}>")
+        every = [F.when(wanted, spans).otherwise(none) for wanted, spans in zip(due, every)]
     return F.array_sort(F.concat(*every))
 
 
@@ -145,26 +159,50 @@ def scan_history(
     same blob twice, with the same outcome; readers take one entry of a pair.
     """
     spark = versions.sparkSession
-    rule = rule_version(rules)
+    version_of = {rule_version(r): r for r in rules}
+    wanted = F.array(*[F.lit(name) for name in version_of])
     content = F.coalesce(F.col("content"), F.lit(""))
     blob = F.unhex(F.sha2(content.cast("binary"), 256))
-    known = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).filter(F.col("rule") == rule)
+    known = (
+        spark.read.schema(LEDGER_SCHEMA)
+        .parquet(ledger)
+        .select("blob", F.explode("rules").alias("rule"))
+        .filter(F.col("rule").isin(*version_of))
+        .groupBy("blob")
+        .agg(F.collect_set("rule").alias("known"))
+    )
+    none = F.array().cast("array<string>")
     unseen = (
         versions.select(blob.alias("blob"), content.alias("content"))
         .groupBy("blob")
         .agg(F.any_value("content").alias("content"))
-        .join(known.select("blob").hint("shuffle_hash"), "blob", "left_anti")
+        .join(known, "blob", "left")
+        .withColumn("rules", F.array_except(wanted, F.coalesce("known", none)))
+        .filter(F.size("rules") > 0)
     )
+    # Only the rules that a blob has not met yet are applied to it.
+    due = [F.array_contains("rules", name) for name in version_of]
     unseen.select(
-        "blob", F.lit(rule).alias("rule"), find_spans(F.col("content"), rules).alias("spans")
+        "blob", "rules", find_spans(F.col("content"), rules, due).alias("spans")
     ).write.mode("append").parquet(ledger)
 
+    # A span counts if the rule that found it is one of these, in this version.
+    pairs = lambda items: F.create_map(*[F.lit(x) for pair in items for x in pair])
+    rank = pairs((r.kind, i) for i, r in enumerate(rules))
+    current = pairs((r.kind, name) for name, r in version_of.items())
+    counted = F.transform(
+        F.filter("spans", lambda span: F.array_contains("rules", current[span["kind"]])),
+        lambda span: span.withField("rank", rank[span["kind"]]),
+    )
+    # A blob that two runs scanned at once has its spans twice; they count once.
     entries = (
         spark.read.schema(LEDGER_SCHEMA)
         .parquet(ledger)
-        .filter((F.col("rule") == rule) & (F.size("spans") > 0))
+        .filter(F.size("spans") > 0)
+        .select("blob", counted.alias("spans"))
+        .filter(F.size("spans") > 0)
         .groupBy("blob")
-        .agg(F.any_value("spans").alias("spans"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     )
     taken = ("content", "blob", "spans", "n_found")
     paths = versions.select(
