@@ -76,8 +76,9 @@ def merged_centres(centres: np.ndarray, close: float = CLOSE) -> tuple[np.ndarra
 def linked_vectors(
     embeddings: DataFrame,
     similarity: float = SIMILARITY,
-    probes: int = PROBES,
+    probes: int | None = PROBES,
     cell_vectors: int = CELL_VECTORS,
+    reach: float = REACH,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
@@ -86,7 +87,9 @@ def linked_vectors(
     for ``cell_vectors`` vectors, and those that lie close together are one cell, so
     that a dense group is compared whole; then every vector is put into its nearest cells: the best one, and up to
     ``probes`` whose centre is nearly as near, because a pair may lie on both sides of
-    a border. Within a cell, cosines are matrix products of tiles; pairs are counted,
+    a border. With ``probes`` None no link is missed: a vector is put into every cell that can
+    hold one within the angle of ``similarity``, by the radii of the cells (on data without
+    groups that is most of them). Within a cell, cosines are matrix products of tiles; pairs are counted,
     not put out, in the first cell that both share. No wrong link is possible;
     recall against brute force is measured in the tests.
 
@@ -130,7 +133,7 @@ def linked_vectors(
         ),
         "vector-classes",
     )
-    links = written(_links(classes, similarity, probes, cell_vectors), "vector-links")
+    links = written(_links(classes, similarity, probes, cell_vectors, reach), "vector-links")
     edges = links.filter(F.col("digest") != F.col("root")).select("digest", "root")
     found = components(edges, "vectors").withColumnRenamed("node", "digest")
     smallest = (
@@ -163,16 +166,41 @@ def linked_vectors(
     )
 
 
-def _links(classes: DataFrame, similarity: float, probes: int, cell_vectors: int) -> DataFrame:
+def _distances(shared):
+    """Task code: each vector's own cell, and its cosine with the nearest of its centres."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("size").to_numpy(zero_copy_only=False)
+            vectors = batch.column("vector").to_pylist()
+            for size in np.unique(sizes).tolist():
+                first, fitted, starts = shared.value[size]
+                own = np.flatnonzero(sizes == size)
+                for at in np.array_split(own, len(own) // 1024 + 1):
+                    if len(at):
+                        near = np.array([np.frombuffer(vectors[i], "<f8") for i in at]) @ fitted.T
+                        near = np.maximum.reduceat(near, starts, axis=1)
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "cell": pa.array(near.argmax(axis=1) + first, pa.int32()),
+                                "cosine": pa.array(near.max(axis=1), pa.float64()),
+                            }
+                        )
+
+    return task
+
+
+def _links(
+    classes: DataFrame, similarity: float, probes: int | None, cell_vectors: int, reach_of: float = REACH
+) -> DataFrame:
     """Per tile and class: ``digest, n_links, root``."""
     spark = classes.sparkSession
     counts = {row["size"]: row["n"] for row in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sample = (
-        classes.select("size", "vector", "digest")
-        .orderBy(F.xxhash64("digest"), "digest")
-        .limit(SAMPLE)
-        .collect()
-    )
+    # By a threshold on the hash, so that no task sends more than its share; a few standard
+    # deviations more than SAMPLE arrive at most.
+    share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+    chosen = F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < int((1 << 40) * share)
+    sample = classes.filter(chosen).select("size", "vector").collect()
     centres, base = {}, 0
     for size, n in sorted(counts.items()):
         own = [np.frombuffer(row["vector"], "<f8") for row in sample if row["size"] == size]
@@ -182,6 +210,16 @@ def _links(classes: DataFrame, similarity: float, probes: int, cell_vectors: int
         centres[size] = (base, fitted, starts)
         base += len(starts)
     shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS vectors per size
+    radii = None
+    if probes is None:
+        # How far the vectors of a cell lie from the nearest of its centres, one number each.
+        found = classes.select("size", "vector").mapInArrow(_distances(shared), "cell int, cosine double")
+        radii = np.full(max(1, base), -1.0)
+        for row in found.groupBy("cell").agg(F.min("cosine").alias("cosine")).collect():
+            radii[row["cell"]] = np.arccos(min(1.0, row["cosine"]))
+        # A vector meets every cell that can hold one within the angle of ``similarity``.
+        reach = np.where(radii < 0, -1.0, radii) + np.arccos(min(1.0, similarity)) + 1e-6
+        radii = np.where(radii < 0, 2.0, np.cos(np.minimum(np.pi, reach)))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +232,15 @@ def _links(classes: DataFrame, similarity: float, probes: int, cell_vectors: int
                 for at in np.array_split(own, len(own) // 1024 + 1):
                     near = np.array([np.frombuffer(vectors[i], "<f8") for i in at]) @ fitted.T
                     near = np.maximum.reduceat(near, starts, axis=1)
+                    if radii is not None:
+                        met = near >= radii[first : first + near.shape[1]]
+                        for i, row in zip(at.tolist(), met):
+                            cells[i] = (np.flatnonzero(row) + first).tolist()
+                        continue
                     many = min(probes, near.shape[1])
                     best = np.argsort(-near, axis=1, kind="stable")[:, :many]
                     value = np.take_along_axis(near, best, axis=1)
-                    close = value >= value[:, :1] - REACH
+                    close = value >= value[:, :1] - reach_of
                     for i, row, fits in zip(at.tolist(), best, close):
                         cells[i] = (np.sort(row[fits]) + first).tolist()
             yield pa.RecordBatch.from_arrays(
