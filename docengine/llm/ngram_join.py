@@ -327,15 +327,18 @@ def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
         )
         .filter("_gone OR _repeated")
     )
-    rows = documents.withColumn("_text_key", text_key(F.col("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (
-        F.col("_text_key") == F.col("_key")
+    # The input's columns travel in one struct, so no name of theirs meets one of these.
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("own_id"),
+        text_key(F.col("text")).alias("own_key"),
     )
-    once = F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1)))
+    same = F.col("own_id").eqNullSafe(F.col("_id")) & (F.col("own_key") == F.col("_key"))
+    once = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy(F.lit(1)))
     return (
         rows.join(marked, same, "left")
         .filter(~F.coalesce("_gone", F.lit(False)))
-        .withColumn("_row", once)
-        .filter((F.col("_row") == 1) | ~F.coalesce("_repeated", F.lit(False)))
-        .select(*documents.columns)
+        .withColumn("nth", once)
+        .filter((F.col("nth") == 1) | ~F.coalesce("_repeated", F.lit(False)))
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
     )

@@ -284,6 +284,24 @@ def test_links_over_borders_of_cells(spark):
     assert sparse >= 0.99 and link_recall(spark, matrix, cell_vectors=35) >= 0.999
 
 
+@pytest.mark.parametrize("common", [0.0, 1.0, 1.5])
+def test_exact_way_finds_every_link(spark, common):
+    """Also where all vectors share a direction; components are compared as well."""
+    rng = np.random.default_rng(12)
+    matrix = rng.normal(size=(900, 16)) + common * np.ones(16)
+    matrix[600:] = matrix[:300] + 0.25 * rng.normal(size=(300, 16))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in linked_vectors(frame, probes=None, cell_vectors=20).collect()}
+    near = matrix @ matrix.T >= 0.9
+    assert [got[i]["n_links"] for i in range(900)] == (near.sum(axis=1) - 1).tolist()
+    smallest = list(range(900))
+    for _ in range(60):
+        smallest = [min(smallest[j] for j in np.flatnonzero(row)) for row in near]
+    assert [got[i]["component_id"] for i in range(900)] == smallest
+    assert [got[i]["kept"] for i in range(900)] == [smallest[i] == i for i in range(900)]
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=8) * 10.0 ** (i % 7)).tolist()) for i in range(140)]
@@ -333,6 +351,56 @@ def test_language(spark, nothing):
     assert predict(nothing, model, pieces).count() == 0
 
 
+def test_every_segmentation_of_a_word_counts():
+    from itertools import product
+
+    from docengine.llm import langid
+
+    found = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    weight = np.random.default_rng(3).random((found.size + 1, 2)) * 1e-3
+    words = ["haus", "grün", "a", "internationale", "zzzxq", "中文"]
+    edges = found.lattice(words)
+    total = langid.forward(words, edges, weight[edges[3]])
+    for i, word in enumerate(words):
+        whole, expected = langid.START + word, np.zeros(2)
+        for cuts in product([0, 1], repeat=len(word)):
+            ends = [j + 1 for j, cut in enumerate(cuts) if cut] + [len(whole)]
+            value, at = np.ones(2), 0
+            for end in ends:
+                piece = found.ids.get(whole[at:end], found.size if end == at + 1 else None)
+                value, at = value * (weight[piece] if piece is not None else 0), end
+            expected += value
+        assert np.allclose(total[i, len(whole)], expected) and np.allclose(found.long_word(word, weight), np.log(expected))
+    halves = found.long_word("haus" * 20, weight) - found.long_word("haus" * 10, weight)
+    assert np.isfinite(found.long_word("ab" * 50_000, weight)).all() and (halves < 0).all()
+    assert langid.words_of("½ ② Ⅷ x1Y é") == ["x", "y", "é"]
+
+
+def test_texts_in_no_learned_language_go(spark, nothing):
+    import corpus_pipeline
+    from docengine.llm.langid import least_fit
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    made = [(-1, "xqzv kkwj pfft zzxq bvnm " * 3), (-2, "hyvää päivää mitä kuuluu tänään kaikille ystäville"), (-3, "½ ② Ⅷ"), (-4, None)]
+    more = spark.createDataFrame([(i, t, None, "s", 1) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), SMALL).collect()}
+    assert kept == {r["doc_id"] for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert least_fit(nothing, {"languages": []}, "") == float("-inf")
+
+
+def test_draws_beyond_the_librarys_limit(monkeypatch):
+    from docengine.llm import mixing
+
+    draws = [mixing._draw(np.random.default_rng([6, i]), 3 * 10**9, 2 * 10**9, 10**9) for i in range(300)]
+    spread = (1e9 * 0.6 * 0.4 * 0.8) ** 0.5
+    assert abs(np.mean(draws) - 6e8) < spread / 4 and 0.85 < np.std(draws) / spread < 1.15
+    monkeypatch.setattr(mixing, "LIMIT", 0)
+    own = np.bincount([mixing._draw(np.random.default_rng([5, i]), 30, 50, 20) for i in range(20_000)], minlength=21)
+    library = np.bincount(np.random.default_rng(2).hypergeometric(30, 50, 20, 20_000), minlength=21)
+    assert np.abs(own - library).max() < 250
+    assert [mixing._draw(np.random.default_rng(0), g, b, t) for g, b, t in ((0, 5, 3), (5, 0, 3), (4, 4, 0), (2, 3, 5))] == [0, 3, 0, 2]
+
+
 def test_targets_and_splits():
     assert share_out([10, 10, 100], [5, 2, 1]) == pytest.approx([30, 30, 60])
     assert share_out([0, 0], [5, 2]) == [0, 0]
@@ -403,6 +471,52 @@ def test_secrets(spark, edge, nothing):
     assert scan_history(versions.limit(0), ledger).count() == 0
 
 
+def test_private_keys_go_whole(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7" + "x" * 40 for _ in range(300))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {key} b {key} c": "a [SECRET] b [SECRET] c",
+        f"cut -----BEGIN PRIVATE KEY-----\n{body}\nThe rest.": "cut [SECRET] rest.",
+        "-----BEGIN PUBLIC KEY-----": "-----BEGIN PUBLIC KEY-----",
+    }
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select("text", redacted(F.col("text"), find_spans(F.col("text"))).alias("out")).collect()
+    assert {r["text"]: r["out"] for r in got} == texts
+
+
+def test_ledger_is_kept_by_rule(spark):
+    from dataclasses import replace
+
+    from docengine.llm.secret_scan import RULES
+
+    versions = spark.createDataFrame([(1, "AKIA" + "B" * 16), (2, "abc")], "doc_id int, content string")
+    ledger = new_ledger(spark)
+    scan_history(versions, ledger).count()
+    changed = tuple(replace(r, pattern="abc", group=0, least=1, hint="abc") if r.kind == "url" else r for r in RULES)
+    found = {r["doc_id"]: spelled_list(r) for r in scan_history(versions, ledger, changed).collect()}
+    assert found == {1: ["access"], 2: ["url"]}
+    rules = [len(r["rules"]) for r in spark.read.parquet(ledger).collect()]
+    assert sorted(rules) == [1, 1, len(RULES), len(RULES)]  # only the changed rule ran again
+    again = {r["doc_id"]: spelled_list(r) for r in scan_history(versions, ledger).collect()}
+    assert again == {1: ["access"], 2: []} and spark.read.parquet(ledger).count() == 4
+
+
+def spelled_list(row):
+    return [span["kind"] for span in row["spans"]]
+
+
+@pytest.mark.parametrize("names", [("_id", "_key", "_gone", "_row", "_text_key"), ("_l_doc_id", "_k_doc_id", "_pass", "_shard", "row")])
+def test_clashing_names(spark, names):
+    rows = [(1, "one two three four five six", "a", *range(5)), (2, "one two three four five six", "a", *range(5)), (3, None, None, *range(5))]
+    columns = ["doc_id long", "text string", "source string", *[f"{n} int" for n in names]]
+    frame = spark.createDataFrame(rows, ", ".join(columns))
+    kept = without_near_duplicates(frame)
+    assert kept.columns == frame.columns and sorted(tuple(r) for r in kept.collect()) == sorted([rows[0], rows[2]])
+    drawn = mix(frame)
+    assert {tuple(r[n] for n in names) for r in drawn.collect()} == {tuple(range(5))}
+    assert {"_pass", "_shard", "_order", "doc_id"} <= set(mixed(frame).columns) and mixed(frame).count() >= 2
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "http://c", None), (4, "u", ""), (None, "n", "same"),
              (5, "http://e", "<p>é\r\n\r\n</p>"), (6, "l", "long " * 300_000), (1, "again", "same")]
