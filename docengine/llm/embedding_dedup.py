@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
+from docengine.llm.common import join_by_hot_key, written
 from docengine.llm.graph import Forest, components, groups, tiled
 
 SIMILARITY = 0.9
@@ -146,22 +146,25 @@ def linked_vectors(
         .agg(F.sum("n_links").alias("n_links"))
         .join(found.join(smallest, "component"), "digest", "left")
     )
-    table = classes.join(linked, "digest", "left").select(
-        "digest",
-        (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
-        F.when(F.col("component").isNull(), F.col("class_id"))
-        .otherwise(F.col("component_id"))
-        .alias("component_id"),
+    component = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
+    table = written(
+        classes.join(linked, "digest", "left").select(
+            "digest",
+            "copies",
+            (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
+            component.alias("component_id"),
+        ),
+        "vector-results",
+    )
+    own = rows.select("vec_id", "digest")
+    # A vector that very many rows hold meets its class by a broadcast of few such classes.
+    named = join_by_hot_key(own.filter(F.col("digest").isNotNull()), table, "digest", "copies")
+    alone = own.filter(F.col("digest").isNull()).select(
+        "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")
     )
-    own = F.col("digest").isNull()
     return (
-        rows.select("vec_id", "digest")
-        .join(table, "digest", "left")
-        .select(
-            "vec_id",
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-            F.when(own, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-        )
+        named.select("vec_id", "n_links", "component_id")
+        .unionByName(alone)
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
     )
 
