@@ -131,7 +131,7 @@ class InvertedFile:
 
     def probes(self) -> int:
         """How many cells a question probes."""
-        return min(len(self.centres), max(4, math.ceil(2 * math.sqrt(len(self.centres)))))
+        return min(len(self.centres), max(4, math.ceil(4 * math.sqrt(len(self.centres)))))
 
     def probing(self, questions: DataFrame, question: str, probes: int) -> DataFrame:
         """``question, vector, cell``: every question with each of its nearest cells."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators import retrieval
 from docengine.operators.ivf import InvertedFile
+from docengine.plans.queries import QUERIES
 
 SCHEMA = "uuid string, embedding array<float>"
 
@@ -52,3 +53,11 @@ def test_edges(spark):
     assert [tuple(r) for r in index.nearest(asked, 3).orderBy("rank").collect()] == [(1, 1, "a", 1.0), (1, 2, "e", 1.0), (1, 3, "d", 0.0)]
     assert index.nearest(asked.filter("false"), 3).count() == 0
     assert InvertedFile.build(table.filter("false")).nearest(asked, 3).count() == 0
+
+
+def test_registered_query(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = QUERIES["ivf_recall"](spark, folder).collect()
+    asked = spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 20 = 0 AND embedding IS NOT NULL")
+    assert len(rows) == asked.count() and all(r["wanted"] == 10 and 0 < r["probed"] <= 1 for r in rows)
+    assert sum(r["found"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
