@@ -2,6 +2,8 @@
 
 import random
 import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,7 +22,15 @@ from docengine.llm.mixing import mix, mixed, share_out, split_quotas  # noqa: E4
 from docengine.llm.ngram_join import (  # noqa: E402
     choose_bands, gram_set, linked_documents, without_near_duplicates,
 )
-from docengine.llm.packing import pack, plan_best_fit, sequences  # noqa: E402
+from docengine.llm.packing import (  # noqa: E402
+    carried,
+    least_sequences,
+    pack,
+    place_best_fit,
+    sequences,
+    sweep,
+    sweeps,
+)
 from docengine.llm.secret_scan import find_spans, new_ledger, redacted, scan_history, spelled  # noqa: E402
 from docengine.llm.token_counts import empty_cache, token_counts  # noqa: E402
 from docengine.llm.token_output import read_token_files, segment, segments, write_token_files  # noqa: E402
@@ -127,30 +137,77 @@ def test_token_files(spark, edge, nothing, tmp_path):
     assert read_token_files(spark, str(tmp_path / "b")).count() == 0
 
 
-def test_best_fit_plan_is_best_fit():
-    from bisect import bisect_left, insort
-    from collections import Counter
-
-    rng = random.Random(3)
-    for _ in range(100):
-        capacity = rng.choice([5, 10, 37, 100])
-        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(0, 150))]
-        gaps, opened = [], 0
-        for length in sorted(lengths, reverse=True):
-            at = bisect_left(gaps, length)
-            room = gaps.pop(at) if at < len(gaps) else capacity
-            opened += room == capacity
-            if room > length:
-                insort(gaps, room - length)
-        placed = {}
-        for length, _, n, first, each, offset in plan_best_fit(Counter(lengths), capacity):
-            for i in range(n):
-                placed.setdefault(first + i // each, []).append((offset + i % each * length, length))
-        assert len(placed) == opened
-        assert Counter(n for rows in placed.values() for _, n in rows) == Counter(lengths)
-        for rows in placed.values():
-            ends = np.cumsum([n for _, n in sorted(rows)])
-            assert [at for at, _ in sorted(rows)] == [0, *ends[:-1]] and ends[-1] <= capacity
+def best_fit_decreasing(lengths, capacity):
+    """Sequences that serial best fit opens."""
+    gaps, opened = [], 0
+    for length in sorted(lengths, reverse=True):
+        at = bisect_left(gaps, length)
+        room = gaps.pop(at) if at < len(gaps) else capacity
+        opened += at == len(gaps) and room == capacity
+        if room > length:
+            insort(gaps, room - length)
+    return opened
+
+
+def test_sweeps_take_the_successor():
+    """A gap takes the longest document that fits and no smaller gap took, until none fits."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        capacity = int(rng.choice([5, 10, 37, 100]))
+        lengths = rng.integers(1, capacity + 1, rng.integers(1, 60))
+        rooms = np.sort(rng.integers(1, capacity + 1, rng.integers(0, 40)))
+        gap_of, offset, left = sweeps(lengths, rooms, capacity)
+        assert (left >= 0).all()
+        waiting = lengths[gap_of < 0]
+        assert not len(waiting) or not len(left) or waiting.min() > left.max()
+        for gap in range(len(rooms)):
+            own = np.flatnonzero(gap_of == gap)
+            own = own[np.argsort(offset[own])]
+            ends = capacity - rooms[gap] + np.cumsum(lengths[own])
+            assert (offset[own] == ends - lengths[own]).all()
+            assert left[gap] == rooms[gap] - lengths[own].sum()
+    docs, gaps = np.array([3, 4, 7, 9]), np.array([5, 8, 8])
+    taken, taker, _ = sweep(docs, gaps)
+    assert sorted(zip(docs[taken], gaps[taker])) == [(3, 8), (4, 5), (7, 8)]
+
+
+def test_no_packing_has_fewer_sequences_than_the_bound():
+    for lengths, capacity, least in [
+        ([6, 6, 6], 10, 3), ([4, 4, 4, 4, 4], 10, 3), ([10], 10, 1), ([7, 7, 3, 3], 10, 2),
+        ([7, 7, 4, 4], 10, 3), ([1] * 11, 10, 2), ([5, 5, 5], 10, 2), ([6, 3, 3, 3], 10, 2),
+    ]:
+        assert least_sequences(Counter(lengths), capacity) == least
+        assert best_fit_decreasing(lengths, capacity) >= least
+
+
+def test_places_carried_between_ranges():
+    runs = carried([(0, 0, 5), (1, 2, 3), (2, 4, 0), (4, 9, 1)])
+    assert runs == [(0, 0, 2, 1, 0), (1, 0, 3, 2, 0), (0, 2, 1, 2, 3), (0, 3, 2, 4, 0)]
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_supersteps_pack_as_best_fit(spark, ranges):
+    """Gapless, whole, and no more sequences than one in a hundred above serial best fit; a third
+    of the documents has one length."""
+    rng = np.random.default_rng(5)
+    lengths = np.concatenate([np.full(500, 70), rng.integers(1, 301, 500), rng.integers(1, 40, 500)])
+    frame = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, size long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = place_best_fit(frame, 300).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
+    inside = {}
+    for r in rows:
+        inside.setdefault(r["sequence"], []).append((r["offset"], int(lengths[r["id"]])))
+    for places in inside.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [at for at, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 300
+    assert len(inside) <= 1.01 * best_fit_decreasing(lengths.tolist(), 300)
 
 
 def test_packing(edge, nothing):
