@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.common import strings, written
+from docengine.llm.graph import groups
 from docengine.llm.tokenization import encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, number long"
@@ -21,6 +23,9 @@ SWEPT = (
 )
 SWEPT_NAMES = [column.split()[0] for column in SWEPT.split(", ")]
 DOCUMENT, GAP = 0, 1  # a document sorts before a gap of its size
+SHORT = 8  # documents of up to this part of the capacity are the last band
+RANGE_ROWS = 16_384  # documents and gaps of a range, more where there would be
+MOST_RANGES = 16_384
 TASK_BITS = 33  # pieces that one task can number
 
 
@@ -155,10 +160,10 @@ def _superstep(capacity: int, longest: int):
     untouched gaps upwards."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [batch for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
+        for (part,), table in groups(batches, ["part"]):
+            yield one(part, table)
+
+    def one(part: int, table: pa.Table) -> pa.RecordBatch:
         kind, number, size = (table.column(c).to_numpy() for c in ("kind", "id", "size"))
         docs, gaps = np.flatnonzero(kind == DOCUMENT), np.flatnonzero(kind == GAP)
         gap_of, offset, rooms = sweeps(size[docs], size[gaps], capacity)
@@ -172,7 +177,7 @@ def _superstep(capacity: int, longest: int):
             "id": number[np.concatenate([docs, gaps])],
             "size": np.concatenate([size[docs], rooms]),
             "offset": np.concatenate([offset, np.zeros(len(gaps), np.int64)]),
-            "part": np.full(len(kind), TaskContext.get().partitionId(), np.int32),
+            "part": np.full(len(kind), part, np.int32),
             "seat": np.concatenate([docs_seat, np.cumsum(slots) - slots]),
             "slots": np.concatenate([np.zeros(len(docs), np.int64), slots]),
         }
@@ -180,7 +185,7 @@ def _superstep(capacity: int, longest: int):
             np.concatenate([sequence, np.zeros(len(gaps), np.int64)]),
             mask=np.concatenate([~placed, np.ones(len(gaps), bool)]),
         )
-        yield pa.RecordBatch.from_pydict(
+        return pa.RecordBatch.from_pydict(
             {**{name: pa.array(values) for name, values in columns.items()}, "sequence": found}
         ).select(SWEPT_NAMES)
 
@@ -259,11 +264,31 @@ def _carry(
     return placed, still, gaps
 
 
-def place_best_fit(documents: DataFrame, capacity: int) -> DataFrame:
+def _ranged(events: DataFrame, counts: dict[tuple[int, int], int], rows: int) -> DataFrame:
+    """Documents and gaps sorted into ranges by size, ``counts`` by size and kind. Those
+    alike in both are spread by a hash over the ranges that their number takes."""
+    total = sum(counts.values())
+    rows = max(rows, -(-total // MOST_RANGES))
+    classes, start = [], 0
+    for (size, kind), n in sorted(counts.items()):
+        classes.append((kind, size, start, n))
+        start += n
+    # Two rows at most for each size up to the capacity.
+    table = events.sparkSession.createDataFrame(classes, "kind int, size long, start long, n long")
+    part = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("n"))) / rows
+    return (
+        events.join(F.broadcast(table), ["kind", "size"])
+        .select("kind", "id", "size", F.floor(part).cast("int").alias("part"))
+        .repartition(-(-total // rows), "part")
+        .sortWithinPartitions("part", "kind", "size", "id")
+    )
+
+
+def place_best_fit(documents: DataFrame, capacity: int, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Bulk-synchronous best fit: ``id, sequence, offset`` for documents ``id, size``.
 
-    Documents come in bands, those longer than half of the longest that is left, so that
-    short ones fill what long ones leave. A superstep range-sorts the waiting documents
+    Documents come in bands, those longer than half of the longest that is left, then
+    all short ones, so that these fill what long ones leave. A superstep range-sorts the waiting documents
     of the band and the gaps by size, so that each range is swept by a task of its own
     (``sweeps``); documents and untouched gaps that a range has left meet those of other
     ranges by rank (``carried``); gaps are updated and written, and the next superstep
@@ -287,11 +312,16 @@ def place_best_fit(documents: DataFrame, capacity: int) -> DataFrame:
         if not band:
             if not later:
                 break
-            half = max(later) // 2
+            half = max(later) // 2 if max(later) > capacity // SHORT else 0
             waiting = documents.filter(F.col("size").between(half + 1, max(later)))
             band = {length: n for length, n in later.items() if length > half}
             later = {length: n for length, n in later.items() if length <= half}
-        gaps = gaps.filter(F.col("size") >= min([*band, *later]))
+        least = min([*band, *later])
+        gaps = gaps.filter(F.col("size") >= least)
+        sorted_counts = Counter({(length, DOCUMENT): n for length, n in band.items()})
+        for row in counts:
+            if row["kind"] == GAP and row["size"] >= least:
+                sorted_counts[row["size"], GAP] = row["n"]
         events = waiting.unionByName(gaps)
         stuck = {length: n for length, n in {**later, **band}.items() if length > widest}
         if stuck:
@@ -300,10 +330,9 @@ def place_best_fit(documents: DataFrame, capacity: int) -> DataFrame:
                 F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size")
             )
             events, opened = events.unionByName(new), opened + many
+            sorted_counts[capacity, GAP] += many
         swept = written(
-            events.repartitionByRange("size", "kind", "id")
-            .sortWithinPartitions("size", "kind", "id")
-            .mapInArrow(_superstep(capacity, max(band)), SWEPT),
+            _ranged(events, sorted_counts, range_rows).mapInArrow(_superstep(capacity, max(band)), SWEPT),
             "swept",
         )
         done.append(swept.filter(F.col("sequence").isNotNull()).select("id", "sequence", "offset"))

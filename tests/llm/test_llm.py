@@ -185,21 +185,14 @@ def test_places_carried_between_ranges():
     assert runs == [(0, 0, 2, 1, 0), (1, 0, 3, 2, 0), (0, 2, 1, 2, 3), (0, 3, 2, 4, 0)]
 
 
-@pytest.mark.parametrize("ranges", [1, 7])
-def test_supersteps_pack_as_best_fit(spark, ranges):
+@pytest.mark.parametrize("range_rows", [10_000, 200])
+def test_supersteps_pack_as_best_fit(spark, range_rows):
     """Gapless, whole, and no more sequences than one in a hundred above serial best fit; a third
     of the documents has one length."""
     rng = np.random.default_rng(5)
     lengths = np.concatenate([np.full(500, 70), rng.integers(1, 301, 500), rng.integers(1, 40, 500)])
     frame = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "id long, size long")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        rows = place_best_fit(frame, 300).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = place_best_fit(frame, 300, range_rows).collect()
     assert sorted(r["id"] for r in rows) == list(range(len(lengths)))
     inside = {}
     for r in rows:
