@@ -17,9 +17,13 @@ SIMILARITY = 0.9
 SAMPLE = 16_384  # vectors that the centres are fitted on
 CELL_VECTORS = 512  # wanted per cell
 MOST_CELLS = 4096
-PROBES = 6  # cells that a vector is compared in, at most
-REACH = 0.35  # further cells count while their cosine is this near to the best one's
-CLOSE = 0.8  # centres with this cosine or more belong to one cell
+CHOSEN = 0  # as many probes as ``RECALL`` needs
+RECALL = 0.995  # of pairs as similar as asked for, estimated on the sample
+TRIED = 2048  # sampled vectors that the estimate takes
+PROBES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)  # cells that a vector is compared in
+REACHES = (0.1, 0.2, 0.35, 0.7, 2.0)  # further cells count while their cosine is this near to the best one's
+CLOSE = (2.0, 0.95, 0.9, 0.8, 0.7, -2.0)  # centres with this cosine to a leading one are of its cell
+EXACT_CLOSE = 0.8
 TILE_ROWS = 1024
 ROUNDS = 8
 SEED = 11
@@ -60,34 +64,119 @@ def fit_centres(sample: np.ndarray, k: int, seed: int = SEED) -> np.ndarray:
     return centres
 
 
-def merged_centres(centres: np.ndarray, close: float = CLOSE) -> tuple[np.ndarray, np.ndarray]:
-    """Centres ordered so that those of one cell are neighbours, and where each cell
-    starts. Centres that a chain of ``close`` cosines joins are one cell: a dense group
-    gets centres in proportion to its rows, more than its members could be probed in."""
-    cells = Forest(len(centres))
-    for start in range(0, len(centres), 256):
-        near = centres[start : start + 256] @ centres.T >= close
-        for i, row in enumerate(near, start):
-            cells.join(i, np.flatnonzero(row))
-    order = np.argsort(cells.name, kind="stable")
-    return centres[order], np.unique(cells.name[order], return_index=True)[1]
+def merged_centres(cosines: np.ndarray, weight: np.ndarray, close: float) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the centres in which those of one cell are neighbours, and where each
+    cell starts. The heaviest centre that is left leads the next cell and takes all that
+    are left within ``close`` of it, so no cell is wider than that."""
+    cell = np.full(len(cosines), -1)
+    for leader in np.argsort(-weight, kind="stable").tolist():
+        if cell[leader] < 0:
+            cell[(cosines[leader] >= close) & (cell < 0)] = leader
+            cell[leader] = leader
+    order = np.argsort(cell, kind="stable")
+    return order, np.unique(cell[order], return_index=True)[1]
+
+
+def likely_pairs(
+    sample: np.ndarray, similarity: float, seed: int = SEED
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors ``a``, a partner ``b`` of each at ``similarity`` or more, and which
+    partners are from the sample.
+
+    A vector has one pair with a random neighbour, if the sample holds any, and one at
+    exactly ``similarity`` on the way to a random other vector, so that it lies where
+    the data lie, also where these share a direction.
+    """
+    random = np.random.default_rng(seed)
+    chosen = random.permutation(len(sample))[:TRIED]
+    real: list[tuple[int, int]] = []
+    for part in np.array_split(chosen, len(chosen) // 256 + 1):
+        near = sample[part] @ sample.T >= similarity
+        near[np.arange(len(part)), part] = False
+        for i, row in zip(part.tolist(), near):
+            if row.any():
+                real.append((i, int(random.choice(np.flatnonzero(row)))))
+    a, other = sample[chosen], sample[random.integers(0, len(sample), len(chosen))]
+    cosine = (a * other).sum(axis=1)
+    away = other - cosine[:, None] * a
+    length = np.sqrt((away * away).sum(axis=1))
+    apart = (cosine < similarity) & (length > 1e-9)
+    a, away = a[apart], away[apart] / length[apart, None]
+    made = similarity * a + np.sqrt(max(0.0, 1 - similarity**2)) * away
+    own, partner = np.array(real, np.int64).reshape(-1, 2).T
+    return (
+        np.concatenate([sample[own], a]),
+        np.concatenate([sample[partner], made]),
+        np.arange(len(own) + len(a)) < len(own),
+    )
+
+
+def _ranked(near: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest cells of each row and how much farther they are than the first."""
+    near = np.maximum.reduceat(near, starts, axis=1)
+    best = np.argsort(-near, axis=1, kind="stable")[:, :most]
+    value = np.take_along_axis(near, best, axis=1)
+    return best, value[:, :1] - value
+
+
+def chosen_cells(
+    sample: np.ndarray, centres: np.ndarray, n: int, similarity: float, recall: float = RECALL, seed: int = SEED
+) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Centres by cell, where cells start, probes and reach: of all ways that find
+    ``recall`` of the sample's pairs, both real and made, the one that compares least of
+    ``n`` vectors. One cell of everything is among the ways, so one is always found."""
+    cosines = centres @ centres.T
+    weight = np.zeros(len(centres), np.int64)
+    for part in np.array_split(sample, len(sample) // 2048 + 1):
+        weight += np.bincount((part @ centres.T).argmax(axis=1), minlength=len(centres))
+    a, b, real = likely_pairs(sample, similarity, seed)
+    rows = sample[np.random.default_rng(seed).permutation(len(sample))[:TRIED]]
+    near_a, near_b, near_rows = a @ centres.T, b @ centres.T, rows @ centres.T
+    ways = []
+    for close in CLOSE:
+        order, starts = merged_centres(cosines, weight, close)
+        most = min(PROBES[-1], len(starts))
+        cells_a, behind_a = _ranked(near_a[:, order], starts, most)
+        cells_b, behind_b = _ranked(near_b[:, order], starts, most)
+        cells, behind = _ranked(near_rows[:, order], starts, most)
+        places = np.arange(1, most + 1)
+        later = np.maximum(places[:, None], places)
+        for reach in REACHES:
+            needed = np.zeros(len(a), np.int64)  # probes that a pair is found with
+            for start in range(0, len(a), 256):
+                part = slice(start, start + 256)
+                own = np.where(behind_a[part] <= reach, cells_a[part], -1)
+                other = np.where(behind_b[part] <= reach, cells_b[part], -2)
+                met = own[:, :, None] == other[:, None, :]
+                needed[part] = np.where(met, later, most + 1).min(axis=(1, 2), initial=most + 1)
+            for probes in PROBES:
+                found = needed <= min(probes, most)
+                if all(found[kind].mean() >= recall for kind in (real, ~real) if kind.any()):
+                    inside = cells[:, :probes][behind[:, :probes] <= reach]
+                    held = np.bincount(inside, minlength=len(starts)) * (n / len(rows))
+                    ways.append(((held * held).sum() / 2 + CELL_VECTORS * held.sum(), close, probes, reach))
+                    break
+    _, close, probes, reach = min(ways)
+    order, starts = merged_centres(cosines, weight, close)
+    return centres[order], starts, probes, reach
 
 
 def linked_vectors(
     embeddings: DataFrame,
     similarity: float = SIMILARITY,
-    probes: int | None = PROBES,
+    probes: int | None = CHOSEN,
     cell_vectors: int = CELL_VECTORS,
-    reach: float = REACH,
+    recall: float = RECALL,
 ) -> DataFrame:
     """One row per input row: ``vec_id, n_links, component_id, kept``.
 
     Vectors with a cosine of ``similarity`` or more, in double precision, are linked.
     Centres are fitted on a bounded sample (``SAMPLE`` vectors, by hash of the id), one
-    for ``cell_vectors`` vectors, and those that lie close together are one cell, so
-    that a dense group is compared whole; then every vector is put into its nearest cells: the best one, and up to
-    ``probes`` whose centre is nearly as near, because a pair may lie on both sides of
-    a border. With ``probes`` None no link is missed: a vector is put into every cell that can
+    for ``cell_vectors`` vectors. Centres that lie close to a leading one are its cell, so that a dense group is
+    compared whole, and every vector is put into its nearest cells, because a pair may lie on both sides of
+    a border. How close, and how many cells, is what compares least among the ways that find ``recall`` of
+    the pairs on the sample (``chosen_cells``); ``probes`` fixes the number of cells. With
+    ``probes`` None no link is missed: a vector is put into every cell that can
     hold one within the angle of ``similarity``, by the radii of the cells (on data without
     groups that is most of them). Within a cell, cosines are matrix products of tiles; pairs are counted,
     not put out, in the first cell that both share. No wrong link is possible;
@@ -133,7 +222,7 @@ def linked_vectors(
         ),
         "vector-classes",
     )
-    links = written(_links(classes, similarity, probes, cell_vectors, reach), "vector-links")
+    links = written(_links(classes, similarity, probes, cell_vectors, recall), "vector-links")
     edges = links.filter(F.col("digest") != F.col("root")).select("digest", "root")
     found = components(edges, "vectors").withColumnRenamed("node", "digest")
     smallest = (
@@ -177,7 +266,7 @@ def _distances(shared):
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             vectors = batch.column("vector").to_pylist()
             for size in np.unique(sizes).tolist():
-                first, fitted, starts = shared.value[size]
+                first, fitted, starts, *_ = shared.value[size]
                 own = np.flatnonzero(sizes == size)
                 for at in np.array_split(own, len(own) // 1024 + 1):
                     if len(at):
@@ -194,7 +283,7 @@ def _distances(shared):
 
 
 def _links(
-    classes: DataFrame, similarity: float, probes: int | None, cell_vectors: int, reach_of: float = REACH
+    classes: DataFrame, similarity: float, fixed_probes: int | None, cell_vectors: int, recall: float
 ) -> DataFrame:
     """Per tile and class: ``digest, n_links, root``."""
     spark = classes.sparkSession
@@ -209,12 +298,17 @@ def _links(
         own = [np.frombuffer(row["vector"], "<f8") for row in sample if row["size"] == size]
         k = min(MOST_CELLS, max(1, n // cell_vectors))
         fitted = fit_centres(np.array(own), k) if own else np.zeros((1, size))
-        fitted, starts = merged_centres(fitted)
-        centres[size] = (base, fitted, starts)
+        starts, least, reach = np.zeros(1, np.int64), 1, REACHES[-1]
+        if fixed_probes is None:
+            order, starts = merged_centres(fitted @ fitted.T, np.ones(len(fitted)), EXACT_CLOSE)
+            fitted = fitted[order]
+        elif len(fitted) > 1:
+            fitted, starts, least, reach = chosen_cells(np.array(own), fitted, n, similarity, recall)
+        centres[size] = (base, fitted, starts, fixed_probes or least, reach)
         base += len(starts)
     shared = spark.sparkContext.broadcast(centres)  # MOST_CELLS vectors per size
     radii = None
-    if probes is None:
+    if fixed_probes is None:
         # How far the vectors of a cell lie from the nearest of its centres, one number each.
         found = classes.select("size", "vector").mapInArrow(_distances(shared), "cell int, cosine double")
         radii = np.full(max(1, base), -1.0)
@@ -230,7 +324,7 @@ def _links(
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             vectors = batch.column("vector").to_pylist()
             for size in np.unique(sizes).tolist():
-                first, fitted, starts = shared.value[size]
+                first, fitted, starts, probes, reach = shared.value[size]
                 own = np.flatnonzero(sizes == size)
                 for at in np.array_split(own, len(own) // 1024 + 1):
                     near = np.array([np.frombuffer(vectors[i], "<f8") for i in at]) @ fitted.T
@@ -243,7 +337,7 @@ def _links(
                     many = min(probes, near.shape[1])
                     best = np.argsort(-near, axis=1, kind="stable")[:, :many]
                     value = np.take_along_axis(near, best, axis=1)
-                    close = value >= value[:, :1] - reach_of
+                    close = value >= value[:, :1] - reach
                     for i, row, fits in zip(at.tolist(), best, close):
                         cells[i] = (np.sort(row[fits]) + first).tolist()
             yield pa.RecordBatch.from_arrays(

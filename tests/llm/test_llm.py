@@ -15,7 +15,9 @@ from tokenizers import Tokenizer  # noqa: E402
 
 import oracle  # noqa: E402
 from docengine.llm import queries, token_codec, warc  # noqa: E402
-from docengine.llm.embedding_dedup import linked_vectors  # noqa: E402
+from docengine.llm.embedding_dedup import (  # noqa: E402
+    chosen_cells, fit_centres, likely_pairs, linked_vectors,
+)
 from docengine.llm.graph import components  # noqa: E402
 from docengine.llm.langid import held_out, learn, predict  # noqa: E402
 from docengine.llm.mixing import mix, mixed, share_out, split_quotas  # noqa: E402
@@ -352,6 +354,50 @@ def test_exact_way_finds_every_link(spark, common):
     assert [got[i]["kept"] for i in range(900)] == [smallest[i] == i for i in range(900)]
 
 
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_cells_where_vectors_share_a_direction(spark, common):
+    """``common``: the mean cosine of pairs. Components are those of links that were found."""
+    rng = np.random.default_rng(21)
+    matrix = rng.normal(size=(6000, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    within = (0.9 - common) / (1 - common)
+    matrix[3000:] = unit_near(rng, matrix[:3000], rng.uniform(within, 1, (3000, 1)))
+    towards = rng.normal(size=64)
+    towards /= np.linalg.norm(towards)
+    matrix = np.sqrt(common) * towards + np.sqrt(1 - common) * matrix
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    near = matrix @ matrix.T >= 0.9
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in linked_vectors(frame, cell_vectors=60).collect()}  # 100 centres
+    assert len(got) == 6000 and all(got[i]["n_links"] <= near[i].sum() - 1 for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * (near.sum() - 6000)
+    smallest = np.arange(6000)
+    for _ in range(40):
+        smallest = np.array([smallest[row].min() for row in near])
+    same = [got[i]["component_id"] == smallest[i] for i in range(6000)]
+    assert np.mean(same) >= 0.98 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+@pytest.mark.parametrize("common", [0.0, 0.5, 0.7])
+def test_cells_are_no_chains(common):
+    """Many centres stay many cells, unless fewer compare less for the recall."""
+    rng = np.random.default_rng(4)
+    matrix = np.sqrt(common) * np.eye(1, 64) + np.sqrt((1 - common) / 64) * rng.normal(size=(8000, 64))
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    centres, starts, probes, reach = chosen_cells(matrix, fit_centres(matrix, 200), 100_000, 0.9)
+    assert len(centres) == 200 and (len(starts) >= 100 or common == 0.7)
+    a, b, real = likely_pairs(matrix, 0.9, seed=5)
+    made = (a * b).sum(axis=1)[~real]
+    assert np.allclose(made, 0.9) and np.isclose((b * b).sum(axis=1), 1).all()
+    cells = []
+    for side in (a, b):
+        near = np.maximum.reduceat(side @ centres.T, starts, axis=1)
+        best = np.argsort(-near, axis=1)[:, :probes]
+        value = np.take_along_axis(near, best, axis=1)
+        cells.append([set(row[v >= v[0] - reach]) for row, v in zip(best, value)])
+    assert np.mean([bool(x & y) for x, y in zip(*cells)]) >= 0.985
+
+
 def test_top_k_of_large_components(spark):
     rng = np.random.default_rng(6)
     rows = [(i, (rng.normal(size=8) * 10.0 ** (i % 7)).tolist()) for i in range(140)]
