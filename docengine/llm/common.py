@@ -92,3 +92,28 @@ def join_by_hot_key(
             )
         )
     )
+
+
+def left_join_by_hot_key(
+    rows: DataFrame, entries: DataFrame, key: str, count: str, spread: Column, most: int = 4096
+) -> DataFrame:
+    """Left join of ``rows`` to ``entries``, in one pass over ``rows``; as ``join_by_hot_key``.
+
+    ``key`` is a digest of 16 bytes, null in rows that meet nothing. Rows whose key is
+    broadcast, and rows without a key, are dealt by ``spread`` in the shuffle for the others.
+    """
+    total = entries.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * most >= total
+    values = [c for c in entries.columns if c != key]
+    hot_key, hot_value, cold_key, cold_value = (fresh(c) for c in ("hk", "hv", "ck", "cv"))
+    value = F.struct(*values)
+    hot = entries.filter(is_hot).select(F.col(key).alias(hot_key), value.alias(hot_value))
+    cold = entries.filter(~is_hot).select(F.col(key).alias(cold_key), value.alias(cold_value))
+    # 17 bytes, so that they equal no digest.
+    elsewhere = F.concat(F.lit(b"-"), F.unhex(F.md5(spread.cast("string"))))
+    waits = F.col(hot_value).isNull() & F.col(key).isNotNull()
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left").join(
+        cold, F.when(waits, F.col(key)).otherwise(elsewhere) == F.col(cold_key), "left"
+    )
+    found = F.coalesce(hot_value, cold_value)
+    return met.select(*rows.columns, *[found[c].alias(c) for c in values])

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import strings, text_key, worker_state, written
+from docengine.llm.common import left_join_by_hot_key, strings, text_key, worker_state, written
 from docengine.llm.graph import Forest, components, groups, tiled
 
 WORDS = 5
@@ -160,6 +160,7 @@ def linked_documents(
     )
     table = classes.join(linked, "digest", "left").select(
         "digest",
+        "copies",
         "class_id",
         (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"),
         F.when(F.col("component").isNull(), F.col("class_id"))
@@ -168,10 +169,16 @@ def linked_documents(
         F.coalesce("component", "digest").alias("component"),
     )
     own = F.col("digest").isNull()
+    # A class that very many rows hold meets them by a broadcast of few such classes.
+    named = left_join_by_hot_key(
+        signed.select("doc_id", "text_key", "digest"),
+        written(table, "class-results"),
+        "digest",
+        "copies",
+        F.xxhash64("doc_id", "text_key"),
+    )
     return (
-        signed.select("doc_id", "text_key", "digest")
-        .join(table, "digest", "left")
-        .select(
+        named.select(
             "doc_id",
             "text_key",
             F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -314,11 +321,18 @@ def without_near_duplicates(documents: DataFrame, **options) -> DataFrame:
     )
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     with_words = light.filter(F.col("component").isNotNull())
-    first = with_words.groupBy("component").agg(F.min(at).alias("first"))
+    first = with_words.groupBy("component").agg(
+        F.min(at).alias("first"), F.count(F.lit(1)).alias("members")
+    )
+    distinct = with_words.groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows"))
     marked = (
-        with_words.groupBy("component", "doc_id", "text_key")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .join(first, "component")
+        left_join_by_hot_key(
+            distinct,
+            written(first, "component-results"),
+            "component",
+            "members",
+            F.xxhash64("doc_id", "text_key"),
+        )
         .select(
             F.col("doc_id").alias("_id"),
             F.col("text_key").alias("_key"),
