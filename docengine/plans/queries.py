@@ -661,7 +661,7 @@ def evaluation_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def _document_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "documents").schema
-    return streaming.stream_rows(spark, folder, schema, "documents.parquet")
+    return streaming.stream_table(spark, f"{folder}/documents.parquet", schema)
 
 
 def _as_bronze(batch: DataFrame) -> DataFrame:

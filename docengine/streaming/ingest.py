@@ -47,6 +47,13 @@ def stream_rows(
     return reader.schema(schema).option("pathGlobFilter", name_glob).parquet(folder)
 
 
+def stream_table(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """Unseen files of a parquet table, which is a folder of files or a single file."""
+    # As a pattern: of a plain path Spark expects that it is a folder.
+    place, _, name = path.rstrip("/").rpartition("/")
+    return _bounded(spark.readStream, max_files).schema(schema).parquet(f"{place}/{{{name}}}")
+
+
 def ingest_stream(
     stream: DataFrame,
     transform: Callable[[DataFrame], DataFrame],

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docengine.operators.chunking import chunk_documents, sequential_chunks
 from docengine.operators.ingest import ingest_documents
+from docengine.plans.queries import QUERIES
 from docengine.schemas import BRONZE
 from docengine.streaming import ingest as st
 
@@ -65,3 +66,15 @@ def test_rows_that_an_owner_no_longer_has_go(spark, tmp_path):
     schema = spark.createDataFrame([], columns).schema
     now = st.current_rows(spark, target, schema, owner="path")
     assert sorted(tuple(r) for r in now.collect()) == [("/a/x", "x_0", "short"), ("/b/x", "x_0", "other")]
+
+
+def test_documents_in_one_file_or_in_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"Text {i}.\nMay 20{i}", "en", "src1", 1) for i in range(10, 16)] + [(5, None, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "made").glob("part-*")).rename(tmp_path / "one" / "documents.parquet")
+    for name in ("stream_ingest", "stream_sync"):
+        one, many = (sorted(map(str, QUERIES[name](spark, str(tmp_path / kind)).collect())) for kind in ("one", "many"))
+        assert len(one) >= 6 and one == many
