@@ -744,11 +744,16 @@ def stream_changes(spark: SparkSession, folder: str) -> DataFrame:
         number = F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("at").cast("string"))
         return each.withColumn("uuid", number)
 
+    # Files of bounded size, three at least; a version comes in two micro-batches.
+    size = table(spark, folder, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(3, -(-size // inputs.FILE_BYTES))
     for version, lines in enumerate((F.col("lines"), later)):
         docs.select("doc_id", F.lit(version).cast("long").alias("version"), lines.alias("lines")).repartition(
-            3, "doc_id"
+            files, "doc_id"
         ).write.mode("append").parquet(f"{place}/in")
-        stream = streaming.stream_rows(spark, f"{place}/in", schema, "*.parquet", max_files=2)
+        stream = streaming.stream_rows(
+            spark, f"{place}/in", schema, "*.parquet", max_files=-(-2 * files // 3)
+        )
         stream_feeds.changes_stream(
             stream, chunks, "doc_id", "version", f"{place}/feed", f"{place}/checkpoint"
         ).awaitTermination()
