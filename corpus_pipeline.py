@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine.llm.common import written
-from docengine.llm.langid import UNDETERMINED, learn, least_fit, predict
+from docengine.llm.langid import UNDETERMINED, fit_bound, learn, predict
 from docengine.llm.mixing import mixed
 from docengine.llm.ngram_join import without_near_duplicates
 from docengine.llm.packing import pack
@@ -32,10 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     pieces = public_tokenizers.path("piece_bpe_32k.model")
     rest = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
-    labelled = docs.select("text", "lang")
-    model = learn(labelled, F.lit(True), pieces)
-    bound = least_fit(labelled, model, pieces)
-    found = predict(docs.select("text", row), model, pieces, fit=True)
+    model = learn(docs.select("text", "lang"), F.lit(True), pieces)
+    # Written: all fits give the bound that each is then held against.
+    found = written(predict(docs.select("text", row), model, pieces, fit=True), "fits")
+    bound = fit_bound(found, F.col("row.`lang`"))
     like = F.col("fit") >= F.lit(bound) - MARGIN / F.col("letters")
     kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & like
     of = {c: F.col(f"row.`{c}`").alias(c) for c in rest} | {"text": F.col("text")}

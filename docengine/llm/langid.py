@@ -21,15 +21,15 @@ from pyspark.sql import functions as F
 
 from docengine.llm.common import strings, worker_state, written
 
-LETTERS = regex.compile(r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*")  # words: letters with their marks
+LETTERS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")  # words: letters with their marks
 START = "▁"  # the vocabulary's sign for the start of a word
 BATCHED = 30  # words of up to so many letters are scored side by side, longer ones one by one
 TAUGHT = 60  # longer words are scored, but piece probabilities are not learned from them
-SAMPLE_PER_LANGUAGE = 1000  # labelled documents that a language is learned from, on average
 ROUNDS = 2
 SMOOTHING = 0.05
 UNKNOWN = 1e-8  # probability of a character that no piece holds
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 400_000  # distinct words that a task holds at a time
+FIT_DIGITS = 3  # places of fits of which quantiles are taken
 UNDETERMINED = "und"
 
 
@@ -134,9 +134,8 @@ def words_of(text: str) -> list[str]:
 def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict:
     """Languages, their shares and piece probabilities (``languages x pieces``).
 
-    Counts of labelled documents cover all of them. Probabilities are learned from a
-    sample of about ``SAMPLE_PER_LANGUAGE`` documents per language, chosen by a hash
-    of the text. The driver holds one row of pieces per language.
+    Shares and probabilities come from all labelled documents. The driver holds one row of
+    pieces per language.
     """
     spark = documents.sparkSession
     labelled = documents.filter(
@@ -156,6 +155,12 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
         for batch in batches:
             for text, lang in zip(strings(batch.column("text")), batch.column("lang").to_pylist()):
                 seen.setdefault(number[lang], Counter()).update(words_of(text))
+            if sum(map(len, seen.values())) > KNOWN_WORDS:
+                yield from rows(seen)
+                seen = {}
+        yield from rows(seen)
+
+    def rows(seen: dict[int, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, words in seen.items():
             words = {word: n for word, n in words.items() if len(word) <= TAUGHT}
             yield pa.RecordBatch.from_arrays(
@@ -168,8 +173,7 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
             )
 
     words = written(
-        labelled.filter(_sampled(shares))
-        .mapInArrow(count, "lang int, word string, n long")
+        labelled.mapInArrow(count, "lang int, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n")),
         "words",
@@ -182,37 +186,35 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
     return {
         "languages": languages,
         "prior": np.log([shares[lang] / total for lang in languages]),
-        "shares": shares,
         "pieces": pieces,
     }
 
 
-def _sampled(shares: dict[str, int]) -> Column:
-    """Rows of the sample: about ``SAMPLE_PER_LANGUAGE`` of each language, by hash of the text."""
-    rate = F.create_map(
-        *chain.from_iterable(
-            (F.lit(lang), F.lit(min(1.0, SAMPLE_PER_LANGUAGE / n))) for lang, n in shares.items()
-        )
-    )
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return chance < rate[F.col("lang")]
+def least_fit(documents: DataFrame, model: dict, vocabulary_path: str) -> float:
+    """A bound on ``fit`` below which a text is in none of the learned languages, from all
+    labelled documents; see ``fit_bound``."""
+    if not model["languages"]:
+        return float("-inf")
+    labelled = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return fit_bound(predict(labelled.select("text", "lang"), model, vocabulary_path, fit=True), "lang")
 
 
-def least_fit(documents: DataFrame, model: dict, vocabulary_path: str) -> float:
-    """A bound on ``fit`` below which a text is in none of the learned languages.
+def fit_bound(found: DataFrame, lang: str | Column) -> float:
+    """The bound on ``fit`` from rows of ``predict`` and their labels (null: not labelled).
 
-    From the sample of labelled documents that the model is learned from: of each language
-    the median, less three times its distance to the lowest hundredth; the lowest of these.
-    Minus infinity where nothing was learned.
+    Of each language the median, less three times its distance to the lowest hundredth; the
+    lowest of these. Quantiles are exact, of fits rounded to thousandths, which are counted
+    first. Minus infinity where there is no labelled row.
     """
-    if not model["languages"]:
-        return float("-inf")
-    sample = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).filter(
-        _sampled(model["shares"])
+    lang = F.col(lang) if isinstance(lang, str) else lang
+    counted = (
+        found.select(lang.alias("lang"), F.round("fit", FIT_DIGITS).alias("fit"))
+        .filter("lang IS NOT NULL AND fit IS NOT NULL")
+        .groupBy("lang", "fit")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = predict(sample.select("text", "lang"), model, vocabulary_path, fit=True)
-    shares = F.percentile_approx("fit", F.array(F.lit(0.01), F.lit(0.5)))
-    rows = found.filter("fit IS NOT NULL").groupBy("lang").agg(shares.alias("at")).collect()
+    at = F.percentile("fit", F.array(F.lit(0.01), F.lit(0.5)), F.col("n"))
+    rows = counted.groupBy("lang").agg(at.alias("at")).collect()
     return min((row["at"][1] - 3 * (row["at"][1] - row["at"][0]) for row in rows), default=float("-inf"))
 
 

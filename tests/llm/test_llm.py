@@ -484,6 +484,23 @@ def test_texts_in_no_learned_language_go(spark, nothing):
     assert least_fit(nothing, {"languages": []}, "") == float("-inf")
 
 
+def test_every_labelled_document_teaches_and_bounds(spark):
+    from docengine.llm.langid import fit_bound, least_fit, vocabulary
+
+    many = [("the house", "en")] * 3000 + [("das haus", "de")] * 3000
+    frame = lambda rows: spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    whole = learn(frame(many + [("zebra", "en")]), F.lit(True), pieces)
+    ids = vocabulary(pieces).ids
+    without = learn(frame(many), F.lit(True), pieces)
+    better = {p for p, i in ids.items() if whole["pieces"][1, i] > without["pieces"][1, i]}
+    assert any(p.strip("▁") and p.strip("▁") in "zebra" for p in better)
+    fits = spark.createDataFrame([("a", -i / 100) for i in range(1, 101)] + [(None, -9.0), ("b", None)], "lang string, fit double")
+    assert fit_bound(fits, "lang") == pytest.approx(-0.505 - 3 * (0.9901 - 0.505))
+    assert fit_bound(fits.filter("false"), "lang") == float("-inf")
+    assert np.isfinite(least_fit(frame(many), without, pieces))
+
+
 def test_draws_beyond_the_librarys_limit(monkeypatch):
     from docengine.llm import mixing
 
