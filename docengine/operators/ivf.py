@@ -24,6 +24,7 @@ from docengine.operators.retrieval import (
     BLOCK_ROWS,
     HELD_BLOCKS,
     PASS_BYTES,
+    SCORE_CELLS,
     SCORE_UNITS,
     best_positions,
     keep_best,
@@ -138,15 +139,17 @@ class InvertedFile:
         centres, vector = self.centres, self.vector
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    scores = _unit(matrix(batch.column(vector))) @ centres.T - (centres**2).sum(axis=1) / 2
-                    near = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                    rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.take(rows).columns, pa.array(near.ravel(), pa.int32())],
-                        names=[*batch.schema.names, "cell"],
-                    )
+            # A slice's scores, and its vectors once per probed cell, have a bounded size.
+            step = max(1, SCORE_CELLS // max(len(centres), probes * centres.shape[1]))
+            half = (centres**2).sum(axis=1) / 2
+            for batch in (each.slice(at, step) for each in batches for at in range(0, each.num_rows, step)):
+                scores = _unit(matrix(batch.column(vector))) @ centres.T - half
+                near = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.take(rows).columns, pa.array(near.ravel(), pa.int32())],
+                    names=[*batch.schema.names, "cell"],
+                )
 
         asked = questions.filter(F.size(vector) == centres.shape[1]).select(
             question, F.col(vector).cast("array<double>").alias(vector)
@@ -176,6 +179,9 @@ class InvertedFile:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[tuple, tuple] = {}
             kept: dict[tuple, list] = {}
+            # Scores of a block's questions with all codewords, of the block asked last only.
+            made: tuple = (None, [])
+            ends = np.cumsum([0, *[book.shape[1] for book in books]])
 
             def results() -> Iterator[pa.RecordBatch]:
                 for name, tables in kept.items():
@@ -189,27 +195,34 @@ class InvertedFile:
                 for i in range(batch.num_rows):
                     name = tuple(batch.column(c)[i].as_py() for c in ("cell", "block"))
                     if name not in held:
-                        if len(held) == HELD_BLOCKS:
+                        # Codes come by cell: what is held for others is not asked for again.
+                        if len(held) == HELD_BLOCKS or any(other[0] != name[0] for other in held):
                             yield from results()
                         block = batch.column("questions")[i].values
                         points = _unit(matrix(block.field("vector")))
-                        ends = np.cumsum([0, *[book.shape[1] for book in books]])
-                        tables = [points[:, a:b] @ book.T for a, b, book in zip(ends, ends[1:], books)]
-                        held[name] = block.field("id"), points @ centres[name[0]], tables
+                        held[name] = block.field("id"), points @ centres[name[0]], points
                         kept[name] = []
-                    ids, base, tables = held[name]
+                    ids, base, points = held[name]
+                    if made[0] != name:
+                        made = name, [points[:, a:b] @ book.T for a, b, book in zip(ends, ends[1:], books)]
                     rows = unpacked(batch.column("rows")[i])
                     codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), "uint8").reshape(rows.num_rows, -1)
-                    scores = base[:, None] + sum(table[:, codes[:, m]] for m, table in enumerate(tables))
-                    units = np.rint(scores * SCORE_UNITS).astype("int64")
-                    q, at = best_positions(units, depth)
-                    found = pa.table(
-                        [pa.array(q), pa.array(units[q, at]), rows.column(key).take(pa.array(at))],
-                        names=["question", "units", key],
-                    )
-                    kept[name].append(found)
-                    if len(kept[name]) > 8:
-                        kept[name] = [keep_best(kept[name], depth, key)]
+                    step = max(1, SCORE_CELLS // len(ids))
+                    for at_row in range(0, rows.num_rows, step):
+                        some = codes[at_row : at_row + step]
+                        scores = np.zeros((len(ids), len(some)))
+                        for m, table in enumerate(made[1]):
+                            scores += table[:, some[:, m]]
+                        scores += base[:, None]
+                        units = np.rint(scores * SCORE_UNITS).astype("int64")
+                        q, at = best_positions(units, depth)
+                        found = pa.table(
+                            [pa.array(q), pa.array(units[q, at]), rows.column(key).take(pa.array(at + at_row))],
+                            names=["question", "units", key],
+                        )
+                        kept[name].append(found)
+                        if sum(each.num_rows for each in kept[name]) > 2 * depth * len(ids):
+                            kept[name] = [keep_best(kept[name], depth, key)]
             yield from results()
 
         met = meet(asked, held_bytes, pool, packed, pass_bytes)
