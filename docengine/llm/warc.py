@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import strings
+from docengine.llm.common import parts_of, strings
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -34,6 +34,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DICTIONARY_BYTES = 32 * 1024
 SAMPLE_BYTES = 2 * 1024 * 1024
 ROW_BYTES = 1024 * 1024
+ROW_OVERHEAD = 1024  # bytes that a record takes without its payload, about
 RECORD_SCHEMA = (
     "page_id long, url string, payload_bytes long, payload_digest string, "
     "record_type string, refers_to long, payload binary"
@@ -156,7 +157,7 @@ def write_archives(records: DataFrame, folder: str) -> None:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made() -> Iterator[bytes]:
-            for batch in batches:
+            for batch in parts_of(batches, ROW_BYTES):
                 for page_id, url, html, kind, refers in zip(
                     batch.column("page_id").to_pylist(),
                     batch.column("url").to_pylist(),
@@ -178,7 +179,7 @@ def as_text(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.col(column).cast("string").alias("value"))
 
 
-def frames(archive: bytes) -> Iterator[bytes]:
+def frames(archive: bytes | memoryview) -> Iterator[bytes]:
     """The records of an archive, one frame at a time."""
     at, options = 0, {}
     while at < len(archive):
@@ -191,7 +192,7 @@ def frames(archive: bytes) -> Iterator[bytes]:
             if magic == DICTIONARY_MAGIC:
                 if at:
                     raise ValueError("a dictionary that does not lead its archive")
-                trained = archive[8 : 8 + size]
+                trained = bytes(archive[8 : 8 + size])
                 if trained[:4] == struct.pack("<I", FRAME_MAGIC):  # may be compressed itself
                     trained = zstandard.ZstdDecompressor().decompress(trained)
                 options = {"dict_data": zstandard.ZstdCompressionDict(trained)}
@@ -278,10 +279,11 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         for batch in batches:
             for archive in batch.column("content"):
                 rows, size = [], 0
-                for frame in frames(archive.as_py()):
-                    rows.append(parse_record(frame))
-                    size += len(frame)
-                    if size >= 16 * ROW_BYTES:
+                for frame in frames(memoryview(archive.as_buffer())):
+                    row = parse_record(frame)
+                    rows.append({name: row[name] for name in names})
+                    size += len(frame) if payloads else ROW_OVERHEAD
+                    if size >= 4 * ROW_BYTES:
                         yield _batch(rows, names, types)
                         rows, size = [], 0
                 yield _batch(rows, names, types)

@@ -501,6 +501,19 @@ def test_every_labelled_document_teaches_and_bounds(spark):
     assert np.isfinite(least_fit(frame(many), without, pieces))
 
 
+def test_archives_are_made_and_read_in_small_parts():
+    import pyarrow as pa
+
+    from docengine.llm.common import parts_of
+    from docengine.llm.warc import archive_rows, frames
+
+    batch = pa.RecordBatch.from_pydict({"html": ["x" * 1000] * 300 + [None] * 5})
+    parts = list(parts_of([batch, batch.slice(0, 0)], 50_000))
+    assert pa.Table.from_batches(parts).to_pydict() == batch.to_pydict() and max(p.nbytes for p in parts) < 60_000
+    records = [b"record %d " % i * 300 for i in range(400)]
+    assert list(frames(memoryview(b"\n".join([*archive_rows(iter(records)), b""])))) == records
+
+
 def test_draws_beyond_the_librarys_limit(monkeypatch):
     from docengine.llm import mixing
 
