@@ -61,3 +61,13 @@ def test_registered_query(spark):
     asked = spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 20 = 0 AND embedding IS NOT NULL")
     assert len(rows) == asked.count() and all(r["wanted"] == 10 and 0 < r["probed"] <= 1 for r in rows)
     assert sum(r["found"] for r in rows) >= 0.9 * sum(r["wanted"] for r in rows)
+
+
+def test_small_slices_find_the_same(spark, monkeypatch):
+    from docengine.operators import ivf
+
+    table, asked = frames(spark, vectors(300), every=60)
+    index = InvertedFile.build(table)
+    whole = sorted(map(tuple, index.nearest(asked, 5).collect()))
+    monkeypatch.setattr(ivf, "SCORE_CELLS", 64)
+    assert sorted(map(tuple, index.nearest(asked, 5).collect())) == whole and len(whole) == 25
