@@ -46,6 +46,26 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(sorted({p for p in pieces if fits(p)}))}
         self.size = len(self.ids)
         self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self._tree()
+
+    def _tree(self) -> None:
+        """The beginnings as numbered arrays, the ones that others continue first: ``first`` of
+        a code point, ``after`` a beginning and a character by its column (0: none), ``piece``
+        that a beginning is (-1: none). Characters that only begin pieces have column 0."""
+        inner = {p[:-1] for p in self.beginnings if len(p) > 1}
+        place = {p: i for i, p in enumerate([*sorted(inner), *sorted(self.beginnings - inner)], 1)}
+        self.inner = len(inner)
+        later = sorted({p[-1] for p in self.beginnings if len(p) > 1})
+        self.first, self.column = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int32)
+        self.column[[ord(c) for c in later]] = np.arange(1, len(later) + 1)
+        self.after = np.zeros((self.inner + 1, len(later) + 1), np.int32)
+        self.piece = np.full(len(place) + 1, -1, np.int32)
+        for p, i in place.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
+            else:
+                self.after[place[p[:-1]], self.column[ord(p[-1])]] = i
+            self.piece[i] = self.ids.get(p, -1)
 
     def edges_from(self, word: str, start: int) -> Iterator[tuple[int, int]]:
         """(end, piece) of the pieces that begin at a place of ``word`` (with its sign)."""
@@ -80,13 +100,33 @@ class Vocabulary:
     def lattice(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """(word, start, end, piece) of every piece in every word, and for characters
         without a piece of their own the unknown one (``size``)."""
-        edges: list[int] = []
-        for w, word in enumerate(words):
-            word = START + word
-            for start in range(len(word)):
-                for end, piece in self.edges_from(word, start):
-                    edges += (w, start, end, piece)
-        return tuple(np.array(edges, np.int64).reshape(-1, 4).T)
+        lengths = np.array([len(word) + 1 for word in words], np.int64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        text = "".join(chain.from_iterable((START, word) for word in words))
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        # No piece goes on with the sign that the next word begins with; 0 ends the last one.
+        columns = np.append(self.column[codes], 0)
+        at = np.arange(len(owner))
+        state = self.first[codes]
+        single = self.piece[state]
+        places, ends, pieces = [at], [within + 1], [np.where(single < 0, self.size, single)]
+        n = 1
+        while True:
+            on = np.flatnonzero((state > 0) & (state <= self.inner))
+            at = at[on]
+            state = self.after[state[on], columns[at + n]]
+            n += 1
+            known = np.flatnonzero(self.piece[state] >= 0)
+            if not len(at):
+                break
+            places.append(at[known])
+            ends.append(within[at[known]] + n)
+            pieces.append(self.piece[state[known]])
+        place = np.concatenate(places)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        return owner[place], within[place], np.concatenate(ends)[order], np.concatenate(pieces)[order].astype(np.int64)
 
 
 def vocabulary(path: str) -> Vocabulary:
