@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")
     model = learn(docs.select("text", "lang"), F.lit(True), pieces)
     # Written: all fits give the bound that each is then held against.
-    found = written(predict(docs.select("text", row), model, pieces, fit=True), "fits")
+    found = written(predict(docs.select("text", row), model, pieces, fit=True), "fits", of_texts=True)
     bound = fit_bound(found, F.col("row.`lang`"))
     like = F.col("fit") >= F.lit(bound) - MARGIN / F.col("letters")
     kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE) & like

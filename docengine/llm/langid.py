@@ -130,7 +130,7 @@ class Vocabulary:
 
 
 def vocabulary(path: str) -> Vocabulary:
-    kept = worker_state().setdefault("vocabularies", {})
+    kept = worker_state("vocabularies").setdefault("vocabularies", {})
     if path not in kept:
         kept[path] = Vocabulary(path)
     return kept[path]
@@ -217,6 +217,7 @@ def learn(documents: DataFrame, may_learn: Column, vocabulary_path: str) -> dict
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n")),
         "words",
+        of_texts=True,
     )
     size = vocabulary(vocabulary_path).size
     pieces = np.full((len(languages), size + 1), 1.0 / size)

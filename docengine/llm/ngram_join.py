@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import left_join_by_hot_key, strings, text_key, worker_state, written
+from docengine.llm.common import left_join_by_hot_key, parts_of, strings, text_key, worker_state, written
 from docengine.llm.graph import Forest, components, groups, tiled
 
 WORDS = 5
@@ -21,6 +21,7 @@ MOST_HASHES = 128
 TILE_ROWS = 1024
 TILE_GRAMS = 2_000_000
 KNOWN_WORDS = 500_000
+PART_BYTES = 1 << 20  # texts that a task takes out of a batch at a time
 CHUNK = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,7 +44,7 @@ def choose_bands(
 
 
 def _hashed_words(text: str) -> np.ndarray:
-    known = worker_state().setdefault("words", {})
+    known = worker_state("words").setdefault("words", {})
     words = text.lower().split()
     if len(known) > KNOWN_WORDS:
         known.clear()
@@ -114,7 +115,7 @@ def linked_documents(
     schema = "doc_id long, text_key binary, digest binary, grams long, bands array<long>"
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts_of(batches, PART_BYTES):
             digests, sizes, signed = [], [], []
             for text in strings(batch.column("text")):
                 grams = gram_set(text, n)
@@ -132,7 +133,7 @@ def linked_documents(
                 names=["doc_id", "text_key", "digest", "grams", "bands"],
             )
 
-    signed = written(named.mapInArrow(sign, schema), "signatures")
+    signed = written(named.mapInArrow(sign, schema), "signatures", of_texts=True)
     classes = written(
         signed.filter(F.col("digest").isNotNull())
         .groupBy("digest")

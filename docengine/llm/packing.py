@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import strings, written
+from docengine.llm.common import parts_of, strings, written
 from docengine.llm.graph import groups
 from docengine.llm.tokenization import encoder
 
@@ -26,6 +26,7 @@ DOCUMENT, GAP = 0, 1  # a document sorts before a gap of its size
 SHORT = 8  # documents of up to this part of the capacity are the last band
 RANGE_ROWS = 16_384  # documents and gaps of a range, more where there would be
 MOST_RANGES = 16_384
+PART_BYTES = 1 << 20  # texts that a task takes out of a batch at a time
 TASK_BITS = 33  # pieces that one task can number
 
 
@@ -41,7 +42,7 @@ def token_pieces(
         encode = encoder(tokenizer).ids
         end = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId() << TASK_BITS
-        for batch in batches:
+        for batch in parts_of(batches, PART_BYTES):
             columns: list[list] = [[] for _ in schema.split(",")]
             for doc_id, text in zip(
                 batch.column("doc_id").to_pylist(), strings(batch.column("text"))
@@ -371,7 +372,7 @@ def pack(
     columns are ignored, whatever their names. Sequence numbers have no order.
     """
     pieces = written(
-        token_pieces(documents, tokenizer, end_id, capacity, with_ids), "token-pieces"
+        token_pieces(documents, tokenizer, end_id, capacity, with_ids), "token-pieces", of_texts=True
     )
     places = place_best_fit(
         pieces.select(F.col("number").alias("id"), F.col("length").alias("size")), capacity

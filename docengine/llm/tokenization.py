@@ -117,7 +117,7 @@ def _kind(made: dict) -> str | None:
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file, kept from task to task."""
-    kept = worker_state()
+    kept = worker_state("encoders")
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
