@@ -2,26 +2,30 @@
 
 Ids are cut into blocks. A block starts from a reset model, so it can be decoded
 alone, and carries a checksum of its ids. Many blocks are coded side by side: every
-step codes one id in each of them with array operations.
+step codes one id in each of them with array operations; a short last block is
+filled up with zeros, which are coded and left out again.
 
 Model. Three predictions are made for an id: the last id that followed the same
 two ids (order 2), the last that followed the same one id (order 1), and the most
-frequent id so far (order 0). The coded symbol says which prediction holds, the
-highest order first, or that none does. Each order has its own counts of that
-symbol: order 2 and order 1 by how often their slot has been right lately, order 0
-for all. The distribution used is the mix of the three, with weights that follow
+frequent id so far (order 0); id 0 where nothing is known. The coded symbol says which
+prediction holds, the highest order first, or that none does. Each order has its own
+counts of that symbol: order 2 and order 1 by how often their slot has been right lately,
+order 0 for all. The distribution used is the mix of the three, with weights that follow
 how well each has foretold the symbols so far. An id that nobody predicted is coded
-by the number of its bits, from adaptive order-0 counts, and by the bits below the
-highest one. Tables predict from step to step; counts and weights are brought up
-to date every ``ROUND`` steps. What is coded follows from integers and
+by the number of bits above its lowest eight, from adaptive order-0 counts, and by the
+bits below the highest one; the lowest eight are kept as they are, in a row of bytes
+behind the coder's words. Tables predict from step to step; counts and weights are brought
+up to date every ``ROUND`` steps. What is coded follows from integers and
 from plain double operations in a fixed order, so that every machine decodes the same.
 
 Coder. A range coder with 64-bit numbers that puts out 32-bit words; a carry is
-added to the words already put out. Frequencies have the fixed total 2 ** 16.
+added to the words already put out. Frequencies have fixed totals: 2 ** 15 for the
+symbols, 2 ** 8 for the numbers of bits.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -31,16 +35,28 @@ LANES = 4096
 ROUND = 64
 MAX_ID = (1 << 30) - 1
 HIT2, HIT1, HIT0, MISS = range(4)
-SLOTS = 1 << 11
-SIZES = 18  # numbers of bits 0 to 16, and 17 for more
-TOTAL = 1 << 16
+SLOTS = 1 << 9
+COUNTED = 1 << 7  # slots that count how often ids came
+SIZES = 10  # numbers of bits 0 to 8 above the lowest eight, and 9 for more
+TOTAL = 1 << 15
+SIZE_TOTAL = 1 << 8
+SIZE_OF = np.array([i.bit_length() for i in range(257)], np.uint8)
+TOP = np.array([0, *(1 << i for i in range(8)), 0], np.int32)  # the highest bit, by the size
+BELOW = np.array([0, *range(8), 0], np.uint64)  # how many bits are below it
+PIECE = np.uint64(11)  # larger ids: two pieces of so many bits follow
 HASH = np.int32(-1640531527)
 CONTEXTS = 16  # times right of order 2 (0 to 3) and of order 1 (0 to 3)
 ROOM = np.uint64(1 << 32)
 WORD = np.uint64(32)
-SCALE = np.uint64(16)
+SCALE = np.uint64(15)
+FIELD_BITS = np.uint64(16)
+SIZE_SCALE = np.uint64(8)
 HALF = np.uint64((1 << 32) - 1)
 FIELD = np.uint64(0xFFFF)
+BELOW_TOTAL = np.uint64(TOTAL - 1)
+IN_EACH = np.uint64(0x0001_0001_0001_0000)  # for the begins of the last three symbols
+SPARE = np.uint64(0x8000_8000_8000_0000)  # the bit above each of them
+ONE = np.uint64(1)
 
 
 def _summed(values: np.ndarray, axis: int) -> np.ndarray:
@@ -49,161 +65,146 @@ def _summed(values: np.ndarray, axis: int) -> np.ndarray:
     return a + b + c + d
 
 
+def _slots(mixed: np.ndarray, base: np.ndarray) -> np.ndarray:
+    return (mixed >> 13 & SLOTS - 1) + base
+
+
 class _Model:
     """Predictions and statistics of ``lanes`` blocks."""
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.base = np.arange(lanes, dtype=np.int32) * SLOTS
-        self.context_base = np.arange(lanes, dtype=np.int32) * CONTEXTS
+        self.lane = np.arange(lanes)
+        self.base = self.lane * SLOTS
         self.after2 = np.zeros(lanes * SLOTS, np.int32)  # id << 2 | times right; 0: nothing
         self.after1 = np.zeros(lanes * SLOTS, np.int32)
-        self.seen = np.zeros(lanes * SLOTS, np.int32)
-        self.most = np.zeros(lanes, np.int32)
-        self.frequent = np.full(lanes, -1, np.int32)
-        self.hash1 = np.zeros(lanes, np.int32)
-        self.slot1 = self.base.copy()
-        self.slot2 = self.base.copy()
-        self.counts = np.zeros((4, 4, 4, lanes))  # symbol, order 2, order 1
-        self.used = np.zeros(lanes * CONTEXTS * 4, np.int32)
+        self.seen = np.zeros(lanes * COUNTED, np.int32)
+        self.newest = np.zeros(lanes * COUNTED, np.int32)
+        self.frequent = np.zeros(lanes, np.int32)
+        self.by2 = np.zeros((4, 4, lanes))  # symbol, order 2
+        self.by1 = np.zeros((4, 4, lanes))
+        self.by0 = np.zeros((4, lanes))
         self.trust = np.full((3, lanes), 0.5)
-        self.sizes = np.full((lanes, SIZES), 2, np.int32)
-        self.sized = np.zeros(lanes * SIZES, np.int32)
+        self.sizes = np.full((SIZES, lanes), 2, np.int64)
+        self.coded, self.symbols, self.sized = [], [], []
         self._distributions()
 
-    def predict(self, k: int) -> None:
-        """Predictions and symbol frequencies of the first ``k`` blocks."""
-        kept2, kept1 = self.after2[self.slot2[:k]], self.after1[self.slot1[:k]]
+    def predict(self, slot2: np.ndarray, slot1: np.ndarray) -> None:
+        """Predictions and symbol frequencies of all blocks."""
+        self.slot2, self.slot1 = slot2, slot1
+        kept2, kept1 = self.after2[slot2], self.after1[slot1]
+        self.guess2, self.guess1 = kept2 >> 2, kept1 >> 2
         self.right2, self.right1 = kept2 & 3, kept1 & 3
-        self.guess2 = (kept2 >> 2) - (kept2 == 0)
-        self.guess1 = (kept1 >> 2) - (kept1 == 0)
-        self.guess0 = self.frequent[:k]
-        self.context = (self.right2 << 2) + self.right1 + self.context_base[:k]
-        self.starts = self.packed_starts[self.context]
-        self.widths = self.packed_widths[self.context]
-
-    def update(self, k: int, ids: np.ndarray, symbol: np.ndarray) -> None:
-        packed = ids << 2
-        self.after2[self.slot2[:k]] = packed + np.where(
-            ids == self.guess2, np.minimum(self.right2 + 1, 3), 1
-        )
-        self.after1[self.slot1[:k]] = packed + np.where(
-            ids == self.guess1, np.minimum(self.right1 + 1, 3), 1
-        )
-        self.used[(self.context << 2) + symbol] += 1
-        mixed = ids * HASH  # wraps, as a hash may
-        base = self.base[:k]
-        self.slot1[:k] = (mixed >> 13 & SLOTS - 1) + base
-        self.slot2[:k] = ((mixed ^ self.hash1[:k]) >> 13 & SLOTS - 1) + base
-        self.hash1[:k] = mixed * np.int32(5)
+        self.context = ((self.right2 << 2) + self.right1) * self.lanes + self.lane
+        self.starts = self.packed[self.context]
+
+    def update(self, ids: np.ndarray, symbol: np.ndarray, hit2, hit1) -> None:
+        first = (ids << 2) + 1
+        self.after2[self.slot2] = first + np.minimum(self.right2, 2) * hit2
+        self.after1[self.slot1] = first + np.minimum(self.right1, 2) * hit1
+        self.coded.append(self.context)
+        self.symbols.append(symbol)
 
     def refresh(self, ids: np.ndarray) -> None:
         """Statistics of a round; ``ids``: a row per step, a column per block."""
-        k = ids.shape[1]
-        for row in ids:
-            slot = (row * HASH >> 13 & SLOTS - 1) + self.base[:k]
-            times = self.seen[slot] + 1
-            self.seen[slot] = times
-            more = times > self.most[:k]
-            np.copyto(self.most[:k], times, where=more)
-            np.copyto(self.frequent[:k], row, where=more)
-        new = self.used.reshape(-1, 4, 4, 4).transpose(3, 1, 2, 0).astype(np.float64)
-        self.used[:] = 0
-        self._learn(new)
-        self.counts = np.floor((self.counts + new) * 0.875)
-        self.sizes += self.sized.reshape(-1, SIZES)
-        self.sized[:] = 0
+        slot = (ids * HASH >> 13 & COUNTED - 1) + self.lane * COUNTED
+        self.newest[slot.ravel()] = ids.ravel()  # of equal slots the last one stays
+        self.seen += np.bincount(slot.ravel(), minlength=len(self.seen))
+        most = self.seen.reshape(-1, COUNTED).argmax(axis=1)
+        self.frequent = self.newest[most + self.lane * COUNTED]
+        coded = np.concatenate(self.symbols) * np.int64(CONTEXTS * self.lanes)
+        coded += np.concatenate(self.coded)
+        new = np.bincount(coded, minlength=4 * CONTEXTS * self.lanes).reshape(4, 4, 4, -1)
+        self._learn(_summed(new, 2), _summed(new, 1))
+        if self.sized:
+            sized = np.bincount(np.concatenate(self.sized), minlength=SIZES * self.lanes)
+            self.sizes += sized.reshape(SIZES, -1)
+        self.coded, self.symbols, self.sized = [], [], []
         self._distributions()
 
-    def _learn(self, new: np.ndarray) -> None:
+    def _learn(self, new2: np.ndarray, new1: np.ndarray) -> None:
         """An order's weight follows the probability that it gave to the round's symbols."""
-        by2, by1 = _summed(new, 2), _summed(new, 1)
-        by0 = _summed(by1, 1)
-        n = np.maximum(_summed(by0, 0), 1)
+        new0 = _summed(new1, 1)
+        n = np.maximum(_summed(new0, 0), 1)
         for order, given in enumerate(
-            (_summed(by2 * self.by2, 1), _summed(by1 * self.by1, 1), by0 * self.by0)
+            (_summed(new2 * self.share2, 1), _summed(new1 * self.share1, 1), new0 * self.share0)
         ):
             self.trust[order] += (_summed(given, 0) / n - self.trust[order]) * 0.25
+        self.by2 = np.floor((self.by2 + new2) * 0.875)
+        self.by1 = np.floor((self.by1 + new1) * 0.875)
+        self.by0 = np.floor((self.by0 + new0) * 0.875)
 
     def _distributions(self) -> None:
-        """Frequencies of the symbols by context, packed as four 16-bit fields, and of
-        the sizes. Sums, products and quotients of doubles are the same on every
-        machine; frequencies are rounded down to integers."""
-        by2, by1 = _summed(self.counts, 2), _summed(self.counts, 1)
-        by0 = _summed(by1, 1)
-        self.by2, self.by1, self.by0 = (
-            (p + 0.25) / (_summed(p, 0) + 1.0) for p in (by2, by1, by0)
+        """Where symbols begin, by context, packed as 16-bit fields behind a field for the first
+        one's 0; and begin << 16 | width of the sizes. Sums, products and quotients of doubles
+        are the same on every machine; frequencies are rounded down to integers."""
+        self.share2, self.share1, self.share0 = (
+            (p + 0.25) / (_summed(p, 0) + 1.0) for p in (self.by2, self.by1, self.by0)
         )
         weight = np.maximum(self.trust, 1 / 16) ** 2
-        weight = weight / (weight[0] + weight[1] + weight[2])
-        mix = self.by2[:, :, None] * weight[0] + self.by1[:, None] * weight[1]
-        mix += (self.by0 * weight[2])[:, None, None]
-        mix = np.floor(mix * (TOTAL - 128)).astype(np.uint64) + np.uint64(16)
-        mix = mix.transpose(0, 3, 1, 2).reshape(4, -1)
-        mix[MISS] = np.uint64(TOTAL) - mix[0] - mix[1] - mix[2]
-        first, second = mix[0], mix[0] + mix[1]
-        third = second + mix[2]
-        one, two, three = (np.uint64(16 * i) for i in (1, 2, 3))
-        self.packed_starts = first << one | second << two | third << three
-        self.packed_widths = mix[0] | mix[1] << one | mix[2] << two | mix[3] << three
-        part = self.sizes.astype(np.float64)
-        share = np.floor(part * ((TOTAL - 4 * SIZES) / part.sum(axis=1))[:, None]).astype(np.int64)
-        share += 4
-        share[:, 0] += TOTAL - share.sum(axis=1)
-        ends = np.cumsum(share, axis=1)
-        self.size_widths = share.ravel().astype(np.uint64)
-        self.size_starts = (ends - share).ravel().astype(np.uint64)
-        self.size_limits = ends[:, :-1].astype(np.uint64)
-
-    def size_bounds(self, own: np.ndarray, size: np.ndarray):
-        at = own * SIZES + size
-        self.sized[at] += 1
-        return self.size_starts[at], self.size_widths[at]
-
-
-def _size_of(ids: np.ndarray) -> np.ndarray:
-    bits = np.frexp(ids.astype(np.float64))[1]
-    return np.minimum(bits, SIZES - 1)
-
-
-def _plain_bits(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits coded plainly in the first and in the second part, by the size."""
-    large = size == SIZES - 1
-    return np.where(large, 15, np.maximum(size - 1, 0)), np.where(large, 15, 0)
+        weight = weight * ((TOTAL - 128) / (weight[0] + weight[1] + weight[2]))
+        ends2, ends1, ends0 = (
+            np.cumsum(p[:3], axis=0) * w
+            for p, w in zip((self.share2, self.share1, self.share0), weight)
+        )
+        ends1 += ends0[:, None]
+        self.packed = np.zeros(CONTEXTS * self.lanes, np.uint64)
+        for i in range(3):
+            mix = ends2[i][:, None] + ends1[i]
+            mix += 32 * (i + 1)
+            self.packed |= mix.astype(np.uint64).ravel() << np.uint64(16 * (i + 1))
+        total = self.sizes.sum(axis=0)
+        share = self.sizes * (SIZE_TOTAL - SIZES) // total + 1
+        share[1] += SIZE_TOTAL - share.sum(axis=0)
+        self.size_share = share
+        begins = np.cumsum(share, axis=0) - share
+        self.size_bounds = (begins << 16 | share).ravel().astype(np.uint64)
+
+    def size_table(self) -> np.ndarray:
+        """The size at each of the ``SIZE_TOTAL`` places, block after block."""
+        sizes = np.tile(np.arange(SIZES, dtype=np.uint8), self.lanes)
+        return np.repeat(sizes, self.size_share.T.ravel())
+
+
+def _bounds(starts: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and width of a symbol; the total, where the last one ends, is 0 in its field."""
+    here = starts >> (symbol.astype(np.uint64) << np.uint64(4))
+    return here & BELOW_TOTAL, (here >> FIELD_BITS) - here & BELOW_TOTAL
 
 
 class _Writer:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, np.iinfo(np.uint64).max, np.uint64)
-        self.words = np.zeros((lanes, BLOCK // 2 + 64), np.uint64)
+        self.words = np.zeros((lanes, BLOCK // 4 + 64), np.uint64)
         self.at = np.zeros(lanes, np.int64)
 
-    def put(self, k: int, start: np.ndarray, width: np.ndarray) -> None:
-        """A symbol in each of the first ``k`` blocks."""
-        low, wide = self.low[:k], self.range[:k]
-        part = wide >> SCALE
-        moved = start * part
-        moved += low
-        np.multiply(part, width, out=wide)
-        carried = np.flatnonzero(moved < low)
-        low[:] = moved
+    def put(self, starts, symbol, missed, begin, width, value, bits) -> None:
+        """A symbol in each block; in the blocks ``missed`` also a size, by its ``begin`` and
+        ``width``, and the ``bits`` below the highest one."""
+        start, wide = _bounds(starts, symbol)
+        part = self.range >> SCALE
+        wide *= part
+        moved = self.low + start * part
+        part = wide >> SIZE_SCALE
+        inner = part * width >> bits
+        moved += (begin * part + value * inner) * missed
+        wide = np.where(missed, inner, wide)
+        carried = np.flatnonzero(moved < self.low)
+        self.low, self.range = moved, wide
         self._settle(carried, np.flatnonzero(wide < ROOM))
 
-    def put_some(self, own: np.ndarray, start, width, value, bits) -> None:
-        """A size and the ``bits`` below the highest one, in the blocks ``own``."""
-        part = self.range[own] >> SCALE
+    def put_plain(self, own: np.ndarray, value: np.ndarray) -> None:
+        """A piece of plain bits in the blocks ``own``."""
         low = self.low[own]
-        wide = part * width
-        shift = bits.astype(np.uint64)
-        inner = wide >> shift
-        moved = low + start * part + value.astype(np.uint64) * inner
+        inner = self.range[own] >> PIECE
+        moved = low + value * inner
         self.low[own], self.range[own] = moved, inner
         self._settle(own[moved < low], own[inner < ROOM])
 
     def _settle(self, carried: np.ndarray, small: np.ndarray) -> None:
         if len(carried):
-            self.words[carried, self.at[carried] - 1] += np.uint64(1)
+            self.words[carried, self.at[carried] - 1] += ONE
         if len(small):
             low = self.low[small]
             self._emit(small, low >> WORD)
@@ -221,6 +222,7 @@ class _Writer:
         every = np.arange(len(self.low))
         self._emit(every, self.low >> WORD)
         self._emit(every, self.low & HALF)
+        self.words = self.words[:, : self.at.max()]
         while True:
             carry = self.words >> WORD
             if not carry.any():
@@ -241,33 +243,42 @@ class _Reader:
         self.range = np.full(len(payloads), np.iinfo(np.uint64).max, np.uint64)
         self.at = np.full(len(payloads), 2, np.int64)
 
-    def take(self, k: int, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
-        """The symbols of the first ``k`` blocks, from packed frequencies."""
-        code, wide = self.code[:k], self.range[:k]
-        part = wide >> SCALE
-        symbol = np.zeros(k, np.int32)
-        for i in (1, 2, 3):
-            symbol += code >= (starts >> np.uint64(16 * i) & FIELD) * part
-        place = symbol.astype(np.uint64) << np.uint64(4)
-        code -= (starts >> place & FIELD) * part
-        np.multiply(part, widths >> place & FIELD, out=wide)
-        self._fill(np.flatnonzero(wide < ROOM))
+    def take(self, starts: np.ndarray) -> np.ndarray:
+        """The symbols of all blocks, from packed frequencies; ``fill`` is to follow."""
+        part = self.range >> SCALE
+        place = np.minimum(self.code // part, BELOW_TOTAL)
+        # A spare bit stays where the place is not before the symbol's begin.
+        symbol = np.bitwise_count(place * IN_EACH + SPARE - starts & SPARE)
+        start, wide = _bounds(starts, symbol)
+        self.code -= start * part
+        self.range = wide * part
         return symbol
 
-    def size(self, own: np.ndarray, limits: np.ndarray) -> np.ndarray:
-        self.part = self.range[own] >> SCALE
-        return (self.code[own][:, None] >= limits * self.part[:, None]).sum(axis=1)
-
-    def take_some(self, own: np.ndarray, start, width, bits) -> np.ndarray:
-        """The bits below the highest one, after ``size``."""
-        inner = self.part * width >> bits.astype(np.uint64)
-        code = self.code[own] - start * self.part
-        value = np.minimum(code // inner, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
-        self.code[own], self.range[own] = code - value * inner, inner
-        self._fill(own[inner < ROOM])
-        return value.astype(np.int64)
-
-    def _fill(self, small: np.ndarray) -> None:
+    def size(self, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The sizes that would follow, from the ``table`` whose blocks begin at ``places``."""
+        self.part = self.range >> SIZE_SCALE
+        place = np.minimum(self.code // self.part, np.uint64(SIZE_TOTAL - 1))
+        return table[places + place.astype(np.int64)]
+
+    def take_some(self, missed: np.ndarray, bounds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """In the blocks ``missed`` the bits below the highest one, after ``size``."""
+        inner = self.part * (bounds & FIELD) >> bits
+        code = self.code - (bounds >> FIELD_BITS) * self.part
+        value = np.minimum(code // inner, (ONE << bits) - ONE)
+        self.code = np.where(missed, code - value * inner, self.code)
+        self.range = np.where(missed, inner, self.range)
+        return value.astype(np.int32)
+
+    def take_plain(self, own: np.ndarray) -> np.ndarray:
+        inner = self.range[own] >> PIECE
+        value = np.minimum(self.code[own] // inner, (ONE << PIECE) - ONE)
+        self.code[own] -= value * inner
+        self.range[own] = inner
+        self.fill()
+        return value.astype(np.int32)
+
+    def fill(self) -> None:
+        small = np.flatnonzero(self.range < ROOM)
         if len(small):
             at = self.at[small]
             word = self.words[small, np.minimum(at, self.words.shape[1] - 1)]
@@ -288,47 +299,57 @@ def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
 
 
 def _encode_lanes(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    parts = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    lanes, last = len(parts), len(parts[-1])
-    columns = np.zeros((len(parts[0]), lanes), np.int32)
-    for i, part in enumerate(parts):
-        columns[: len(part), i] = part
+    lanes = -(-len(ids) // BLOCK)
+    steps = min(len(ids), BLOCK)
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[: len(ids)] = ids
+    columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model, out = _Model(lanes), _Writer(lanes)
-    for step, row in enumerate(columns):
-        k = lanes if step < last else lanes - 1
-        now = row[:k]
-        model.predict(k)
-        symbol = np.where(now == model.guess0, np.int32(HIT0), np.int32(MISS))
-        symbol[now == model.guess1] = HIT1
-        symbol[now == model.guess2] = HIT2
-        place = symbol.astype(np.uint64) << np.uint64(4)
-        out.put(k, model.starts >> place & FIELD, model.widths >> place & FIELD)
-        missed = np.flatnonzero(symbol == MISS)
-        if len(missed):
-            _put_new(model, out, missed, now[missed])
-        model.update(k, now, symbol)
-        _end_of_round(model, columns, step, last, lanes)
-    return [
-        (len(part), zlib.crc32(part.tobytes()), payload)
-        for part, payload in zip(parts, out.finish())
-    ]
-
-
-def _end_of_round(model: _Model, columns: np.ndarray, step: int, last: int, k: int) -> None:
-    """After a full round; blocks that have ended in it are left as they are."""
-    if (step + 1) % ROUND == 0:
-        model.refresh(columns[step + 1 - ROUND : step + 1, : k if step < last else k - 1])
-
-
-def _put_new(model: _Model, out: _Writer, own: np.ndarray, ids: np.ndarray) -> None:
-    size = _size_of(ids)
-    first, second = _plain_bits(size)
-    start, width = model.size_bounds(own, size)
-    out.put_some(own, start, width, ids >> second & (1 << first) - 1, first)
-    large = np.flatnonzero(second)
-    if len(large):
-        nothing, whole = np.zeros(len(large), np.uint64), np.full(len(large), TOTAL, np.uint64)
-        out.put_some(own[large], nothing, whole, ids[large] & (1 << 15) - 1, second[large])
+    slot1, slot2, hash1 = model.base, model.base, np.zeros(lanes, np.int32)
+    missed = np.zeros((steps, lanes), bool)
+    for at in range(0, steps, ROUND):
+        rows = columns[at : at + ROUND]
+        mixed = rows * HASH  # wraps, as a hash may
+        before = np.concatenate([hash1[None], mixed[:-1] * np.int32(5)])
+        next1, next2 = _slots(mixed, model.base), _slots(mixed ^ before, model.base)
+        high = rows >> 8
+        size = SIZE_OF[np.minimum(high, 256)]
+        below = ((high - TOP[size]) * (size < SIZES - 1)).astype(np.uint64)
+        places = size * np.int64(lanes) + model.lane
+        bounds = model.size_bounds[places]
+        begin, width, bits = bounds >> FIELD_BITS, bounds & FIELD, BELOW[size]
+        is_large = size == SIZES - 1
+        some_large = is_large.any()
+        for i, now in enumerate(rows):
+            model.predict(slot2, slot1)
+            hit2, hit1 = now == model.guess2, now == model.guess1
+            symbol = _symbol(hit2, hit1, now == model.frequent)
+            miss = np.equal(symbol, MISS, out=missed[at + i])
+            out.put(model.starts, symbol, miss, begin[i], width[i], below[i], bits[i])
+            if some_large:
+                large = np.flatnonzero(is_large[i] & miss)
+                whole = high[i][large].astype(np.uint64)
+                out.put_plain(large, whole >> PIECE)
+                out.put_plain(large, whole & (ONE << PIECE) - ONE)
+            model.update(now, symbol, hit2, hit1)
+            slot1, slot2 = next1[i], next2[i]
+        model.sized.append(places[missed[at : at + ROUND]])
+        hash1 = mixed[-1] * np.int32(5)
+        model.refresh(rows)
+    low_bytes = padded.astype(np.uint8).reshape(lanes, steps)
+    lows = [row[which].tobytes() for row, which in zip(low_bytes, np.ascontiguousarray(missed.T))]
+    made = []
+    for i, (low, words) in enumerate(zip(lows, out.finish())):
+        part = ids[i * BLOCK : (i + 1) * BLOCK]
+        payload = struct.pack("<I", len(words)) + words + low
+        made.append((len(part), zlib.crc32(part.tobytes()), payload))
+    return made
+
+
+def _symbol(hit2: np.ndarray, hit1: np.ndarray, hit0: np.ndarray) -> np.ndarray:
+    after2 = ~hit2
+    after1 = after2 & ~hit1
+    return after2.view(np.uint8) + after1.view(np.uint8) + (after1 & ~hit0).view(np.uint8)
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
@@ -341,38 +362,45 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
 
 
 def _decode_lanes(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
-    lanes, longest, last = len(blocks), blocks[0][0], blocks[-1][0]
-    columns = np.zeros((longest, lanes), np.int32)
-    model, source = _Model(lanes), _Reader([payload for _, _, payload in blocks])
-    for step, row in enumerate(columns):
-        k = lanes if step < last else lanes - 1
-        model.predict(k)
-        symbol = source.take(k, model.starts, model.widths)
-        now = np.where(symbol == HIT2, model.guess2, model.guess1)
-        np.copyto(now, model.guess0, where=symbol == HIT0)
-        missed = np.flatnonzero(symbol == MISS)
-        if len(missed):
-            now[missed] = _take_new(model, source, missed)
-        model.update(k, now, symbol)
-        row[:k] = now
-        _end_of_round(model, columns, step, last, lanes)
-    ids = [columns[:n, i].astype("<u4") for i, (n, _, _) in enumerate(blocks)]
+    lanes, steps = len(blocks), blocks[0][0]
+    columns = np.zeros((steps, lanes), np.int32)
+    words = [struct.unpack_from("<I", payload)[0] for _, _, payload in blocks]
+    bodies = [payload[4 : 4 + n] for n, (_, _, payload) in zip(words, blocks)]
+    tails = [payload[4 + n :] for n, (_, _, payload) in zip(words, blocks)]
+    lows = np.frombuffer(b"".join(tails) + b"\0", np.uint8)
+    low_at = np.cumsum([0] + [len(tail) for tail in tails[:-1]])
+    model, source = _Model(lanes), _Reader(bodies)
+    slot1, slot2, hash1 = model.base, model.base, np.zeros(lanes, np.int32)
+    table, places = model.size_table(), model.lane * SIZE_TOTAL
+    for step, now in enumerate(columns):
+        model.predict(slot2, slot1)
+        symbol = source.take(model.starts)
+        hit2 = symbol == HIT2
+        np.copyto(now, model.guess2, where=hit2)
+        np.copyto(now, model.guess1, where=symbol == HIT1)
+        np.copyto(now, model.frequent, where=symbol == HIT0)
+        missed = symbol == MISS
+        size = source.size(table, places)
+        place = size * np.int64(lanes) + model.lane
+        model.sized.append(place[missed])
+        high = source.take_some(missed, model.size_bounds[place], BELOW[size]) + TOP[size]
+        source.fill()
+        large = np.flatnonzero((size == SIZES - 1) & missed)
+        if len(large):
+            first = source.take_plain(large)
+            high[large] = first << np.int32(PIECE) | source.take_plain(large)
+        np.copyto(now, high << 8 | lows[np.minimum(low_at, len(lows) - 1)], where=missed)
+        low_at += missed
+        model.update(now, symbol, hit2, now == model.guess1)
+        mixed = now * HASH
+        slot1, slot2 = _slots(mixed, model.base), _slots(mixed ^ hash1, model.base)
+        hash1 = mixed * np.int32(5)
+        if (step + 1) % ROUND == 0 or step + 1 == steps:
+            model.refresh(columns[step // ROUND * ROUND : step + 1])
+            table = model.size_table()
+    whole = np.ascontiguousarray(columns.T).astype("<u4")
+    ids = [row[:n] for row, (n, _, _) in zip(whole, blocks)]
     for own, (_, check, _) in zip(ids, blocks):
         if zlib.crc32(own.tobytes()) != check:
             raise ValueError("a block's checksum does not agree with its ids")
     return np.concatenate(ids)
-
-
-def _take_new(model: _Model, source: _Reader, own: np.ndarray) -> np.ndarray:
-    size = source.size(own, model.size_limits[own])
-    first, second = _plain_bits(size)
-    start, width = model.size_bounds(own, size)
-    low = source.take_some(own, start, width, first)
-    top = np.where((size > 0) & (second == 0), 1 << np.maximum(size - 1, 0), 0)
-    ids = top | low << second
-    large = np.flatnonzero(second)
-    if len(large):
-        source.size(own[large], np.zeros((len(large), 0), np.uint64))
-        nothing, whole = np.zeros(len(large), np.uint64), np.full(len(large), TOTAL, np.uint64)
-        ids[large] |= source.take_some(own[large], nothing, whole, second[large])
-    return ids.astype(np.int32)

@@ -3,7 +3,7 @@
 A file is a run of segments, a segment the ids of whole documents in ascending
 order, cut into blocks. All numbers are little-endian:
 
-    magic "TIB1" | u64 bytes that follow | u32 file | u32 segment in the file
+    magic "TIB2" | u64 bytes that follow | u32 file | u32 segment in the file
     u32 documents | u32 blocks | u64 directory bytes | u32 directory checksum
     directory: zlib of a byte (has an id) and i64 (the id) and u64 (number of ids)
     u32 checksum of the table | table: u32 ids, u32 checksum of the ids, u32 bytes
@@ -25,16 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm.common import running_before, strings, written
+from docengine.llm.common import parts_of, running_before, strings, written
 from docengine.llm.token_codec import BLOCK, LANES, decode_blocks, encode_blocks
 from docengine.llm.tokenization import encoder
 
-MAGIC = b"TIB1"
+MAGIC = b"TIB2"
 HEAD = "<4sQ"
 FIXED = "<IIIIQI"
 DIRECTORY = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("ids", "<u8")])
 TABLE = np.dtype([("ids", "<u4"), ("check", "<u4"), ("bytes", "<u4")])
 SEGMENT_IDS = BLOCK * LANES
+TEXT_BYTES = 4 << 20  # of texts that are encoded at once
 DIGEST_SCHEMA = (
     "file long, segment long, place long, doc_id long, within long, n_tokens long, "
     "ids_crc32 long"
@@ -104,8 +105,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int, folder:
     """
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).ids
-        end = np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer).ids_of_all
         file = TaskContext.get().partitionId()
         number, waiting, ids, size = 0, [], [], 0
 
@@ -113,14 +113,20 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int, folder:
             made = segment(file, number, waiting, b"".join(ids))
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["part"])
 
-        for batch in batches:
-            for doc_id, text in zip(
-                batch.column("doc_id").to_pylist(), strings(batch.column("text"))
-            ):
-                own = encode(text) + end
-                waiting.append((doc_id, len(own) // 4))
-                ids.append(own)
-                size += len(own) // 4
+        for batch in parts_of(batches, TEXT_BYTES):
+            encoded, counts = encode(strings(batch.column("text")))
+            ends = np.cumsum(counts)
+            encoded = np.insert(encoded, ends, end_id)  # after each document
+            ends += np.arange(1, len(ends) + 1)
+            documents = list(zip(batch.column("doc_id").to_pylist(), (counts + 1).tolist()))
+            at = done = 0
+            while at < len(documents):  # as many as the segment needs
+                to = int(np.searchsorted(ends, done + SEGMENT_IDS - size)) + 1
+                to = min(to, len(documents))
+                waiting += documents[at:to]
+                ids.append(encoded[done : ends[to - 1]].tobytes())
+                size += int(ends[to - 1]) - done
+                at, done = to, int(ends[to - 1])
                 if size >= SEGMENT_IDS:
                     yield row()
                     number, waiting, ids, size = number + 1, [], [], 0
