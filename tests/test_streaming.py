@@ -1,5 +1,6 @@
 """A stream run over arriving files equals one batch over all of them."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docengine.operators.chunking import chunk_documents, sequential_chunks
@@ -7,6 +8,7 @@ from docengine.operators.ingest import ingest_documents
 from docengine.plans.queries import QUERIES
 from docengine.schemas import BRONZE
 from docengine.streaming import ingest as st
+from docengine.streaming.changes import ChunkChanges
 
 
 def bronze(batch):
@@ -78,3 +80,49 @@ def test_documents_in_one_file_or_in_a_folder_of_files(spark, tmp_path):
     for name in ("stream_ingest", "stream_sync"):
         one, many = (sorted(map(str, QUERIES[name](spark, str(tmp_path / kind)).collect())) for kind in ("one", "many"))
         assert len(one) >= 6 and one == many
+
+
+def test_a_document_costs_the_state_few_messages():
+    """However many chunks a document has; the rows are those of a state entry per chunk."""
+    calls = []
+
+    class Held(dict):
+        def exists(self):
+            return bool(calls.append("exists") or self)
+
+        def iterator(self):
+            calls.append("iterator")
+            return iter(self.items())
+
+        def getValue(self, key):
+            calls.append("get")
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            self[key] = value
+
+        def removeKey(self, key):
+            calls.append("remove")
+            del self[key]
+
+    held = Held()
+    processor = ChunkChanges()
+    processor.init(type("Handle", (), {"getMapState": lambda *_: held})())
+
+    def run(*rows):
+        calls.clear()
+        columns = ["owner", "version", "uuid", "content", "digest"]
+        parts = [pd.DataFrame(rows[i : i + 70], columns=columns) for i in range(0, len(rows), 70)]
+        out = pd.concat(list(processor.handleInputRows((1,), iter(parts), None)))
+        return [tuple(r) for r in out[["uuid", "content", "_change_type"]].values.tolist()]
+
+    first = [("a", 1, f"a_{i}", f"x{i}", f"d{i}") for i in range(100)]
+    assert run(*first) == [(f"a_{i}", f"x{i}", "insert") for i in range(100)]
+    assert len(calls) <= 3
+    assert run(*first) == [] and len(calls) <= 3
+    later = [("a", 2, f"a_{i}", None if i == 5 else f"x{i}", "new" if i == 5 else f"d{i}") for i in range(99)]
+    assert run(*first[:50], *later, *first[50:]) == [("a_5", None, "update"), ("a_99", None, "delete")]
+    assert len(calls) <= 3
+    assert run(("a", 3, None, None, "d")) == sorted((f"a_{i}", None, "delete") for i in range(99)) and not held
+    assert run(("b", 1, "b_0", "x", "d"), ("b", 1, "b_0", "x", "d"), (None, 1, None, None, "d")) == [("b_0", "x", "insert")] * 2
