@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.common import written
+from docengine.llm.common import small_batches, written
 
 SHARD_DOCUMENTS = 1024
 SHARD_TERMS = 1 << 20
@@ -30,6 +30,13 @@ ITEMS_PER_BLOCK = 512
 BATCH = 32
 ITEM_BATCH = 8
 FAN = 8
+# Blocks of items that are broadcast, so that shards stay where they lie: as many as a task
+# holds, of up to so many bytes in all.
+HELD_BLOCKS = 32
+PASS_BYTES = 32 << 20
+# Rows of a shard's payload that Python is given at a time: a row has a megabyte or more,
+# which a batch holds in the JVM, outside its heap, and in the worker.
+PAYLOAD_ROWS = 4
 
 # A term is a longest stretch of other characters than these; only A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -98,8 +105,8 @@ def make_shard(ids: list, texts: list[list[bytes]]) -> tuple[bytes, bytes]:
         "ids": [ids[i] for i in order],
         "sizes": sizes[order],
         "start": np.append(0, np.cumsum(df)),
-        "place": (key[by_key] % n).astype(np.int32),
-        "tf": tf[by_key].astype(np.uint32 if len(tf) == 0 or tf.max() < 1 << 32 else np.int64),
+        "place": (key[by_key] % n).astype(np.min_scalar_type(n)),
+        "tf": tf[by_key].astype(np.min_scalar_type(tf.max() if len(tf) else 0)),
     }
     return pickle.dumps((codes.dictionary, df)), pickle.dumps(postings)
 
@@ -142,7 +149,8 @@ def index_documents(documents: DataFrame) -> DataFrame:
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    return written(rows.mapInArrow(_index, SHARD_SCHEMA), "lexical-shards")
+    # Snappy would take buffers of a whole page, here all shards of a file, outside the heap.
+    return written(rows.mapInArrow(_index, SHARD_SCHEMA), "lexical-shards", codec="zstd")
 
 
 def _item_block(key: tuple, table: pa.Table) -> pa.Table:
@@ -327,7 +335,7 @@ def _searcher(k: int, n_documents: int, n_terms: int):
             for i in range(batch.num_rows):
                 number = batch.column("block")[i].as_py()
                 if number not in state:
-                    if len(state) == 32:
+                    if len(state) == HELD_BLOCKS:
                         yield from results(state)
                         state = {}
                     block = pickle.loads(batch.column("items")[i].as_py())
@@ -376,18 +384,25 @@ def search(items: DataFrame, shards: DataFrame, k: int = 10) -> DataFrame:
     null texts have no terms. Rows with the same item_id are one item, with the terms of
     all of them; so are those without one.
 
-    Blocks of items meet groups of shards in tasks, by an equality join. Each block first
-    searches one shard; the k-th scores found there go with it to all the others.
+    Blocks of items meet groups of shards in tasks, by an equality join; few blocks are
+    broadcast, and all shards are one group. Each block first searches one shard; the k-th
+    scores found there go with it to all the others.
     """
+    spark = shards.sparkSession
     totals = shards.agg(
         F.sum("n_documents").alias("n"), F.sum("n_terms").alias("terms"), F.count(F.lit(1)).alias("shards")
     ).first()
-    n, groups = totals["n"] or 0, max(1, -(-totals["shards"] // SHARDS_PER_GROUP))
-    shards = shards.withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int"))
+    n, homes_apart = totals["n"] or 0, max(1, -(-totals["shards"] // SHARDS_PER_GROUP))
     blocks = item_blocks(items)
+    held = blocks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("items")).alias("bytes")).first()
+    few = held["n"] <= HELD_BLOCKS and (held["bytes"] or 0) <= PASS_BYTES
+    near = F.broadcast if few else lambda rows: rows
+    groups = 1 if few else homes_apart
+    group = lambda number, parts: F.pmod(number, F.lit(parts)).cast("int")
+    shards = shards.withColumn("part", group(F.xxhash64("shard"), groups))
     everywhere = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
     counts = (
-        blocks.select("block", "items", everywhere.alias("part"))
+        near(blocks.select("block", "items", everywhere.alias("part")))
         .join(shards.select("part", "terms"), "part")
         .select("block", "items", "terms")
         .mapInArrow(_document_counts, "block int, term int, df long")
@@ -400,18 +415,22 @@ def search(items: DataFrame, shards: DataFrame, k: int = 10) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("term", weight.alias("weight")))).alias("listed"))
         .select("block", F.col("listed.weight").alias("weights"))
     )
-    weighted = written(blocks.join(weights, "block"), "weighted-items")
+    with small_batches(spark, PAYLOAD_ROWS):
+        weighted = written(blocks.join(weights, "block"), "weighted-items")
     task = _searcher(k, n, totals["terms"] or 0)
 
     # One shard for each block comes first, unless the block's group has none.
-    first = shards.groupBy("part").agg(F.min("shard").alias("home"))
-    homes = weighted.withColumn("part", F.pmod("block", F.lit(groups))).join(first, "part", "left")
-    at_home = written(
-        homes.join(shards.drop("part"), F.col("home") == F.col("shard"))
-        .select("block", "items", "weights", F.lit(None).cast("array<long>").alias("floors"), "terms", "postings")
-        .mapInArrow(task, FOUND_SCHEMA),
-        "first-shard-results",
-    )
+    first = shards.groupBy(group(F.xxhash64("shard"), homes_apart).alias("own")).agg(F.min("shard").alias("home"))
+    homes = weighted.withColumn("own", group(F.col("block"), homes_apart)).join(first, "own", "left").drop("own")
+    # Only the shards that come first are moved to their blocks.
+    leading = shards.drop("part").join(F.broadcast(first.select(F.col("home").alias("shard"))), "shard", "left_semi")
+    with small_batches(spark, PAYLOAD_ROWS):
+        at_home = written(
+            near(homes).join(leading, F.col("home") == F.col("shard"))
+            .select("block", "items", "weights", F.lit(None).cast("array<long>").alias("floors"), "terms", "postings")
+            .mapInArrow(task, FOUND_SCHEMA),
+            "first-shard-results",
+        )
     floors = (
         at_home.groupBy("block", "item")
         .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("floor"))
@@ -420,15 +439,17 @@ def search(items: DataFrame, shards: DataFrame, k: int = 10) -> DataFrame:
     )
     number = F.sequence(F.lit(0), F.col("n_items") - 1)
     known = F.transform(number, lambda i: F.coalesce(F.col("known")[i], F.lit(0)).cast("long"))
-    rest = (
-        homes.drop("part")
-        .join(floors, "block", "left")
-        .select("block", "items", "weights", known.alias("floors"), "home", everywhere.alias("part"))
-        .join(shards, "part")
-        .filter(F.col("home").isNull() | (F.col("shard") != F.col("home")))
-        .select("block", "items", "weights", "floors", "terms", "postings")
-        .mapInArrow(task, FOUND_SCHEMA)
+    asked = homes.join(floors, "block", "left").select(
+        "block", "items", "weights", known.alias("floors"), "home", everywhere.alias("part")
     )
+    with small_batches(spark, PAYLOAD_ROWS):
+        rest = written(
+            near(asked).join(shards, "part")
+            .filter(F.col("home").isNull() | (F.col("shard") != F.col("home")))
+            .select("block", "items", "weights", "floors", "terms", "postings")
+            .mapInArrow(task, FOUND_SCHEMA),
+            "other-shard-results",
+        )
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.asc_nulls_last("doc_id"))
     return (
         at_home.unionByName(rest)

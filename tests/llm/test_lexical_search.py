@@ -124,3 +124,40 @@ def test_query_equals_brute_force(spark, tmp_path):
     asked.write.parquet(str(tmp_path / "benchmark.parquet"))
     got = [tuple(r) for r in queries.op11_dual_tree_search(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == brute(items, documents, 10)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_shards_reach_python_a_few_at_a_time(spark, monkeypatch, broadcast):
+    """A batch of many shards would be held at once, by the JVM and by the worker; few blocks
+    come to the shards, which are not shuffled."""
+    for name, value in (("SHARD_DOCUMENTS", 5), ("ITEMS_PER_BLOCK", 15), ("SHARDS_PER_GROUP", 8), ("PASS_BYTES", 32 << 20 if broadcast else 0)):
+        monkeypatch.setattr(module, name, value, raising=False)
+    plans, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+
+    def checked(rows, label, *args, write=module.written, **options):
+        if label == "other-shard-results":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, label, *args, **options)
+
+    def searcher(*args, make=module._searcher):
+        task = make(*args)
+
+        def few(batches):
+            for batch in batches:
+                assert batch.num_rows <= 4
+                yield batch
+
+        return lambda batches: task(few(batches))
+
+    monkeypatch.setattr(module, "written", checked)
+    monkeypatch.setattr(module, "_searcher", searcher)
+    documents, items = corpus(11, 200)
+    docs, asked = frames(spark, documents, items, 2)
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        got = [tuple(r) for r in search(asked, index_documents(docs), 10).collect()]
+    finally:
+        spark.conf.set(threshold, before)
+    assert sorted(got, key=str) == brute(items, documents, 10)
+    assert broadcast == ("hashpartitioning(part" not in plans[0])
